@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm import chat
+from cindertrace.llm import chat, pieces, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_chat_formatting": chat.op10_chat_formatting}
+    return {
+        "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op8_token_store": token_store.op8_token_store,
+        "op10_chat_formatting": chat.op10_chat_formatting,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
