@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,26 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "ships_cindertrace", False):
+        root = Path(__file__).resolve().parents[2]
+        path = Path(tempfile.mkdtemp(prefix="cindertrace-")) / "cindertrace.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((root / "cindertrace").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(str(path))
+        context.ships_cindertrace = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches and makes sure that checkpoint() has a folder.
 
     On a cluster spark.checkpoint.dir names a shared folder. Only where it is unset, as in local
     tests, a temporary one is used.
     """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cindertrace-"))
