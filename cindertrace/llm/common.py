@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,7 +30,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches and makes sure that checkpoint() has a folder.
+    """Bounds Arrow batches, sends the package along, and makes sure that there is a folder for cut().
 
     On a cluster spark.checkpoint.dir names a shared folder. Only where it is unset, as in local
     tests, a temporary one is used.
@@ -48,9 +49,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder, so that what is lost later is read again, not recomputed."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df once, as Parquet in the shared folder, so that what is lost later is read again, not recomputed."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cindertrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
