@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -48,7 +49,8 @@ TABLE_CHUNKS = 1_200_000
 LONGEST_KEPT = 200
 #: The characters that the pattern's white-space class holds.
 SPACE = r"\t-\r \x85\xa0  -     　"
-UNUSUAL = re.compile(rf"[{SPACE}][{SPACE}]|[^\S \n\x1c-\x1f]|[ \n]\Z")
+#: A word of Latin letters, with a blank before it, and ASCII signs after it that the byte-level alphabet writes as they are.
+PLAIN = re.compile("( [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&|]*)")
 CUT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
@@ -113,6 +115,12 @@ class EliasFano:
         return ((ones - np.arange(self.n)).astype(np.int64) << self.low) | lows
 
 
+def single(word: str) -> bool:
+    """No white space but a line feed in front."""
+    bare = word[1:] if word[:1] == "\n" else word
+    return bool(bare) and bare.split() == [bare]
+
+
 class ByteCoder:
     """Encodes texts with one byte-level tokenizer."""
 
@@ -124,20 +132,34 @@ class ByteCoder:
         self.model, self.split = t.model, t.pre_tokenizer.pre_tokenize_str
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        self.code = "H" if self.width == 2 else "I"
+        #: What the byte-level pre-tokenizer writes for each byte.
+        self.written = {b: self.split(chr(b))[0][0] for b in range(0x21, 0x7F)} | {0x20: self.split(" a")[0][0][0]}
+        for b in range(0x80, 0x100):  # by a two-byte character that has it (no Latin letter has the others)
+            if b < 0xC0:
+                self.written[b] = self.split(bytes([0xC4, b]).decode())[0][0][1]
+            elif 0xC2 <= b <= 0xDF:
+                self.written[b] = self.split(bytes([b, 0x80]).decode())[0][0][0]
         self.end = np.array([end_id], self.kind).tobytes()
         self.kept: dict[str, bytes] = {}
+        #: Bytes of the line feed that encode() puts before a text's first word.
+        self.first = self.width
         self.tokens: dict[str, bytes] = {}
 
     def ids(self, chunk: str) -> bytes:
-        out = []
-        for token, _ in self.split(chunk):
-            own = self.tokens.get(token)
-            if own is None:
-                own = np.array([x.id for x in self.model.tokenize(token)], self.kind).tobytes()
-                if len(token) <= LONGEST_KEPT:
-                    self.tokens[token] = own
-            out.append(own)
-        return b"".join(out)
+        plain = PLAIN.fullmatch(chunk)
+        if plain:  # a word and what ends it: the pattern's two tokens
+            word, end = plain.groups()
+            return self.token(word.encode().decode("latin-1").translate(self.written)) + (self.token(end) if end else b"")
+        return b"".join([self.token(t) for t, _ in self.split(chunk)])
+
+    def token(self, token: str) -> bytes:
+        own = self.tokens.get(token)
+        if own is None:
+            own = array(self.code, [x.id for x in self.model.tokenize(token)]).tobytes()
+            if len(token) <= LONGEST_KEPT:
+                self.tokens[token] = own
+        return own
 
     def learn(self, words: set[str]) -> None:
         """Words that begin with a line feed stand as they are; before all others a blank is put."""
@@ -151,34 +173,21 @@ class ByteCoder:
         if len(self.tokens) > TABLE_CHUNKS // 2:
             self.tokens = {}
         # a line feed goes before a first word that has neither blank nor line feed, and its id away again
-        led = {k: t if t[0] in " \n" else "\n" + t for k, t in enumerate(batch) if t and not UNUSUAL.search(t)}
-        plain = [(k, t.replace("\n", " \n").split(" ")[1:]) for k, t in led.items()]
-        new = set().union(*(ws for _, ws in plain)).difference(self.kept)
+        split = [(t if t[0] in " \n" else "\n" + t).replace("\n", " \n").split(" ")[1:] if t else [] for t in batch]
+        new = {w for w in set().union(*split).difference(self.kept) if single(w)}
         self.learn(new)
-        out = [self.end] * len(batch)
-        for k, words in plain:
-            ids = b"".join(map(self.kept.__getitem__, words))
-            out[k] = (ids if batch[k][0] in " \n" else ids[self.first :]) + self.end
-        usual = {k for k, _ in plain}
-        for k, t in enumerate(batch):
-            if t and k not in usual:
-                out[k] = b"".join(map(self.chunk, CUT.findall(t))) + self.end
+        out = []
+        for t, words in zip(batch, split, strict=True):
+            try:
+                ids = b"".join(map(self.kept.__getitem__, words))
+                out.append((ids[self.first :] if t and t[0] not in " \n" else ids) + self.end)
+            except KeyError:  # longer or other white space
+                out.append(b"".join(map(self.chunk, CUT.findall(t))) + self.end)
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del self.kept[w]
         return out
 
-    @property
-    def first(self) -> int:
-        """Bytes of the line feed that encode() puts before a text's first word."""
-        return len(self.line_feed)
-
-    @property
-    def line_feed(self) -> bytes:
-        if "\n" not in self.kept:
-            self.learn({"\n"})
-        return self.kept["\n"]
-
     def chunk(self, text: str) -> bytes:
         if len(text) > LONGEST_KEPT:
             return self.ids(text)
@@ -269,7 +278,8 @@ def read(manifest: DataFrame) -> DataFrame:
     # one row for each shard, in one ordered sum: shards are of a set size, and the rows are a few bytes
     before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return based.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # as many tasks as shards: the rows are too few for Spark to deal them out by itself
+    return based.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
