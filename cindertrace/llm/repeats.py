@@ -25,13 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, texts
+from cindertrace.llm.common import cut
+from cindertrace.llm.common import texts as bare_texts
 from cindertrace.llm.words import U, Words, groups, mix, signed
 
 #: words, length -> for each window start (ascending): the start, its anchor's id, the head's hash, the anchor's place
 Rule = Callable[[Words, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+def texts(documents: DataFrame) -> DataFrame:
+    """doc_id, text and salt: windows are equal only under the same salt (0 where there is none)."""
+    if "salt" in documents.columns and dict(documents.dtypes)["salt"] == "bigint" and len(documents.columns) == 3:
+        return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "salt")
+    return bare_texts(documents).withColumn("salt", F.lit(0).cast("long"))
+
+
+def salted(w: Words, salt: pa.Array) -> Words:
+    salt = salt.to_numpy(zero_copy_only=False).view(U)
+    if salt.any():
+        w.hashes = mix(w.hashes ^ mix(salt)[w.doc_of()])
+    return w
+
+
 def suffixes(documents: DataFrame, rule: Rule, length: int) -> DataFrame:
     """head, ctx, doc_id, lo, hi: the anchor's windows start at words lo to hi of their document."""
     schema = pa.schema([("head", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -40,7 +55,7 @@ def suffixes(documents: DataFrame, rule: Rule, length: int) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id")
             for i, j, buf, offsets in groups(b.column("text")):
-                w = Words(buf, offsets)
+                w = salted(Words(buf, offsets), b.column("salt").slice(i, j - i))
                 starts, anchor, head, place = rule(w, length)
                 if not len(starts):
                     continue
@@ -133,7 +148,7 @@ def extend(documents: DataFrame, rows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             ids, spans = b.column("doc_id"), b.column("spans")
             for i, j, buf, offsets in groups(b.column("text")):
-                w = Words(buf, offsets)
+                w = salted(Words(buf, offsets), b.column("salt").slice(i, j - i))
                 grams = w.grams(length)
                 for k in range(i, j):
                     own = spans[k].values
