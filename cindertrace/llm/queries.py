@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm import chat, decontamination, pages, pieces, recompression, simhash, suffix_dedup, token_store
+from cindertrace.llm import chat, decontamination, pages, pieces, recompression, simhash, suffix_dedup, token_store, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_html_main_text": pages.op7_html_main_text,
         "op8_token_store": token_store.op8_token_store,
+        "op9_weak_labels": weak_labels.op9_weak_labels,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
