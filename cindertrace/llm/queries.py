@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm import chat, decontamination, pages, pieces, recompression, simhash, suffix_dedup, token_store, weak_labels
+from cindertrace.llm import chat, decontamination, neighbours, pages, pieces, recompression, simhash, suffix_dedup, token_store, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": recompression.op2_substring_dedup,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_simhash": simhash.op4_simhash,
+        "op5_nearest": neighbours.op5_nearest,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_html_main_text": pages.op7_html_main_text,
         "op8_token_store": token_store.op8_token_store,
