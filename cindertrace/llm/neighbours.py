@@ -76,10 +76,15 @@ class Index:
     def __init__(self, sample: np.ndarray, rows: int):
         self.mean = sample.mean(axis=0)
         x = sample - self.mean
-        self.cells = int(np.clip(rows // CHUNK, 1, CELLS))
+        self.cells = int(np.clip(rows // 256, 1, CELLS))
         self.centres = kmeans(x, self.cells, 8)
         whole = self.lift(x)
-        rest = whole - self.lift_centre(nearest(x, self.centres))
+        cell = nearest(x, self.centres)
+        rest = whole - self.lift_centre(cell)
+        # residuals are coded in units of their cell's spread, so that dense cells are told apart as finely as wide ones
+        spread = np.bincount(cell, (rest**2).sum(axis=1), self.cells) / np.maximum(np.bincount(cell, minlength=self.cells), 1)
+        self.scale = np.sqrt(np.where(spread > 1e-18, spread, 1.0))
+        rest = rest / self.scale[cell][:, None]
         d = whole.shape[1]
         pad = -d % BLOCK
         self.pad, self.blocks = pad, (d + pad) // BLOCK
@@ -130,7 +135,8 @@ class Index:
         x = vectors - self.mean
         cell = nearest(x, self.centres)
         whole = self.lift(x)
-        codes = np.concatenate([self.assign(self.cut((whole - self.lift_centre(cell))[i : i + 1024]), self.cut(self.unit(whole[i : i + 1024]))) for i in range(0, len(x), 1024)])
+        rest = (whole - self.lift_centre(cell)) / self.scale[cell][:, None]
+        codes = np.concatenate([self.assign(self.cut(rest[i : i + 1024]), self.cut(self.unit(whole[i : i + 1024]))) for i in range(0, len(x), 1024)])
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         return cell, (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
@@ -144,10 +150,10 @@ class Index:
             n = max(1, int(np.ceil(self.cells * probed)))
             far = np.argsort(-base, axis=1)[:, n:]
             np.put_along_axis(base, far, -np.inf, axis=1)
-        out = base.astype(np.float32)[:, cells]
+        out = np.zeros((len(q), len(cells)), np.float32)
         for b in range(self.blocks):
             out += tables[:, b, codes[:, b // 2] >> 4 * (b % 2) & 15]
-        return out
+        return out * self.scale.astype(np.float32)[cells] + base.astype(np.float32)[:, cells]
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
