@@ -66,6 +66,7 @@ def sha256_hex(data: bytes) -> str:
 
 def texts(documents: DataFrame) -> DataFrame:
     """doc_id and text alone; a null text counts as an empty one."""
+    prepare(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, record_batch, sha256_hex, table, texts
+from cindertrace.llm.common import cut, prepare, record_batch, table, texts
 from cindertrace.llm.words import LETTER_BYTES, LOWER, Words, groups, signed
 
 WINDOW = 10
@@ -60,6 +60,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
             if rows:
                 yield record_batch(schema, *zip(*rows, strict=True))
 
+    prepare(items.sparkSession)
     own = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     return own.mapInArrow(run, "item_id string, size int, h long, words array<long>").distinct()
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, record_batch, table
+from cindertrace.llm.common import cut, prepare, record_batch, table
 from cindertrace.llm.repeats import covered, repeated_ranges
 from cindertrace.llm.words import Words, sliding_argmin
 
@@ -160,6 +160,7 @@ def host_repeats(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every row of pages(page_id, url, html)."""
+    prepare(pages.sparkSession)
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
     # rows are told apart by all they hold: repeated rows share what is found for them
     rows = pages.select("page_id", "url", "html", host.alias("host")).withColumn("row", F.xxhash64("page_id", "url", "html"))

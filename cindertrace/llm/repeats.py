@@ -136,7 +136,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     again = again.withColumns({"whole": F.col("whole") | (F.col("n_ctx") > 1), "later": F.col("later") | (place > F.col("first")), "shared": F.col("shared") | (F.col("n_head") > 1)})
     near = near.filter("NOT edge").select(*schema.names).unionByName(again.select(*schema.names)).filter("shared")
     # one row stands for each context; only heads with several contexts need to be extended
-    several = near.filter("NOT later").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.lit(True).alias("several"))
+    several = cut(near.filter("NOT later").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.lit(True).alias("several")))
     return cut(near.join(several, "head", "left").withColumn("extend", ~F.col("later") & F.coalesce("several", F.lit(False))).select("doc_id", "lo", "hi", "whole", "later", "extend"))
 
 
@@ -161,7 +161,7 @@ def extend(documents: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     spans = rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     read = texts(documents).join(spans, "doc_id").mapInArrow(run, "h long, doc_id long, at int")
     windows = cut(read)
-    twice = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1")
+    twice = cut(windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1").select("h", "first"))
     return windows.join(twice, "h").select("doc_id", "at", (F.struct("doc_id", "at") > F.col("first")).alias("later"))
 
 

@@ -11,10 +11,9 @@ of candidates that each part gives at each threshold: exact pair counts over all
 zero, times the growth that the bits' frequencies imply beyond it. Each fingerprint is stored under
 its parts' values, probes all values within the threshold, and candidates are verified.
 
-A crowded value never has its pairs listed. There, each fingerprint is put under itself and all
-its one-bit neighbours (of the other parts' bits), so that any two that differ in two bits or
-fewer meet: all of one meeting are linked to the least. This is exact for D of two; for a larger D
-meeting places are taken at greater distance. Linked fingerprints form components by alternating
+A crowded value never has its pairs listed. There, each fingerprint is put under all places within
+D / 2 bits (for two: itself and its 64 one-bit neighbours), so that any two that differ in D bits or
+fewer meet, and no others do: all of one meeting are linked to the least. Linked fingerprints form components by alternating
 large-star and small-star rounds.
 
 Defined results: a text without words (null, empty) has fingerprint zero and links like any other;
@@ -25,7 +24,8 @@ fingerprint, so a component. Further columns are ignored. An empty table gives n
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from hashlib import md5
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindertrace.llm.common import cut, record_batch, table, texts
-from cindertrace.llm.words import LOWER, Words, groups, signed
+from cindertrace.llm.words import LOWER, Words, groups, mix, signed
 
 BITS = 64
 #: Fingerprints that share a part's value: up to so many are compared one by one.
@@ -192,7 +192,9 @@ def xor_each(fp: Column, masks: list[int]) -> Column:
 
 
 def links(distinct: DataFrame, within: int = 2) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints that connect all that lie within that many bits."""
+    """Pairs (a, b) of distinct fingerprints that connect all that lie within that many bits (an even number)."""
+    if within % 2:
+        raise ValueError("within must be even")
     parts = plan_parts(distinct, within)
     stored = F.array(*(F.struct(F.lit(i).alias("part"), value_of(F.col("fp"), bits).alias("v")) for i, (bits, _) in enumerate(parts)))
     stored = distinct.select("fp", F.explode(stored).alias("x")).select("fp", "x.part", "x.v")
@@ -208,9 +210,7 @@ def links(distinct: DataFrame, within: int = 2) -> DataFrame:
     near = left.join(stored.withColumnRenamed("fp", "b"), ["part", "v"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= within))
     found = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # crowded values: meet at the points halfway between
-    half, rest = (within + 1) // 2, within // 2
-    if within != 2 * half or half != rest:
-        half = within
+    half = within // 2
     meet = probes.join(large.select("part", "v"), ["part", "v"]).select("fp").distinct()
     meet = meet.select("fp", xor_each(F.col("fp"), flips(list(range(BITS)), half)).alias("m"))
     least = meet.groupBy("m").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("m", "a")
@@ -251,7 +251,116 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, words: int = 5, within: int = 3) -> DataFrame:
-    """One document of each component: the one with the least doc_id."""
-    found = near_duplicates(documents, words, within)
-    return documents.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+#: Similarity of the five-word shingle sets from which on documents are near copies, and words in a shingle.
+SIMILARITY, SHINGLE = 0.8, 5
+#: Bands of minima, and minima in a band: two sets at SIMILARITY share a band with a chance of 0.9996.
+BANDS, ROWS = 20, 5
+#: Texts that share a band: up to so many are compared one by one.
+BAND_CROWD = 12
+
+
+def _shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all SHINGLE-word sequences (of a shorter text, the whole), and where each text's begin."""
+    counts = w.counts()
+    size = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(size)])
+    at = np.repeat(w.first[:-1] - first[:-1], size) + np.arange(first[-1])
+    whole = np.minimum(at + SHINGLE, np.repeat(w.first[1:], size))
+    return w.span_hashes(at, whole), first
+
+
+def sketches(documents: DataFrame) -> DataFrame:
+    """doc_id, copy (digest of the whole text), fp (five-word SimHash), bands (one hash each; none without words)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    odd = [np.uint64(x) for x in (np.random.default_rng(17).integers(0, 1 << 62, BANDS * ROWS) * 2 + 1).tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copy = [md5(x.encode()).digest() for x in b.column("text").to_pylist()]
+            fp, bands = np.zeros(b.num_rows, np.uint64), [[]] * b.num_rows
+            for i, j, buf, offsets in groups(b.column("text")):
+                h, first = _shingles(Words(LOWER[buf], offsets))
+                some = np.flatnonzero(np.diff(first))
+                if not len(some):
+                    continue
+                at = first[some]
+                fp[i + some] = np.packbits(_votes(h.astype(">u8"), at, np.diff(first)[some]), axis=1).view(">u8").ravel()
+                own = np.zeros((len(some), BANDS), np.uint64)
+                for k, a in enumerate(odd):
+                    band = k // ROWS
+                    own[:, band] = mix(own[:, band] ^ np.minimum.reduceat(h * a, at) ^ np.uint64(k))
+                for d, x in zip((i + some).tolist(), signed(own).tolist(), strict=True):
+                    bands[d] = x
+            yield record_batch(schema, b.column("doc_id"), copy, signed(fp), bands)
+
+    return texts(documents).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>")
+
+
+def candidates(one: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents worth comparing, for one(doc_id, fp, bands): near fingerprints, shared bands.
+
+    A crowded band lists no pairs: its members are compared with the one that shares most bands with
+    most others (the text that the others were copied from, if it is there) and with the least.
+    """
+    least = cut(one.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    same = one.join(least, "fp").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    near = links(least.select("fp"), 2)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = one.select("doc_id", F.posexplode("bands").alias("band", "v"))
+    shared = rows.groupBy("band", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    live = cut(rows.join(shared, ["band", "v"]))
+    wide = cut(live.filter(F.col("n") > BAND_CROWD))
+    known = wide.groupBy("doc_id").agg(F.sum("n").alias("known"))
+    centre = wide.join(known, "doc_id").groupBy("band", "v").agg(F.max(F.struct("known", (-F.col("doc_id")).alias("x"))).alias("c"), F.min("doc_id").alias("m"))
+    starred = wide.join(centre, ["band", "v"]).select("doc_id", F.explode(F.array(-F.col("c.x"), F.col("m"))).alias("c")).filter("doc_id != c").select(F.col("doc_id").alias("a"), F.col("c").alias("b"))
+    few = live.filter(F.col("n") <= BAND_CROWD).select("band", "v", "doc_id")
+    pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), ["band", "v"]).filter("a < b").select("a", "b")
+    both = same.unionByName(near).unionByName(starred).unionByName(pairs)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough, by the texts themselves."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for c in ("x", "y"):
+                own = []
+                for _, _, buf, offsets in groups(b.column(c)):
+                    h, first = _shingles(Words(LOWER[buf], offsets))
+                    own += [np.unique(h[p:q]) for p, q in pairwise(first.tolist())]
+                sets.append(own)
+            ok = []
+            for x, y in zip(*sets, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both > 0 and both >= SIMILARITY * (len(x) + len(y) - both))
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], schema=schema)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = cut(texts(documents).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    told = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return told.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """doc_id, component_id: documents linked by equal texts or by SIMILARITY of their shingles or more.
+
+    Fingerprints alone cannot find these: at a similarity of 0.8, 64-bit fingerprints of five-word
+    shingles differ in 3 to 14 bits, and no split of 64 bits searches within 14 at bearable cost.
+    So bands of minima give further candidates, and the texts decide on all.
+    """
+    all_ = cut(sketches(documents))
+    copies = cut(all_.groupBy("copy").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("m")).select("copy", "m.*"))
+    one = copies.filter(F.size("bands") > 0).select("doc_id", "fp", "bands")
+    roots = components(verified(documents, cut(candidates(one))))
+    of = copies.select("copy", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return all_.select("copy", "doc_id").join(of.select("copy", F.coalesce("root", "doc_id").alias("component_id")), "copy").select("doc_id", "component_id")
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """documents without all but the first (by doc_id) of each group of near copies."""
+    gone = near_copies(documents).filter("doc_id != component_id").select("doc_id").distinct()
+    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)

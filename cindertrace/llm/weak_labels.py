@@ -21,7 +21,7 @@ scores; an empty table gives no rows. Labels with a null doc_id or null toxic ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import exp
 
 import numpy as np
@@ -37,6 +37,8 @@ LABELLED, SAMPLE = 4000, 6000
 HARSH, TABLE = 20_000, 1 << 16
 #: Bytes of a word's beginning that is looked at besides the whole word.
 BEGINNING = 7
+#: -log10 of the chance from which on harsh words count.
+ODD = 2.5
 REJECT, ABSTAIN, KEEP = 0, 1, 2
 LABELLERS = ("signs", "capitals", "stutter", "lines", "cells", "harsh", "prose")
 
@@ -142,7 +144,7 @@ def votes(x: np.ndarray) -> np.ndarray:
         cast((stutter > 0.2) & (n > 8), stutter < 0.05),
         cast(repeated > 0.5, none),
         cast((cells > 0.1) & (n > 8), none),
-        cast(odd > 2.5, (hits == 0) & (n > 40)),
+        cast(odd > ODD, (hits == 0) & (n > 40)),
         cast(n < 1, (ends >= n / 40) & (ends > 0) & (signs < 0.1) & (cells < 0.1) & (stutter < 0.2)),
     ])
 
@@ -153,7 +155,7 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 def mine_harsh_words(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float]]:
     """Salted hashes of harsh words, sorted, and for each language how often clean texts use them by word."""
-    spark = documents.sparkSession
+    spark = prepare(documents.sparkSession)
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     some = known.filter("toxic = 1").orderBy(*by_hash).limit(LABELLED).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(LABELLED))
@@ -179,13 +181,16 @@ def mine_harsh_words(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarra
     def total(column: str, label: int) -> F.Column:
         return F.sum(F.when(F.col("toxic") == label, F.col(column)).otherwise(0))
 
-    by = cut(counted.withColumn("one", F.lit(1)).groupBy("lang", "h").agg(total("n", 1).alias("bad"), total("n", 0).alias("good"), total("one", 1).alias("docs")).filter("docs >= 4 OR h = 0"))
-    size = {r["lang"]: (r["bad"], r["good"]) for r in by.filter("h = 0").collect()}  # a row for each language
+    by = cut(counted.withColumn("one", F.lit(1)).groupBy("lang", "h").agg(total("n", 1).alias("bad"), total("n", 0).alias("good"), total("one", 1).alias("docs"), total("one", 0).alias("good_docs")).filter("docs >= 4 OR h = 0"))
+    size = {r["lang"]: (r["bad"], r["good"], r["docs"], r["good_docs"]) for r in by.filter("h = 0").collect()}  # a row for each language
     if not size:
         return np.zeros(0, U), {}
-    sizes = spark.createDataFrame([(k, float(max(a, 1)), float(max(b, 1))) for k, (a, b) in size.items()], "lang string, n_bad double, n_good double")
+    sizes = spark.createDataFrame([(k, *(float(max(x, 1)) for x in own)) for k, own in size.items()], "lang string, n_bad double, n_good double, all_bad double, all_good double")
     lift = (F.col("bad") / F.col("n_bad")) / ((F.col("good") + 0.5) / F.col("n_good"))
-    found = by.filter("h != 0").join(F.broadcast(sizes), "lang").filter(lift > 12).orderBy(F.desc("bad"), "h").limit(HARSH).collect()
+    # and in more toxic texts than chance allows for any word of a large vocabulary (a Poisson tail below e^-16)
+    chance = (F.col("good_docs") + 0.5) / F.col("all_good") * F.col("all_bad")
+    tail = F.col("docs") * F.ln(F.col("docs") / chance) - (F.col("docs") - chance)
+    found = by.filter("h != 0").join(F.broadcast(sizes), "lang").filter((lift > 12) & (F.col("docs") > chance) & (tail > 16)).orderBy(F.desc("bad"), "h").limit(HARSH).collect()
     rates: dict[str, float] = {}
     for r in found:
         rates[r["lang"]] = rates.get(r["lang"], 0.0) + r["good"] / max(size[r["lang"]][1], 1)
@@ -211,6 +216,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
             for x in range(3):
                 rates[:, k, x] = weight[:, v[:, k] == x].sum(axis=1) + 0.5
         rates /= rates.sum(axis=2, keepdims=True)
+        # known by design: chance alone gives so many harsh words to one good text in 10^ODD (one labeller alone can't tell)
+        rates[0, LABELLERS.index("harsh"), REJECT] = min(rates[0, LABELLERS.index("harsh"), REJECT], 10**-ODD)
         share = (weight.sum(axis=1) + 1) / (weight.sum() + 3)
         logs = np.log(share)[:, None] + np.log(rates[:, np.arange(len(LABELLERS)), v]).sum(axis=2)
         new = np.exp(logs - logs.max(axis=0))
@@ -245,8 +252,8 @@ def dense_findings(x: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.column_stack([v == REJECT, v == KEEP, np.minimum(x[:, 7], 5) / 5, np.log1p(x[:, 0]) / 10, np.ones(len(x))]).astype(np.float64)
 
 
-def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score (the chance that the scorer gives a document of being bad), keep."""
+def fit(documents: DataFrame, labels: DataFrame) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Fits the model; returns what scores a batch (columns text and lang): each row's chance of being bad."""
     spark = prepare(documents.sparkSession)
     harsh, rates = mine_harsh_words(documents, labels)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
@@ -275,33 +282,48 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     rows = [(w.values.to_numpy(zero_copy_only=False), np.array(d), posterior[p]) for w, d, p in zip(picked.column("words"), picked.column("dense").to_pylist(), picked.column("pattern").to_pylist(), strict=True)]
     model = fit_scorer(rows) if rows else (np.zeros(TABLE), np.zeros(2 * len(LABELLERS) + 3))
     sent = spark.sparkContext.broadcast(model)  # TABLE weights
+
+    def score(b: pa.RecordBatch) -> np.ndarray:
+        words, dense = sent.value
+        out = [np.zeros(0)]
+        for _, bare, x, _ in _looked(b, *known.value):
+            share = sums(words[(bare.hashes % U(TABLE)).astype(np.int64)], bare.first) / np.maximum(bare.counts(), 1)
+            z = share + dense_findings(x, votes(x)) @ dense
+            out.append(np.where(x[:, 0] < 1, 1.0, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+        return np.concatenate(out)
+
+    return score
+
+
+def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score (the chance that the scorer gives a document of being bad), keep."""
+    score = fit(documents, labels)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("keep", pa.bool_())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, dense = sent.value
         for b in batches:
-            out = []
-            for _, bare, x, _ in _looked(b, *known.value):
-                share = sums(words[(bare.hashes % U(TABLE)).astype(np.int64)], bare.first) / np.maximum(bare.counts(), 1)
-                z = share + dense_findings(x, votes(x)) @ dense
-                out.append(np.where(x[:, 0] < 1, 1.0, 1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            score = np.concatenate(out) if out else np.zeros(0)
-            yield record_batch(schema, b.column("doc_id"), score, score < 0.5)
+            s = score(b)
+            yield record_batch(schema, b.column("doc_id"), s, s < 0.5)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(decide, "doc_id long, score double, keep boolean")
+
 
-    return docs.mapInArrow(decide, "doc_id long, score double, keep boolean")
+def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """documents without the rejected ones."""
+    score = fit(documents, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(score(b) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def _looked(b: pa.RecordBatch, harsh: np.ndarray, rates: dict) -> Iterator[tuple]:
-    lang = b.column("lang").to_pylist()
+    lang = [x or "" for x in b.column("lang").to_pylist()]
     for i, j, buf, offsets in groups(b.column("text")):
         yield i, *findings(buf, offsets, lang[i:j], harsh, rates), j
 
 
 def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without the rejected ones. Rows without a doc_id are judged by text alone."""
-    found = classify(documents, labels).filter("keep").select("doc_id").distinct()
-    return documents.join(found, "doc_id", "left_semi").select(*documents.columns)
