@@ -1,21 +1,125 @@
-"""The driver's tables seen as thermal observations, as SQL text that several engines read alike."""
+"""The driver's tables seen as the domain's: for Spark as DataFrames, for the oracle as common table expressions.
+
+Users sit about two kilometres apart, and one user's points lie within 400 m of each other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+class Tables:
+    """Reads what is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def obs(self) -> DataFrame:
+        u, e = F.col("user_id"), F.col("event_id")
+        return self.read("events").select(
+            e.alias("obs_id"),
+            F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("acquired_at"),
+            u.alias("place"),
+            (69.5 + 0.02 * (u % 50) + 0.0005 * (e % 7)).alias("lon"),
+            (22.0 + 0.02 * F.floor(u / 50) + 0.0005 * (e % 5)).alias("lat"),
+            F.when(e % 11 != 0, F.col("value")).alias("frp_mw"),
+            F.lit("N20").alias("satellite"),
+            F.when(F.col("event_type").isin("click", "view"), "D").otherwise("N").alias("daynight"),
+            F.when(e % 3 == 0, "SP").otherwise("NRT").alias("product"),
+            F.element_at(F.array(F.lit("l"), F.lit("n"), F.lit("h")), (e % 3 + 1).cast("int")).alias("confidence"),
+            (300 + F.col("value") % 60).alias("i4"),
+            (280 + e % 20).cast("double").alias("i5"),
+        )
+
+    def runs(self) -> DataFrame:
+        """Retrievals: a place and up to four days, some failed or with rejected rows."""
+        k = F.col("o_orderkey")
+        start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 30).cast("int"))
+        return self.read("orders").select(
+            k.alias("run_id"),
+            (F.col("o_custkey") % 60).alias("place"),
+            start.alias("start_date"),
+            F.date_add(start, (k % 4).cast("int")).alias("end_date"),
+            F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").when(F.col("o_orderstatus") == "O", "PARTIAL").otherwise("FAILED").alias("status"),
+            F.when(k % 5 == 0, "LIVE").otherwise("HISTORICAL_REPLAY").alias("mode"),
+            F.when(k % 7 == 0, "SP").otherwise("NRT").alias("product"),
+        )
+
+    def receipts(self) -> DataFrame:
+        return self.read("lineitem").select(F.col("l_orderkey").alias("run_id"), (F.col("l_linenumber") + 1).cast("long").alias("row_number"), F.col("l_partkey").alias("obs_id"))
+
+    def facilities(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        kinds = F.array(*map(F.lit, ("LNG", "REFINERY", "PETROCHEMICAL", "STEEL", "POWER", "MINE", "OTHER", "UNKNOWN")))
+        return self.read("supplier").select(k.alias("fac_id"), (69.504 + 0.02 * (k % 50)).alias("lon"), (22.003 + 0.02 * F.floor(k / 50)).alias("lat"), F.element_at(kinds, F.col("s_nationkey") % 8 + 1).alias("facility_type"))
+
+    def plants(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.read("customer").select(k.alias("plant_id"), (69.49 + 0.007 * (k % 150)).alias("lon"), (21.99 + 0.007 * F.floor(k / 150)).alias("lat"), F.col("c_mktsegment").alias("fuel"))
+
+    def places(self) -> DataFrame:
+        return self.obs().groupBy("place").agg(F.min_by("lon", "obs_id").alias("lon"), F.min_by("lat", "obs_id").alias("lat"))
+
+    def cases(self) -> DataFrame:
+        k = F.col("event_id")
+        return self.read("events").select(k.alias("id"), F.concat(F.lit("r"), (F.col("user_id") % 6).cast("string")).alias("region_id"), F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("split_group"), (k % 2 + 1).alias("review_slots"), F.when(k % 5 == 0, "INDUSTRIAL").alias("silver"), F.when(k % 7 == 0, "UNKNOWN").when(k % 7 < 4, "AGRICULTURAL_BURN").alias("weak"))
+
+    def reviews(self) -> DataFrame:
+        """Up to seven lines of an order as reviews of the case of its number."""
+        q = F.col("l_quantity").cast("long")
+        label = F.when(q % 4 == 0, "INDUSTRIAL").when(q % 4 == 1, "INDUSTRIAL").when(q % 4 == 2, "VEGETATION_FIRE").otherwise("UNRESOLVED")
+        line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+        return self.read("lineitem").filter("l_linenumber <= 4").withColumn("k", F.row_number().over(line)).filter("k = 1").select(
+            F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_returnflag") == "R", "ADJUDICATOR").otherwise("REVIEWER").alias("role"),
+            label.alias("source_label"), F.when(q % 3 == 0, "HIGH").when(q % 3 == 1, "MEDIUM").otherwise("LOW").alias("certainty"), (q % 2 == 0).alias("inside"), (F.col("l_suppkey") % 2 == 0).alias("qualifies"),
+        )
+
+    def predictions(self) -> DataFrame:
+        k, p = F.col("l_orderkey"), (F.col("l_quantity") * 2 - 1) / 100
+        return self.read("lineitem").select(k.alias("id"), ((F.col("l_partkey") + F.col("l_linenumber")) % 2).cast("int").alias("y"), p.alias("p"), (p >= 0.5).cast("int").alias("pred"), (F.col("l_suppkey") % 10).alias("grp"))
+
 
-#: Users sit about two kilometres apart; one user's points lie within 400 m of each other.
-OBS = """obs AS (SELECT event_id AS obs_id, date_trunc('hour', ts) AS acquired_at, user_id,
+#: The same tables in SQL.
+CTE = {
+    "obs": """obs AS (SELECT event_id AS obs_id, date_trunc('hour', ts) AS acquired_at, user_id AS place,
   CAST(69.5 + 0.02*(user_id % 50) + 0.0005*(event_id % 7) AS DOUBLE) AS lon,
   CAST(22.0 + 0.02*floor(user_id / 50) + 0.0005*(event_id % 5) AS DOUBLE) AS lat,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS frp_mw, 'N20' AS satellite,
-  CASE WHEN event_type IN ('click','view') THEN 'D' ELSE 'N' END AS daynight FROM events)"""
+  CASE WHEN event_type IN ('click','view') THEN 'D' ELSE 'N' END AS daynight,
+  CASE WHEN event_id % 3 = 0 THEN 'SP' ELSE 'NRT' END AS product, CASE event_id % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'n' ELSE 'h' END AS confidence,
+  300 + value % 60 AS i4, CAST(280 + event_id % 20 AS DOUBLE) AS i5 FROM events)""",
+    "runs": """runs AS (SELECT o_orderkey AS run_id, o_custkey % 60 AS place, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS start_date,
+  DATE '2024-01-01' + CAST(o_orderkey % 30 + o_orderkey % 4 AS INTEGER) AS end_date,
+  CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PARTIAL' ELSE 'FAILED' END AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'LIVE' ELSE 'HISTORICAL_REPLAY' END AS mode, CASE WHEN o_orderkey % 7 = 0 THEN 'SP' ELSE 'NRT' END AS product FROM orders)""",
+    "receipts": "receipts AS (SELECT l_orderkey AS run_id, CAST(l_linenumber + 1 AS BIGINT) AS row_number, l_partkey AS obs_id FROM lineitem)",
+    "facilities": """facilities AS (SELECT s_suppkey AS fac_id, 69.504::DOUBLE + 0.02::DOUBLE*(s_suppkey % 50) AS lon, 22.003::DOUBLE + 0.02::DOUBLE*floor(s_suppkey / 50) AS lat,
+  (['LNG','REFINERY','PETROCHEMICAL','STEEL','POWER','MINE','OTHER','UNKNOWN'])[s_nationkey % 8 + 1] AS facility_type FROM supplier)""",
+    "plants": """plants AS (SELECT c_custkey AS plant_id, 69.49::DOUBLE + 0.007::DOUBLE*(c_custkey % 150) AS lon, 21.99::DOUBLE + 0.007::DOUBLE*floor(c_custkey / 150) AS lat, c_mktsegment AS fuel FROM customer)""",
+    "places": "places AS (SELECT place, arg_min(lon, obs_id) AS lon, arg_min(lat, obs_id) AS lat FROM obs GROUP BY place)",
+    "cases": """cases AS (SELECT event_id AS id, 'r' || (user_id % 6) AS region_id, 'g' || user_id AS split_group, event_id % 2 + 1 AS review_slots,
+  CASE WHEN event_id % 5 = 0 THEN 'INDUSTRIAL' END AS silver, CASE WHEN event_id % 7 = 0 THEN 'UNKNOWN' WHEN event_id % 7 < 4 THEN 'AGRICULTURAL_BURN' END AS weak FROM events)""",
+    "reviews": """reviews AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS seq, CASE WHEN l_returnflag = 'R' THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role,
+  CASE WHEN l_quantity::BIGINT % 4 < 2 THEN 'INDUSTRIAL' WHEN l_quantity::BIGINT % 4 = 2 THEN 'VEGETATION_FIRE' ELSE 'UNRESOLVED' END AS source_label,
+  CASE l_quantity::BIGINT % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS certainty, l_quantity::BIGINT % 2 = 0 AS inside, l_suppkey % 2 = 0 AS qualifies
+  FROM lineitem WHERE l_linenumber <= 4 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)""",
+    "predictions": """predictions AS (SELECT l_orderkey AS id, CAST((l_partkey + l_linenumber) % 2 AS INTEGER) AS y, (l_quantity * 2 - 1) / 100 AS p,
+  CAST((l_quantity * 2 - 1) / 100 >= 0.5 AS INTEGER) AS pred, l_suppkey % 10 AS grp FROM lineitem)""",
+}
 
 
-def with_obs(rest: str) -> str:
-    return f"WITH {OBS}{rest}"
+def sql(tables: str, rest: str) -> str:
+    return "WITH " + ",\n".join(CTE[t] for t in tables.split()) + "\n" + rest
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for name in names:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+def distance_sql(a: str, b: str) -> str:
+    """functions.geo.distance_m between two aliases."""
+    w = f"sqrt(1 - 0.00669437999014 * pow(sin(radians(({a}.lat + {b}.lat) / 2)), 2))"
+    north = f"(pi() / 180 * 6378137.0 * (1 - 0.00669437999014) / ({w} * {w} * {w}))"
+    east = f"(pi() / 180 * 6378137.0 * cos(radians(({a}.lat + {b}.lat) / 2)) / {w})"
+    return f"sqrt(pow(({a}.lat - {b}.lat) * {north}, 2) + pow(({a}.lon - {b}.lon) * {east}, 2))"
