@@ -73,11 +73,11 @@ def suffixes(documents: DataFrame, rule: Rule, length: int) -> DataFrame:
     return texts(documents).filter(F.col("doc_id").isNotNull()).mapInArrow(run, "head long, ctx long, doc_id long, lo int, hi int")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Those of suffixes() whose head another row shares.
+def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compares suffixes() with their neighbours in sorted order.
 
-    whole: another row has the same context; later: and one of them sorts before it; extend: it
-    stands for its context where the head has others.
+    First: doc_id, lo, hi, later of the rows whose context another row has (later: and one of them
+    sorts before it). Second: doc_id, lo, hi of one row for each context whose head has others.
     """
     order = ["head", "ctx", "doc_id", "lo"]
     schema = pa.schema([("head", pa.int64()), ("ctx", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("whole", pa.bool_()), ("later", pa.bool_()), ("shared", pa.bool_()), ("edge", pa.bool_())])
@@ -135,9 +135,10 @@ def neighbours(rows: DataFrame) -> DataFrame:
     again = edges.join(by_ctx, ["head", "ctx"]).join(by_head, "head")
     again = again.withColumns({"whole": F.col("whole") | (F.col("n_ctx") > 1), "later": F.col("later") | (place > F.col("first")), "shared": F.col("shared") | (F.col("n_head") > 1)})
     near = near.filter("NOT edge").select(*schema.names).unionByName(again.select(*schema.names)).filter("shared")
-    # one row stands for each context; only heads with several contexts need to be extended
-    several = cut(near.filter("NOT later").groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head", F.lit(True).alias("several")))
-    return cut(near.join(several, "head", "left").withColumn("extend", ~F.col("later") & F.coalesce("several", F.lit(False))).select("doc_id", "lo", "hi", "whole", "later", "extend"))
+    # one row stands for each context (the first); only heads with several contexts need to be extended
+    first = near.filter("NOT later")
+    several = cut(first.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"))
+    return near.filter("whole").select("doc_id", "lo", "hi", "later"), first.join(several, "head", "left_semi").select("doc_id", "lo", "hi")
 
 
 def extend(documents: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -172,11 +173,11 @@ def repeated_ranges(documents: DataFrame, rule: Rule, length: int) -> DataFrame:
     go and one of each stays.
     """
     # written first: the range partitioner reads its input twice
-    near = neighbours(cut(suffixes(documents, rule, length)))
-    found = extend(documents, near.filter("extend"), length)
+    whole, alike = neighbours(cut(suffixes(documents, rule, length)))
+    found = extend(documents, alike, length)
     # one row for each run of windows, not for each window
     runs = found.groupBy("doc_id", "later").agg(F.array_sort(F.collect_list("at")).alias("at")).mapInArrow(_runs, "doc_id long, lo int, hi int, later boolean")
-    rows = near.filter("whole").select("doc_id", "lo", "hi", "later").unionByName(runs)
+    rows = whole.unionByName(runs)
     return rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "later")).alias("ranges"))
 
 
