@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import md5
 from html import unescape
 
 import numpy as np
@@ -139,48 +140,60 @@ def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return starts, place, grams[place], place
 
 
-def host_repeats(pages: DataFrame) -> DataFrame:
-    """row, ranges: the words outside the main text that other pages of the host repeat; for pages(row, host, html)."""
-    schema = pa.schema([("row", pa.int64()), ("salt", pa.int64()), ("text", pa.string())])
+def host_repeats(outer: DataFrame) -> DataFrame:
+    """row, ranges: the words that other pages of the host repeat, for outer(row, salt, page, text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = ["\n".join(t for _, t in split_page(h)[1]) for h in b.column("html").to_pylist()]
-            yield record_batch(schema, b.column("row"), b.column("salt"), text)
-
-    outer = cut(pages.select("row", F.xxhash64("host").alias("salt"), "html").mapInArrow(run, "row long, salt long, text string").withColumn("content", F.md5("text")))
-    whole = pages.select("row", F.md5(F.coalesce("html", F.lit(""))).alias("page"))
-    of = outer.select("row", "salt", "content").join(whole, "row")
-    # copies of a page stand for one
-    first = cut(of.groupBy("salt", "page").agg(F.min("row").alias("doc_id")))
-    one = outer.join(first.select(F.col("doc_id").alias("row")), "row", "left_semi").select(F.col("row").alias("doc_id"), "text", "salt")
-    ranges = repeated_ranges(one, minimisers, LENGTH)
-    return of.join(first, ["salt", "page"]).join(ranges, "doc_id").select("row", "ranges")
+    salt stands for the host and page for the whole html, of whose copies one is looked at.
+    """
+    first = cut(outer.groupBy("salt", "page").agg(F.min(F.struct("row", "text")).alias("m")).select("salt", "page", F.col("m.row").alias("doc_id"), "m.text"))
+    ranges = repeated_ranges(first.select("doc_id", "text", "salt"), minimisers, LENGTH)
+    return outer.filter("alone").select("salt", "page", "row").distinct().join(first.select("salt", "page", "doc_id").join(ranges, "doc_id"), ["salt", "page"]).select("row", "ranges")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every row of pages(page_id, url, html)."""
+    """page_id, url, text of every row of pages(page_id, url, html).
+
+    Pages with an article or main are told from their structure alone; only the others are joined
+    with what their host repeats.
+    """
     prepare(pages.sparkSession)
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
     # rows are told apart by all they hold: repeated rows share what is found for them
-    rows = pages.select("page_id", "url", "html", host.alias("host")).withColumn("row", F.xxhash64("page_id", "url", "html"))
-    found = host_repeats(rows.select("row", "host", "html").dropDuplicates(["row"]))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("salt"), F.xxhash64("page_id", "url", "html").alias("row"))
+    outer_schema = pa.schema([("row", pa.int64()), ("salt", pa.int64()), ("page", pa.string()), ("text", pa.string()), ("alone", pa.bool_())])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            html = [h or "" for h in b.column("html").to_pylist()]
+            split = [split_page(h) for h in html]
+            yield record_batch(outer_schema, b.column("row"), b.column("salt"), [md5(h.encode()).hexdigest() for h in html], ["\n".join(t for _, t in rest) for _, rest in split], [not main for main, _ in split])
+
+    def structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(p, u, main) for p, u, h in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if (main := split_page(h)[0])]
+            yield record_batch(schema, *([r[k] for r in out] for k in range(2)), ["\n".join(r[2]) for r in out])
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for html, ranges in zip(b.column("html").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                main, rest = split_page(html)
-                if not main:
-                    counts = [len(t.encode().split()) for _, t in rest]
-                    gone = covered(sum(counts), ranges, LENGTH, False)
-                    first = np.cumsum([0, *counts])
-                    main = [t for k, (kind, t) in enumerate(rest) if kind == OUTER and not (counts[k] and gone[first[k] : first[k + 1]].all())]
-                out.append("\n".join(main))
+                rest = split_page(html)[1]
+                counts = [len(t.encode().split()) for _, t in rest]
+                gone = covered(sum(counts), ranges, LENGTH, False)
+                first = np.cumsum([0, *counts])
+                out.append("\n".join(t for k, (kind, t) in enumerate(rest) if kind == OUTER and not (counts[k] and gone[first[k] : first[k + 1]].all())))
             yield record_batch(schema, b.column("page_id"), b.column("url"), out)
 
-    return rows.join(found, "row", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "ranges").mapInArrow(run, "page_id long, url string, text string")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not split_page(h)[0] for h in b.column("html").to_pylist()], pa.bool_()))
+
+    kinds = "page_id long, url string, text string"
+    outer = cut(rows.select("row", "salt", "html").mapInArrow(outside, "row long, salt long, page string, text string, alone boolean"))
+    found = host_repeats(outer)
+    alone = rows.select("row", "page_id", "url", "html").mapInArrow(pick, "row long, page_id long, url string, html string").join(found, "row", "left")
+    return rows.select("page_id", "url", "html").mapInArrow(structured, kinds).unionByName(alone.select("page_id", "url", "html", "ranges").mapInArrow(unmarked, kinds))
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

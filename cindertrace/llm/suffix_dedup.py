@@ -46,11 +46,14 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """documents without all later occurrences of repeated passages; what is between other words stays as it is."""
     columns = documents.columns
+    own_name = "ranges"
+    while own_name in columns:  # whatever the table's columns are called
+        own_name += "_"
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, ranges = [], b.column("ranges")
+            out, ranges = [], b.column(own_name)
             for i, j, buf, offsets in groups(b.column("text")):
                 for k in range(i, j):
                     own = buf[offsets[k - i] : offsets[k - i + 1]]
@@ -68,7 +71,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    marked = documents.join(repeated_passages(documents, length), "doc_id", "left").select(*columns, "ranges")
+    marked = documents.join(repeated_passages(documents, length).withColumnRenamed("ranges", own_name), "doc_id", "left").select(*columns, own_name)
     return marked.mapInArrow(run, documents.schema)
 
 
