@@ -161,6 +161,7 @@ def mine_harsh_words(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarra
     some = known.filter("toxic = 1").orderBy(*by_hash).limit(LABELLED).unionByName(known.filter("toxic = 0").orderBy(*by_hash).limit(LABELLED))
     some = some.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang")).join(F.broadcast(some), "doc_id")
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,8 +174,8 @@ def mine_harsh_words(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarra
                     own, d = mix(h ^ salt[doc])[h != 0], doc[h != 0]
                     pairs, n = np.unique(np.stack([d.astype(U), own]), axis=1, return_counts=True)
                     d = pairs[0].astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"h": signed(pairs[1].copy()), "lang": [lang[i + k] for k in d.tolist()], "toxic": toxic[i + d], "n": n.astype(np.int64)})
-                yield pa.RecordBatch.from_pydict({"h": np.zeros(j - i, np.int64), "lang": lang[i:j], "toxic": toxic[i:j], "n": w.counts().astype(np.int64)})
+                    yield record_batch(schema, signed(pairs[1].copy()), [lang[i + k] for k in d.tolist()], toxic[i + d], n.astype(np.int64))
+                yield record_batch(schema, np.zeros(j - i, np.int64), lang[i:j], toxic[i:j], w.counts().astype(np.int64))
 
     counted = rows.mapInArrow(run, "h long, lang string, toxic int, n long")
 
