@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are worked on in groups of about this many bytes; a longer text is a group by itself.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 _BASE, _STEP = U(0x9E3779B97F4A7C55), U(0xD6E8FEB86659FD93)
 _STEP_INV = U(pow(int(_STEP), -1, 1 << 64))
 
