@@ -253,6 +253,12 @@ def pair_distances(t: Tables) -> DataFrame:
     return spatial.self_pairs(some, 1500.0, "obs_id").withColumn("distance_m", F.round("distance_m", 3))
 
 
+@register()
+def all_pair_distances(t: Tables) -> DataFrame:
+    """pair_distances over every observation; its SQL keeps each tenth, so this has none."""
+    return spatial.self_pairs(t.obs(), 1500.0, "obs_id").withColumn("distance_m", F.round("distance_m", 3))
+
+
 @register(sql("obs places", f"SELECT p.place, count(*) AS n, round(max(frp_mw), 6) AS max_frp FROM places p JOIN obs o ON abs(p.lat - o.lat) < 0.02 AND abs(p.lon - o.lon) < 0.02 WHERE {distance_sql('p', 'o')} <= 750 GROUP BY p.place"))
 def radius_history(t: Tables) -> DataFrame:
     found = spatial.near(t.places(), t.obs().select("obs_id", "lon", "lat", "frp_mw"), 750.0)

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cindertrace import catalog
 from cindertrace.functions import geo
 from cindertrace.operators import components, episodes, features, history, labels, landcover, rules
+from cindertrace.plans.adapter import Tables
 from cindertrace.sources import detections, exports, mapped
 
 T0 = datetime(2026, 1, 2, 9)
@@ -170,3 +172,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("closed").collect()) in ([1, 3], [1, 5], [1], [3])
+
+
+def test_all_pairs_of_observations(spark, small):
+    points = [(r["obs_id"], r["lon"], r["lat"]) for r in Tables(spark, small).obs().select("obs_id", "lon", "lat").collect()]
+    ids, lon, lat = (np.array(x) for x in zip(*sorted(points), strict=True))
+    a, b = np.triu_indices(len(ids), 1)
+    middle = np.radians((lat[a] + lat[b]) / 2)
+    w = np.sqrt(1 - 0.00669437999014 * np.sin(middle) ** 2)
+    north = np.radians(lat[a] - lat[b]) * 6378137.0 * (1 - 0.00669437999014) / w**3
+    d = np.hypot(north, np.radians(lon[a] - lon[b]) * 6378137.0 * np.cos(middle) / w)
+    want = {(int(ids[i]), int(ids[j])): x for i, j, x in zip(a, b, d.tolist(), strict=True) if x <= 1500}
+    got = {(r["a"], r["b"]): r["distance_m"] for r in catalog.QUERIES["all_pair_distances"](spark, small).collect()}
+    assert got == {k: pytest.approx(x, abs=1e-3) for k, x in want.items()}
+    assert any(x % 10 or y % 10 for x, y in got)
