@@ -257,6 +257,8 @@ SIMILARITY, SHINGLE = 0.8, 5
 BANDS, ROWS = 20, 5
 #: Texts that share a band: up to so many are compared one by one.
 BAND_CROWD = 12
+#: Texts, and shingles, in a block of a crowded band: any two blocks of a band meet in one task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 
 
 def _shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -270,20 +272,21 @@ def _shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, copy (digest of the whole text), fp (five-word SimHash), bands (one hash each; none without words)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, copy (digest of the whole text), fp (five-word SimHash), bands (one hash each; none without words), size (shingles)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("size", pa.int64())])
     odd = [np.uint64(x) for x in (np.random.default_rng(17).integers(0, 1 << 62, BANDS * ROWS) * 2 + 1).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             copy = [md5(x.encode()).digest() for x in b.column("text").to_pylist()]
-            fp, bands = np.zeros(b.num_rows, np.uint64), [[]] * b.num_rows
+            fp, bands, size = np.zeros(b.num_rows, np.uint64), [[]] * b.num_rows, np.zeros(b.num_rows, np.int64)
             for i, j, buf, offsets in groups(b.column("text")):
                 h, first = _shingles(Words(LOWER[buf], offsets))
                 some = np.flatnonzero(np.diff(first))
                 if not len(some):
                     continue
                 at = first[some]
+                size[i + some] = np.diff(first)[some]
                 fp[i + some] = np.packbits(_votes(h.astype(">u8"), at, np.diff(first)[some]), axis=1).view(">u8").ravel()
                 own = np.zeros((len(some), BANDS), np.uint64)
                 for k, a in enumerate(odd):
@@ -291,16 +294,17 @@ def sketches(documents: DataFrame) -> DataFrame:
                     own[:, band] = mix(own[:, band] ^ np.minimum.reduceat(h * a, at) ^ np.uint64(k))
                 for d, x in zip((i + some).tolist(), signed(own).tolist(), strict=True):
                     bands[d] = x
-            yield record_batch(schema, b.column("doc_id"), copy, signed(fp), bands)
+            yield record_batch(schema, b.column("doc_id"), copy, signed(fp), bands, size)
 
-    return texts(documents).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>")
+    return texts(documents).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, size long")
 
 
 def candidates(one: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents worth comparing, for one(doc_id, fp, bands): near fingerprints, shared bands.
 
     A crowded band lists no pairs: its members are compared with the one that shares most bands with
-    most others (the text that the others were copied from, if it is there) and with the least.
+    most others (the text that the others were copied from, if it is there) and with the least. What
+    these leave apart, crowd_links() compares.
     """
     least = cut(one.groupBy("fp").agg(F.min("doc_id").alias("least")))
     same = one.join(least, "fp").filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
@@ -319,19 +323,96 @@ def candidates(one: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """Each text's sorted distinct shingles."""
+    own = []
+    for _, _, buf, offsets in groups(column):
+        h, first = _shingles(Words(LOWER[buf], offsets))
+        own += [np.unique(h[p:q]) for p, q in pairwise(first.tolist())]
+    return own
+
+
+def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the sets at left are similar enough to which at right."""
+    lengths = np.array([len(x) for x in sets])
+    shingle, count = np.unique(np.concatenate(sets), return_counts=True)
+    shingle = shingle[count > 1]
+    both = np.zeros((len(left), len(right)))
+    for k in range(0, len(shingle), 4096):
+        some = shingle[k : k + 4096]
+        has = np.zeros((len(sets), len(some)), np.float32)
+        for i, x in enumerate(sets):
+            part = x[np.searchsorted(x, some[0]) : np.searchsorted(x, some[-1], "right")]
+            at = np.searchsorted(some, part)
+            has[i, at[some[at] == part]] = 1
+        both += has[left] @ has[right].T
+    return (both > 0) & (both >= SIMILARITY * (lengths[left][:, None] + lengths[right] - both))
+
+
+def _block_links(t: pa.Table) -> pa.Table:
+    """Edges (a, b) that link all roots of one or two blocks which a similar pair of their texts links."""
+    ids, roots, side = (t.column(c).to_numpy() for c in ("doc_id", "root", "side"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    x, y = np.nonzero(_alike(sum((_sets(c) for c in t.column("text").chunks), []), left, right) & (roots[left][:, None] != roots[right]))
+    parent = {r: r for r in roots.tolist()}
+
+    def find(r):
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    ends, first = np.unique(np.sort(np.stack([roots[left[x]], roots[right[y]]], 1), axis=1), axis=0, return_index=True)
+    found = []
+    for (p, q), k in zip(ends.tolist(), first.tolist(), strict=True):
+        p, q = find(p), find(q)
+        if p != q:
+            parent[p] = q
+            found.append((int(ids[left[x[k]]]), int(ids[right[y[k]]])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def crowd_links(documents: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links (a, b) between roots(node, root) by similar texts that share a crowded band of one(doc_id, bands, size).
+
+    Texts of one root need no comparison. In each band the root with most texts is the bulk, and all
+    others are compared with it and with each other: both are dealt into blocks, and each task gets
+    two blocks. None if no band has more than one root.
+    """
+    rows = one.select("doc_id", "size", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(BANDS - 1)).alias("band"), F.col("bands").alias("v"))).alias("x")).select("doc_id", "size", "x.band", "x.v")
+    crowds = rows.groupBy("band", "v").count().filter(F.col("count") > BAND_CROWD).select("band", "v")
+    wide = rows.join(crowds, ["band", "v"]).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    wide = cut(wide)
+    own = wide.groupBy("band", "v", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    bulk = own.groupBy("band", "v").agg(F.max(F.struct("n", "root", "size")).alias("bulk"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("roots")).filter("roots > 1")
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+
+    bulk = cut(bulk.select("band", "v", F.col("bulk.root").alias("most"), blocks(F.col("bulk.n"), F.col("bulk.size")).alias("p"), blocks(F.col("n") - F.col("bulk.n"), F.col("size") - F.col("bulk.size")).alias("q")))
+    if bulk.isEmpty():
+        return None
+    inside, h = F.col("root") == F.col("most"), F.xxhash64("doc_id")
+    i, j = F.pmod(h, F.col("q")), F.pmod(h, F.col("p"))
+
+    def task(x, y, side):
+        return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("int").alias("side"))
+
+    # blocks of the bulk count as -1, -2 and so on; a block that meets itself is on both sides (2)
+    with_bulk = F.transform(F.sequence(F.lit(1).cast("long"), F.col("p")), lambda k: task(i, -k, F.lit(0)))
+    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda k: task(F.least(i, k), F.greatest(i, k), F.when(k == i, 2).when(i < k, 0).otherwise(1)))
+    of_bulk = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda k: task(k, -1 - j, F.lit(1)))
+    dealt = wide.join(bulk, ["band", "v"]).select("doc_id", "root", "band", "v", F.explode(F.when(inside, of_bulk).otherwise(F.concat(with_bulk, with_rest))).alias("t")).select("doc_id", "root", "band", "v", "t.*")
+    told = dealt.join(texts(documents).dropDuplicates(["doc_id"]), "doc_id")
+    return told.groupBy("band", "v", "x", "y").applyInArrow(_block_links, "a long, b long")
+
+
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar enough, by the texts themselves."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
-            for c in ("x", "y"):
-                own = []
-                for _, _, buf, offsets in groups(b.column(c)):
-                    h, first = _shingles(Words(LOWER[buf], offsets))
-                    own += [np.unique(h[p:q]) for p, q in pairwise(first.tolist())]
-                sets.append(own)
+            sets = [_sets(b.column(c)) for c in ("x", "y")]
             ok = []
             for x, y in zip(*sets, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
@@ -353,9 +434,15 @@ def near_copies(documents: DataFrame) -> DataFrame:
     So bands of minima give further candidates, and the texts decide on all.
     """
     all_ = cut(sketches(documents))
-    copies = cut(all_.groupBy("copy").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("m")).select("copy", "m.*"))
-    one = copies.filter(F.size("bands") > 0).select("doc_id", "fp", "bands")
-    roots = components(verified(documents, cut(candidates(one))))
+    copies = cut(all_.groupBy("copy").agg(F.min(F.struct("doc_id", "fp", "bands", "size")).alias("m")).select("copy", "m.*"))
+    one = copies.filter(F.size("bands") > 0).select("doc_id", "fp", "bands", "size")
+    edges = cut(verified(documents, cut(candidates(one))))
+    roots = cut(components(edges))
+    more = crowd_links(documents, one, roots)
+    if more is not None:
+        more = cut(more)
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more))
     of = copies.select("copy", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return all_.select("copy", "doc_id").join(of.select("copy", F.coalesce("root", "doc_id").alias("component_id")), "copy").select("doc_id", "component_id")
 

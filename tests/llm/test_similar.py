@@ -93,6 +93,26 @@ def test_near_copies(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_copies_in_crowds(spark, monkeypatch, block):
+    """Families without their base text, most pairs below the limit and some above."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(23)
+    docs = []
+    for _ in range(3):
+        base = rng.choice(VOCABULARY, 200)
+        for _ in range(60):
+            w = base.copy()
+            for k in rng.choice(200, 3, replace=False):
+                w[k] = "changed" + str(rng.integers(99999))
+            docs.append(" ".join(w))
+    docs = [docs[k] for k in rng.permutation(len(docs))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
+    want = roots(list(range(len(docs))), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == want
+
+
 def test_nearest(spark):
     x = RNG.normal(size=(1500, 12))
     x[700:900] = x[700]
