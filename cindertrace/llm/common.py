@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,14 @@ BATCH_ROWS = 256
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches, sends the package along, and makes sure that there is a folder for cut().
 
-    On a cluster spark.checkpoint.dir names a shared folder. Only where it is unset, as in local
-    tests, a temporary one is used.
+    On a cluster spark.checkpoint.dir names a shared folder. Where it is unset, a temporary one is
+    used if the master is local, as in tests, and anything else is refused: executors would not see it.
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cindertrace-"))
     return spark
 

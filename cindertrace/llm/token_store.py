@@ -1,7 +1,8 @@
 """Token ids in binary shards, with document boundaries as Elias-Fano sequences.
 
 Documents are dealt by ranges of doc_id, so shards in the order of their first doc_id hold the
-corpus in ascending order (a tie in doc_id goes by the text's hash, then the text). A shard is
+corpus in ascending order (a tie in doc_id goes by the text's hash, then the text; the manifest numbers
+the shards by task and place in it, so that order is the same in every run). A shard is
 
     magic, then n_docs, n_ids, width as little-endian u64,
     the n_docs + 1 boundaries and the n_docs doc_ids (less the first) as Elias-Fano blocks,
@@ -11,9 +12,10 @@ An Elias-Fano block keeps the low bits of each value packed, the high bits in un
 of every 512th one as a 32-bit sample, from which select(i) counts on: about 2 + log2(U/n) bits for
 a value and no table of 64-bit offsets.
 
-Encoding: text is cut at single blanks and line feeds, where the byte-level pattern always cuts,
-and each worker keeps a table of the distinct chunks with their ids. Longer runs of white space are
-cut as the pattern cuts them. Each shard gets a name of its own and counts only if its task's row
+Encoding: the tokenizer's added tokens are cut out first, as the library does. What lies between is cut
+at single blanks and line feeds, where the byte-level pattern always cuts, and each worker keeps a
+table of the distinct chunks with their ids. Longer runs of white space are cut as the pattern cuts
+them, with a table of their own. Each shard gets a name of its own and counts only if its task's row
 reaches the manifest, so repeated and lost tasks leave no wrong rows.
 
 Defined results: a null text is empty (only the end id); rows with a null doc_id take no part; an
@@ -35,6 +37,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,10 @@ PLAIN = re.compile("( [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:*#$%&|]*)")
 CUT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: Where the n-th set bit of a byte stands, the lowest first.
+NTH_BIT = np.stack([np.pad(np.flatnonzero(np.unpackbits(np.uint8([b]), bitorder="little")), (0, 8))[:8] for b in range(256)])
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers."""
 
@@ -108,6 +115,19 @@ class EliasFano:
         own = np.unpackbits(self.lows[first // 8 : (first + self.low + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low]
         return ((place - i) << self.low) | int((own.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum())
 
+    def many(self, i: np.ndarray) -> np.ndarray:
+        """select() of each of i, in one pass over the high bits."""
+        if len(i) and not (i.min() >= 0 and i.max() < self.n):
+            raise IndexError(i)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.highs), dtype=np.int64)])
+        byte = np.searchsorted(before, i, "right") - 1
+        place = byte * 8 + NTH_BIT[self.highs[byte], i - before[byte]]
+        low = np.zeros(len(i), np.int64)
+        for k in range(self.low):
+            at_ = i * self.low + k
+            low |= (self.lows[at_ >> 3] >> (at_ & 7) & 1).astype(np.int64) << k
+        return ((place - i) << self.low) | low
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
         bits = np.unpackbits(self.lows, bitorder="little", count=self.n * self.low).reshape(self.n, self.low)
@@ -128,7 +148,9 @@ class ByteCoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        added = {x.content: (i, x) for i, x in t.get_added_tokens_decoder().items()}
+        if any(x.lstrip or x.rstrip or x.single_word or x.normalized for _, x in added.values()):
+            raise ValueError("added tokens that take in what is around them")
         self.model, self.split = t.model, t.pre_tokenizer.pre_tokenize_str
         self.width = 2 if t.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -141,7 +163,12 @@ class ByteCoder:
             elif 0xC2 <= b <= 0xDF:
                 self.written[b] = self.split(bytes([b, 0x80]).decode())[0][0][0]
         self.end = np.array([end_id], self.kind).tobytes()
+        #: Added tokens as the library finds them in a text: the leftmost, of those that begin there the longest.
+        self.added = {c: np.array([i], self.kind).tobytes() for c, (i, _) in added.items()}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        #: Ids of words, by what plain() splits, and of chunks as they stand.
         self.kept: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         #: Bytes of the line feed that encode() puts before a text's first word.
         self.first = self.width
         self.tokens: dict[str, bytes] = {}
@@ -168,8 +195,18 @@ class ByteCoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, with the end id."""
+        if not self.cut_added or not any(map(self.cut_added.search, batch)):
+            return [ids + self.end for ids in self.plain(batch)]
+        parts = [self.cut_added.split(t) for t in batch]  # every second part is an added token
+        ids = iter(self.plain([p for own in parts for p in own[::2]]))
+        return [b"".join([self.added[p] if k % 2 else next(ids) for k, p in enumerate(own)]) + self.end for own in parts]
+
+    def plain(self, batch: list[str]) -> list[bytes]:
+        """The ids of texts without added tokens."""
         if len(self.kept) > TABLE_CHUNKS:
             self.kept = {}
+        if len(self.chunks) > TABLE_CHUNKS // 2:
+            self.chunks = {}
         if len(self.tokens) > TABLE_CHUNKS // 2:
             self.tokens = {}
         # a line feed goes before a first word that has neither blank nor line feed, and its id away again
@@ -180,9 +217,9 @@ class ByteCoder:
         for t, words in zip(batch, split, strict=True):
             try:
                 ids = b"".join(map(self.kept.__getitem__, words))
-                out.append((ids[self.first :] if t and t[0] not in " \n" else ids) + self.end)
+                out.append(ids[self.first :] if t and t[0] not in " \n" else ids)
             except KeyError:  # longer or other white space
-                out.append(b"".join(map(self.chunk, CUT.findall(t))) + self.end)
+                out.append(b"".join(map(self.chunk, CUT.findall(t))))
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del self.kept[w]
@@ -191,10 +228,9 @@ class ByteCoder:
     def chunk(self, text: str) -> bytes:
         if len(text) > LONGEST_KEPT:
             return self.ids(text)
-        key = "\r" + text
-        own = self.kept.get(key)
+        own = self.chunks.get(text)
         if own is None:
-            own = self.kept[key] = self.ids(text)
+            own = self.chunks[text] = self.ids(text)
         return own
 
 
@@ -204,9 +240,15 @@ def coder(path: str, end_id: int) -> ByteCoder:
 
 
 def at(place: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in place or place.startswith("file:"):
+    if place.startswith("file:"):
         return fs.LocalFileSystem(), urlparse(place).path
-    return fs.FileSystem.from_uri(place)
+    return fs.FileSystem.from_uri(place.replace("s3a://", "s3://", 1))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme: Spark's default file system where none is given, as Spark reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def shard_bytes(doc_ids: list[int], ids: list[bytes], width: int) -> bytes:
@@ -227,19 +269,20 @@ def read_shard(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
 
 
 def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Writes the shards at once; returns the manifest: path, first_doc, n_docs, n_ids."""
-    schema = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    """Writes the shards at once; returns the manifest: path, part and seq (the shards' order), first_doc, n_docs, n_ids."""
+    folder = qualified(documents.sparkSession, folder)
+    schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(tokenizer, end_id)
-        docs, ids, size = [], [], 0
+        docs, ids, size, part, seq = [], [], 0, TaskContext.get().partitionId(), 0
 
         def close() -> pa.RecordBatch:
             path = f"{folder}/{uuid.uuid4().hex}.ids"
             store, place = at(path)
             with store.open_output_stream(place) as out:
                 out.write(shard_bytes(docs, ids, c.width))
-            return record_batch(schema, [path], [docs[0]], [len(docs)], [size])
+            return record_batch(schema, [path], [part], [seq], [docs[0]], [len(docs)], [size])
 
         for b in batches:
             coded = c.encode(b.column("text").to_pylist())
@@ -249,7 +292,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
                 size += len(i) // c.width
                 if size >= SHARD_IDS:
                     yield close()
-                    docs, ids, size = [], [], 0
+                    docs, ids, size, seq = [], [], 0, seq + 1
         if docs:
             yield close()
 
@@ -257,7 +300,7 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int) -> Dat
     store.create_dir(place, recursive=True)
     rows = texts(documents).filter(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return cut(dealt.mapInArrow(run, "path string, first_doc long, n_docs long, n_ids long"))
+    return cut(dealt.mapInArrow(run, "path string, part int, seq int, first_doc long, n_docs long, n_ids long"))
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -270,13 +313,13 @@ def read(manifest: DataFrame) -> DataFrame:
                 store, place = at(path)
                 with store.open_input_stream(place) as f:
                     own, bounds, ids = read_shard(f.read())
-                ends = bounds.all()
+                ends = bounds.many(np.arange(bounds.n))
                 ids = ids.astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in pairwise(ends.tolist())]
                 yield record_batch(schema, own, ends[:-1] + base, np.diff(ends), sums)
 
     # one row for each shard, in one ordered sum: shards are of a set size, and the rows are a few bytes
-    before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     # as many tasks as shards: the rows are too few for Spark to deal them out by itself
     return based.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

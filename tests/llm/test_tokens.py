@@ -8,12 +8,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cindertrace.llm import chat, pieces, token_store
 
 public = pytest.importorskip("public_tokenizers")
 TEXTS = [None, "", " ", "  ", "   ", " a", "a ", "a  ", "a  b", "\n", "a\n b", "\na", "a\n\nb", "a \n", "a\tb", "x" * 500 + " " + "y" * 300, "\0 a", "ﬁ ｆ é　z", "<s> </s> <|endoftext|>", "it's we'll", "a b", "▁▁a ▁", "\U0001f600 \U0010ffff", "12 345 ...!?", "word " * 3000, "a\r\nb\x85c\x0b\x1cd", "same", "same"]
-ALPHABET = " \n\tab1.,'sé▁\x1c　"
+ALPHABET = " \n\r\tab1.,'sé▁\x1c　"
+TOKENS = [*ALPHABET, "<|endoftext|>", "<|endoftext", "sum", "\rsum", "  sum", "row \rsum"]
 
 
 def test_pieces(spark):
@@ -33,20 +35,37 @@ def test_pieces(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(ALPHABET), max_size=40))
 def test_chunks_equal_the_library(text):
-    from tokenizers import Tokenizer
-
     t = pieces.load(pieces.public_model())
     assert np.frombuffer(t.encode([text])[0], "<u4").tolist() == t.model.encode(text, add_bos=True, add_eos=True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(TOKENS), max_size=30).map("".join), max_size=8))
+def test_store_ids_equal_the_library(texts):
+    """One coder through all examples, so what it has kept from earlier texts must not show."""
+    from tokenizers import Tokenizer
+
     path = public.path("byte_bpe_50k.json")
     c = token_store.coder(path, 2)
     plain = _tokenizer(path, Tokenizer)
-    assert np.frombuffer(c.encode([text])[0], c.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    got = [np.frombuffer(x, c.kind).tolist() for x in c.encode(texts)]
+    assert got == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_store_ids_of_many_random_texts():
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(8)
+    path = public.path("byte_bpe_50k.json")
+    c, plain = token_store.ByteCoder(path, 2), _tokenizer(path, Tokenizer)
+    for _ in range(40):
+        batch = ["".join(rng.choice(TOKENS, rng.integers(0, 25))) for _ in range(500)]
+        assert [np.frombuffer(x, c.kind).tolist() for x in c.encode(batch)] == [[*x.ids, 2] for x in plain.encode_batch(batch, add_special_tokens=False)]
 
 
 def _tokenizer(path, kind, kept={}):  # noqa: B006
     if path not in kept:
         kept[path] = kind.from_file(path)
-        kept[path].encode_special_tokens = True
     return kept[path]
 
 
@@ -57,6 +76,7 @@ def test_elias_fano(steps, small):
     e, _ = token_store.EliasFano.read(memoryview(token_store.EliasFano.of(v).to_bytes()), 0)
     assert e.all().tolist() == v.tolist()
     assert [e.select(i) for i in range(0, len(v), 7)] == v[::7].tolist()
+    assert e.many(np.arange(len(v))[::-3]).tolist() == v[::-3].tolist()
     with pytest.raises(IndexError):
         e.select(len(v))
 
@@ -71,8 +91,11 @@ def test_store(spark, tmp_path):
     ids = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in TEXTS]
     want = [(d, s, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i, s in zip(order, ids, accumulate([0, *map(len, ids[:-1])]), strict=True)]
     assert sorted(tuple(r) for r in token_store.read(m).collect()) == want
-    own, bounds, flat = token_store.read_shard(open(m.orderBy("first_doc").first()["path"], "rb").read())
+    own, bounds, flat = token_store.read_shard(open(m.orderBy("part", "seq").first()["path"].removeprefix("file:"), "rb").read())
     assert own[0] == -20 and bounds.select(0) == 0 and flat[: len(ids[0])].tolist() == ids[0]
+    tied = docs.unionByName(docs.select("doc_id", F.lit("another text").alias("text"))).unionByName(docs)
+    runs = [sorted(tuple(r) for r in token_store.read(token_store.write(tied.repartition(n), str(tmp_path / f"tied{n}"), public.path("byte_bpe_50k.json"), 2)).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3 * len(TEXTS)
     none = token_store.write(docs.limit(0), str(tmp_path / "none"), public.path("byte_bpe_50k.json"), 2)
     assert token_store.read(none).count() == 0
 
