@@ -74,7 +74,7 @@ class Tables:
         q = F.col("l_quantity").cast("long")
         label = F.when(q % 4 == 0, "INDUSTRIAL").when(q % 4 == 1, "INDUSTRIAL").when(q % 4 == 2, "VEGETATION_FIRE").otherwise("UNRESOLVED")
         line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-        return self.read("lineitem").filter("l_linenumber <= 4").withColumn("k", F.row_number().over(line)).filter("k = 1").select(
+        return self.read("lineitem").withColumn("k", F.row_number().over(line)).filter("k = 1").select(
             F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_returnflag") == "R", "ADJUDICATOR").otherwise("REVIEWER").alias("role"),
             label.alias("source_label"), F.when(q % 3 == 0, "HIGH").when(q % 3 == 1, "MEDIUM").otherwise("LOW").alias("certainty"), (q % 2 == 0).alias("inside"), (F.col("l_suppkey") % 2 == 0).alias("qualifies"),
         )
@@ -107,7 +107,7 @@ CTE = {
     "reviews": """reviews AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS seq, CASE WHEN l_returnflag = 'R' THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role,
   CASE WHEN l_quantity::BIGINT % 4 < 2 THEN 'INDUSTRIAL' WHEN l_quantity::BIGINT % 4 = 2 THEN 'VEGETATION_FIRE' ELSE 'UNRESOLVED' END AS source_label,
   CASE l_quantity::BIGINT % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS certainty, l_quantity::BIGINT % 2 = 0 AS inside, l_suppkey % 2 = 0 AS qualifies
-  FROM lineitem WHERE l_linenumber <= 4 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)""",
+  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)""",
     "predictions": """predictions AS (SELECT l_orderkey AS id, CAST((l_partkey + l_linenumber) % 2 AS INTEGER) AS y, (l_quantity * 2 - 1) / 100 AS p,
   CAST((l_quantity * 2 - 1) / 100 >= 0.5 AS INTEGER) AS pred, l_suppkey % 10 AS grp FROM lineitem)""",
 }

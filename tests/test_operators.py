@@ -16,47 +16,88 @@ from cindertrace.sources import detections, exports, mapped
 T0 = datetime(2026, 1, 2, 9)
 
 
-def assemble(spark, points, gap_hours=24):
-    """points: (id, metres along a line, hours)."""
-    rows = [(i, T0 + timedelta(hours=h)) for i, _, h in points]
-    pairs = [(a, b, float(abs(x - y))) for k, (a, x, _) in enumerate(points) for b, y, _ in points[k + 1 :] if abs(x - y) <= 1500]
-    observations = spark.createDataFrame(rows, "id string, acquired_at timestamp")
-    out = episodes.assemble(observations, episodes.Limits(gap_hours=gap_hours), spark.createDataFrame(pairs, "a string, b string, distance_m double")).collect()
-    groups = {}
-    for r in out:
-        groups.setdefault(r["event_id"], set()).add(r["id"])
-    return sorted(map(sorted, groups.values())), {r["id"]: r for r in out}
-
-
-def test_interleaved_neighbours_stay_apart(spark):
-    groups, _ = assemble(spark, [("a1", 0, 0), ("a2", 40, 12), ("b1", 1000, 1), ("b2", 1030, 13)])
-    assert groups == [["a1", "a2"], ["b1", "b2"]]
-
-
-def test_chain_stops_at_the_diameter(spark):
-    groups, rows = assemble(spark, [("a", 0, 0), ("p", 700, 1), ("q", 1400, 2), ("b", 1600, 3)])
-    assert groups == [["a", "p", "q"], ["b"]]
-    assert rows["b"]["event_ambiguous"] == 1
-
-
-def test_bridge_merges(spark):
-    groups, rows = assemble(spark, [("a", 0, 0), ("b", 1000, 1), ("m", 500, 48)], gap_hours=72)
-    assert groups == [["a", "b", "m"]] and rows["m"]["merges"] == 1
-
-
-def test_spans_end_and_the_site_lasts(spark):
-    groups, rows = assemble(spark, [(f"n{k:02}", 50 * (k % 3), 24 * k) for k in range(20)])
-    assert sorted(map(len, groups)) == [4, 8, 8]
-    assert len({r["site_id"] for r in rows.values()}) == 1 and rows["n00"]["site_diameter_m"] == 100
-
-
-def test_random_diameters(spark):
-    rng = np.random.default_rng(3)
-    points = [(f"p{k:03}", float(x), float(h)) for k, (x, h) in enumerate(zip(rng.uniform(0, 4000, 120), rng.uniform(0, 400, 120), strict=True))]
-    at = {i: x for i, x, _ in points}
-    groups, _ = assemble(spark, points)
-    assert sum(map(len, groups)) == 120
-    assert all(max(at[i] for i in g) - min(at[i] for i in g) <= 1500 for g in groups)
+DEGREE = 110_574.0  # metres in a degree of latitude at the equator, by whose meridian the points below lie
+
+
+def assemble(spark, points, **limits):
+    """points: (id, metres north, hours)."""
+    rows = [(i, T0 + timedelta(hours=h), 10.0, y / DEGREE) for i, y, h in points]
+    out = episodes.assemble(spark.createDataFrame(rows, "id long, acquired_at timestamp, lon double, lat double"), episodes.Limits(**limits)).collect()
+    assert sorted(r["id"] for r in out) == sorted(i for i, _, _ in points)
+    return {r["id"]: r for r in out}
+
+
+def plain_groups(points, limits):
+    """The rules read out literally, over all pairs: (episodes, sites) as sets of ids, and counts of unclear joins and merges."""
+    y = {i: m for i, m, _ in points}
+    apart = lambda a, b: abs(y[a] - y[b])
+    episodes_, merges = [], 0
+    for i, _, h in sorted(points, key=lambda p: (p[2], p[0])):
+        offers = [e for e in episodes_ if h - e["to"] <= limits.gap_hours and h - e["from"] <= limits.span_hours and any(apart(i, m) <= limits.link_m for m in e["ids"])]
+        free = [e for e in offers if all(apart(i, m) <= limits.diameter_m for m in e["ids"])]
+        free.sort(key=lambda e: (min(apart(i, m) for m in e["ids"]), e["from"], e["ids"][0]))
+        everyone = [m for e in free for m in e["ids"]] + [i]
+        if len(free) > 1 and all(apart(a, b) <= limits.diameter_m for a in everyone for b in everyone):
+            free.sort(key=lambda e: (e["from"], e["ids"][0]))
+            into, merges = free[0], merges + 1
+            for e in free[1:]:
+                into["ids"] += e["ids"]
+                into["unclear"] += e["unclear"]
+                episodes_.remove(e)
+        elif free:
+            into = free[0]
+            into["unclear"] += len(offers) > 1
+        else:
+            into = {"ids": [], "from": h, "unclear": int(bool(offers))}
+            episodes_.append(into)
+        into["ids"].append(i)
+        into["to"] = h
+    return episodes_, merges
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_episodes_as_the_rules_read(spark, seed):
+    rng = np.random.default_rng(seed)
+    line = rng.uniform(0, 6000, 40) if seed % 2 else rng.integers(0, 60, 40) * 97.0  # repeated spots in every other case
+    points = [(int(k), float(y), float(h)) for k, y, h in zip(rng.permutation(220), rng.choice(line, 220), rng.integers(0, 500, 220) * 1.0, strict=True)]
+    limits = episodes.Limits(gap_hours=(24, 60)[seed // 2])
+    rows = assemble(spark, points, gap_hours=limits.gap_hours)
+    want, merges = plain_groups(points, limits)
+    got = {}
+    for i, r in rows.items():
+        got.setdefault(r["event_id"], set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(e["ids"]) for e in want)
+    for e in want:
+        one = rows[e["ids"][0]]
+        y = [p[1] for p in points if p[0] in e["ids"]]
+        assert one["event_ambiguous"] == e["unclear"] and one["event_diameter_m"] == pytest.approx(max(y) - min(y), abs=1)
+    assert sum({r["event_id"]: r["merges"] for r in rows.values()}.values()) == merges
+    homes = {}
+    for r in rows.values():
+        homes.setdefault(r["event_id"], set()).add(r["site_id"])
+    assert all(len(s) == 1 for s in homes.values())
+    for site in {r["site_id"] for r in rows.values()}:
+        y = [p[1] for p in points if rows[p[0]]["site_id"] == site]
+        assert max(y) - min(y) <= 1501 and all(r["site_diameter_m"] == pytest.approx(max(y) - min(y), abs=1) for r in rows.values() if r["site_id"] == site)
+
+
+def test_a_source_that_lasts_is_one_site_of_many_episodes(spark):
+    rows = assemble(spark, [(k, 80.0 * (k % 4), 20.0 * k) for k in range(30)])
+    spans = {}
+    for k, r in rows.items():
+        spans.setdefault(r["event_id"], []).append(20 * k)
+    assert sorted((min(v), max(v)) for v in spans.values()) == [(0, 160), (180, 340), (360, 520), (540, 580)]
+    assert len({r["site_id"] for r in rows.values()}) == 1 and rows[0]["site_diameter_m"] == pytest.approx(240, abs=1)
+
+
+def test_silences_part_runs(spark):
+    points = spark.createDataFrame([(1, T0 + timedelta(hours=h)) for h in (0, 24, 48.5, 100)] + [(2, T0)], "root long, acquired_at timestamp")
+    assert sorted((r["root"], (r["run"] - T0).total_seconds() / 3600) for r in episodes.silence_runs(points, 24).collect()) == [(1, 0), (1, 0), (1, 48.5), (1, 100), (2, 0)]
+
+
+def test_names_depend_on_kind_limits_and_members():
+    a = episodes.identity("event", episodes.Limits(), [1, 2])
+    assert len({a, episodes.identity("site", episodes.Limits(), [1, 2]), episodes.identity("event", episodes.Limits(gap_hours=25), [1, 2]), episodes.identity("event", episodes.Limits(), [12])}) == 4
 
 
 def test_components_of_a_chain(spark):
