@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindertrace.shipping import ship
@@ -60,5 +60,28 @@ def texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def row_key(*columns: Column | str) -> Column:
+    """Tells rows apart where doc_id does not: a hash of doc_id and text."""
+    return F.xxhash64(*columns)
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """row (all columns, whatever they are called), doc_id and key, to join what was found about rows."""
+    doc_id = F.col("doc_id").cast("long")
+    return documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), doc_id.alias("doc_id"), row_key(doc_id, F.coalesce("text", F.lit(""))).alias("key"))
+
+
+def same_row(found: DataFrame, rows: DataFrame) -> Column:
+    """Join condition on doc_id, which may be null, and key."""
+    return rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["key"] == found["key"])
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """documents without the rows of gone(doc_id, key)."""
+    prepare(documents.sparkSession)
+    rows = packed(documents)
+    return rows.join(gone, same_row(gone, rows), "left_anti").select("row.*")
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, schema.types, strict=True)], schema=schema)

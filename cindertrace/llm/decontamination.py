@@ -5,18 +5,22 @@ shorter item, all its words) occurs in it. Since a window must occur whole, one
 enough: the one that is rarest over all documents. So
 
 1. the words of all items are counted over all documents;
-2. each window is filed under its rarest word, with that word's place in it and the window's hash;
-3. a document offers only those of its words that head a window, each window must have room on both
-   sides (the length and positional bounds), and is verified by the hash of exactly its words.
+2. each distinct window is filed under its rarest word, with that word's place in it;
+3. each word of a document that may head a window is offered with the words around it, and joined
+   with the windows filed under it. A window must have room on both sides of the word (the length and
+   positional bounds), and its words must be the document's, compared as strings.
 
-Items are few and fixed while documents grow. The filed windows are sent to all tasks only if they
-are at most LOCAL_WINDOWS; beyond that the documents' heading words are joined with them by word,
-with the same rows (a word that heads windows is rare by choice, and the join's skew is split).
+What a document offers is thinned by a bit map of the words that are looked for (8 MB, whatever their
+number); the join decides. The same steps run at every size.
+
+Rows are told apart by doc_id and a hash of doc_id and text, so repeated and null doc_ids have their
+own results; rows equal in both share them.
 
 Defined results: ASCII letters are lower-cased; words are runs of digits, letters and characters
 beyond ASCII. Null and empty texts have no words: such a document is clean and such an item has no
 window. Repeated items count each; items with a null id take no part. Item ids in a list are sorted
 as strings. Repeated documents each have a row. An empty benchmark leaves every document clean.
+Further columns are ignored, or kept by without_contaminated().
 """
 
 from __future__ import annotations
@@ -25,202 +29,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, prepare, record_batch, table, texts
-from cindertrace.llm.words import LETTER_BYTES, LOWER, Words, groups, signed
+from cindertrace.llm.common import cut, prepare, record_batch, row_key, same_row, table, texts, without
+from cindertrace.llm.words import LETTER_BYTES, LOWER, U, Words, groups, signed
 
 WINDOW = 10
-#: Up to so many filed windows (some 40 bytes each) are held by every task.
-LOCAL_WINDOWS = 500_000
+#: Bits of a word's hash that choose its place in the bit map: 2^26 places, 8 MB.
+MAP_BITS = 26
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(LOWER[buf], offsets, LETTER_BYTES)
 
 
+def word_at(w: Words, i: int) -> str:
+    return w.buf[w.starts[i] : w.ends[i]].tobytes().decode()
+
+
 def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id (as string), size, h (the window's hash) and words (their hashes), for every window of every item."""
-    schema = pa.schema([("item_id", pa.string()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.list_(pa.int64()))])
+    """item_id (as string), tokens (the window's words) and hashes (theirs), for every window of every item."""
+    schema = pa.schema([("item_id", pa.string()), ("tokens", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
             for i, j, buf, offsets in groups(b.column("text")):
                 w = words_of(buf, offsets)
+                own, rows = signed(w.hashes).tolist(), []
                 for k in range(i, j):
                     a, z = int(w.first[k - i]), int(w.first[k - i + 1])
+                    said = [word_at(w, p) for p in range(a, z)]
                     size = min(window, z - a)
-                    if not size:
-                        continue
-                    for p in range(a, z - size + 1):
-                        own = w.hashes[p : p + size]
-                        rows.append((b.column("item_id")[k].as_py(), size, int(signed(sequence_hash(own, size))[0]), signed(own).tolist()))
-            if rows:
-                yield record_batch(schema, *zip(*rows, strict=True))
+                    rows += [(b.column("item_id")[k].as_py(), said[p : p + size], own[a + p : a + p + size]) for p in range(z - a - size + 1 if size else 0)]
+                if rows:
+                    yield record_batch(schema, *zip(*rows, strict=True))
 
     prepare(items.sparkSession)
     own = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(run, "item_id string, size int, h long, words array<long>").distinct()
+    return own.mapInArrow(run, "item_id string, tokens array<string>, hashes array<long>").distinct()
 
 
-def sequence_hash(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Words.grams() of given word hashes."""
-    w = Words.__new__(Words)
-    w.hashes = hashes
-    return w.grams(size)
+def bit_map(words: DataFrame) -> Broadcast:
+    """Which places of the map the hashes in words(word) fall on: at most 2^(MAP_BITS - 6) rows reach the driver."""
+    place = F.shiftrightunsigned("word", 64 - MAP_BITS)
+    rows = words.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("bits"))
+    out = np.zeros(1 << MAP_BITS - 6, U)
+    found = rows.toArrow()
+    out[found.column("k").to_numpy()] = found.column("bits").to_numpy().view(U)
+    return words.sparkSession.sparkContext.broadcast(out)
+
+
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes >> U(65 - (len(bits) << 6).bit_length())).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63).astype(U) & U(1)).astype(bool)
 
 
 def word_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """word, n: how often each of the wanted words (a column `word` of hashes) stands in all documents."""
-    vocabulary = _local(wanted.select("word").distinct(), LOCAL_WINDOWS)
+    wanted = wanted.select("word").distinct()
+    known = bit_map(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if vocabulary is None else np.sort(np.array([r["word"] for r in vocabulary.value], np.int64))
-        sums = None if known is None else np.zeros(len(known), np.int64)
         for b in batches:
             for _, _, buf, offsets in groups(b.column("text")):
-                h = signed(words_of(buf, offsets).hashes)
-                if known is None:
-                    own, n = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"word": own, "n": n})
-                elif len(known):
-                    i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    sums += np.bincount(i[known[i] == h], minlength=len(known))
-        if sums is not None and sums.any():
-            yield pa.RecordBatch.from_pydict({"word": known[sums > 0], "n": sums[sums > 0]})
+                h = words_of(buf, offsets).hashes
+                own, n = np.unique(h[in_map(known.value, h)], return_counts=True)
+                if len(own):
+                    yield pa.RecordBatch.from_pydict({"word": signed(own), "n": n})
 
     counted = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word long, n long")
-    counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return counted if vocabulary is not None else counted.join(wanted.select("word").distinct(), "word", "left_semi")
-
-
-def _local(rows: DataFrame, most: int):
-    """The rows, sent to all executors, or None if there are more."""
-    found = rows.limit(most + 1).collect()
-    return rows.sparkSession.sparkContext.broadcast(found) if len(found) <= most else None
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).join(wanted, "word", "left_semi")
 
 
 def file_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """head (the rarest word), before (words in front of it), size, h, items: one row for each distinct window."""
-    each = windows.groupBy("h", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.first("words").alias("words"))
-    each = cut(each)
-    words = each.select("h", "size", F.posexplode("words").alias("before", "word"))
-    rarity = word_counts(documents, words.select("word"))
-    counted = words.join(rarity, "word", "left")
-    heads = counted.groupBy("h", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "before")).alias("m"))
+    """head (the rarest word), before (words in front of it), tokens, items: one row for each distinct window."""
+    each = cut(windows.groupBy("tokens").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.first("hashes").alias("hashes")))
+    words = each.select("tokens", F.posexplode("hashes").alias("before", "word"))
+    counted = words.join(word_counts(documents, words), "word")
     # a word that no document has heads a window that cannot occur
-    heads = heads.filter("m.n > 0").select("h", "size", F.col("m.word").alias("head"), F.col("m.before").alias("before"))
-    return cut(heads.join(each.select("h", "size", "items"), ["h", "size"]))
+    whole = F.count("*") == F.size(F.col("tokens"))
+    heads = counted.groupBy("tokens").agg(F.min(F.struct("n", "word", "before")).alias("m"), whole.alias("whole")).filter("whole")
+    return cut(heads.join(each, "tokens").select(F.col("m.word").alias("head"), F.col("m.before").alias("before"), "tokens", "items"))
 
 
-def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted ids), hits (array of (first, size) over the words), for every document.
+def offers(documents: DataFrame, heads: DataFrame, window: int) -> DataFrame:
+    """doc_id, key, n_words, and for words that may be in heads(word): word, at, around (words near it), off (its place there).
 
-    Every text keeps its row; text is "" for null.
+    One row for each document has no word.
     """
-    filed = file_windows(documents, item_windows(benchmark, window))
-    local = _local(filed, LOCAL_WINDOWS)
-    docs = texts(documents)
-    if local is None:
-        return _by_join(docs, filed)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))])
+    known = bit_map(heads)
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("word", pa.int64()), ("at", pa.int32()), ("around", pa.list_(pa.string())), ("off", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(local.value, key=lambda r: r["head"])
-        head, before, size, h = (np.array([r[c] for r in rows], np.int64) for c in ("head", "before", "size", "h"))
-        sizes = np.unique(size).tolist()
         for b in batches:
-            n_words, n_hit, items, hits = [], [], [], []
+            ids, keys = b.column("doc_id"), b.column("key")
             for i, j, buf, offsets in groups(b.column("text")):
                 w = words_of(buf, offsets)
-                found = _find(w, head, before, size, h, sizes)
-                hit = np.zeros(len(w) + 1, np.int64)
-                for p, k in found:
-                    hit[p] += 1
-                    hit[p + size[k]] -= 1
-                sums = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                n_words += w.counts().tolist()
-                n_hit += (sums[w.first[1:]] - sums[w.first[:-1]]).tolist()
-                own: list[set] = [set() for _ in range(j - i)]
-                spans: list[list] = [[] for _ in range(j - i)]
-                for p, k in found:
-                    d = int(np.searchsorted(w.first, p, "right")) - 1
-                    own[d].update(rows[k]["items"])
-                    spans[d].append({"first": int(p - w.first[d]), "size": int(size[k])})
-                items += [sorted(o) for o in own]
-                hits += spans
-            yield record_batch(schema, b.column("doc_id"), b.column("text"), n_words, n_hit, items, hits)
-
-    return docs.mapInArrow(run, "doc_id long, text string, n_words long, n_hit long, items array<string>, hits array<struct<first:int,size:int>>")
-
-
-def _find(w: Words, head: np.ndarray, before: np.ndarray, size: np.ndarray, h: np.ndarray, sizes: list[int]) -> list[tuple[int, int]]:
-    """(first word, filed window) of every occurrence."""
-    own = signed(w.hashes)
-    if not len(own) or not len(head):
-        return []
-    at = np.flatnonzero(head[np.minimum(np.searchsorted(head, own), len(head) - 1)] == own)
-    if not len(at):
-        return []
-    a, z = np.searchsorted(head, own[at]), np.searchsorted(head, own[at], "right")
-    k = np.repeat(a - (np.cumsum(z - a) - (z - a)), z - a) + np.arange(int((z - a).sum()))
-    p = np.repeat(at, z - a) - before[k]
-    doc = np.searchsorted(w.first, np.repeat(at, z - a), "right") - 1
-    room = (p >= w.first[doc]) & (p + size[k] <= w.first[doc + 1])
-    p, k = p[room], k[room]
-    out = []
-    for s in sizes:
-        mine = size[k] == s
-        if mine.any():
-            grams = signed(w.grams(s))
-            ok = grams[p[mine]] == h[k[mine]]
-            out += zip(p[mine][ok].tolist(), k[mine][ok].tolist(), strict=True)
-    return out
-
-
-def _by_join(docs: DataFrame, filed: DataFrame) -> DataFrame:
-    """The same rows where the filed windows are too many to hold: words meet them in a join."""
-    spans = filed.select("size").distinct()
-    sizes = sorted(r["size"] for r in spans.collect())  # at most WINDOW sizes
-
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, buf, offsets in groups(b.column("text")):
-                w = words_of(buf, offsets)
-                doc = w.doc_of()
-                ids = b.column("doc_id").slice(i, j - i).take(pa.array(doc))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "head": signed(w.hashes), "at": (np.arange(len(w)) - w.first[doc]).astype(np.int32)})
+                counts = w.counts()
+                none = [None] * (j - i)
+                yield record_batch(schema, ids.slice(i, j - i), keys.slice(i, j - i), counts, none, none, none, none)
+                at = np.flatnonzero(in_map(known.value, w.hashes)) if len(w) else np.zeros(0, np.int64)
+                for k in range(0, len(at), 4096):  # bounds a batch of words with what is around them
+                    some = at[k : k + 4096]
+                    doc = np.searchsorted(w.first, some, "right") - 1
+                    lo, hi = np.maximum(some - window + 1, w.first[doc]), np.minimum(some + window, w.first[doc + 1])
+                    places = np.unique(np.concatenate([np.arange(a, z) for a, z in zip(lo, hi, strict=True)]))
+                    said = dict(zip(places.tolist(), (word_at(w, p) for p in places.tolist()), strict=True))
+                    around = [[said[p] for p in range(a, z)] for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    rows = pa.array(i + doc)
+                    yield record_batch(schema, ids.take(rows), keys.take(rows), counts[doc], signed(w.hashes[some].copy()), (some - w.first[doc]).astype(np.int32), around, (some - lo).astype(np.int32))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, buf, offsets in groups(b.column("text")):
-                w = words_of(buf, offsets)
-                for s in sizes:
-                    g, doc = w.grams(s), w.doc_of()
-                    at = np.flatnonzero(w.inside(s)[: len(g)])
-                    ids = b.column("doc_id").slice(i, j - i).take(pa.array(doc[at]))
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids, "h": signed(g[at]), "size": np.full(len(at), s, np.int32), "first": (at - w.first[doc[at]]).astype(np.int32)})
+    rows = texts(documents).withColumn("key", row_key("doc_id", "text"))
+    return rows.mapInArrow(run, "doc_id long, key long, n_words long, word long, at int, around array<string>, off int")
 
-    heads = docs.mapInArrow(offer, "doc_id long, head long, at int").join(filed, "head").select("doc_id", "h", "size", "items", (F.col("at") - F.col("before")).alias("first")).filter("first >= 0")
-    grams = docs.mapInArrow(count, "doc_id long, h long, size int, first int")
-    hit = heads.join(grams, ["doc_id", "h", "size", "first"]).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.collect_set(F.struct("first", "size")).alias("hits"))
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_words, n_hit = [], []
-            for i, _, buf, offsets in groups(b.column("text")):
-                for k, n in enumerate(words_of(buf, offsets).counts().tolist()):
-                    x = np.zeros(n, bool)
-                    for s in b.column("hits")[i + k].as_py() or ():
-                        x[s["first"] : s["first"] + s["size"]] = True
-                    n_words.append(n)
-                    n_hit.append(int(x.sum()))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": b.column("text"), "n_words": n_words, "n_hit": n_hit, "items": b.column("items"), "hits": b.column("hits")})
+def covered_words(spans: str) -> Column:
+    """How many words an ascending array of (first, size) covers."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
 
-    whole = docs.join(hit, "doc_id", "left").withColumns({"items": F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), "hits": F.coalesce("hits", F.array().cast("array<struct<first:int,size:int>>"))})
-    return whole.select("doc_id", "text", "items", "hits").mapInArrow(told, "doc_id long, text string, n_words long, n_hit long, items array<string>, hits array<struct<first:int,size:int>>")
+    def step(s: Column, x: Column) -> Column:
+        end = x["first"] + x["size"]
+        return F.struct((s["n"] + F.greatest(F.lit(0), end - F.greatest(x["first"], s["end"]))).alias("n"), F.greatest(s["end"], end).alias("end"))
+
+    return F.aggregate(spans, start, step, lambda s: s["n"])
+
+
+def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, key, n_words, n_hit, items (sorted ids), hits (array of (first, size) over the words), for every document."""
+    filed = file_windows(documents, item_windows(benchmark, window))
+    rows = cut(offers(documents, filed.select(F.col("head").alias("word")), window))
+    first = F.col("off") - F.col("before")
+    met = rows.filter("word IS NOT NULL").join(filed, F.col("word") == F.col("head"))
+    same = (first >= 0) & (first + F.size("tokens") <= F.size("around")) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("tokens")) == F.col("tokens"))
+    met = met.filter(same).select("doc_id", "key", F.struct((F.col("at") - F.col("before")).alias("first"), F.size("tokens").alias("size")).alias("hit"), "items")
+    hit = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    every = rows.filter("word IS NULL").select("doc_id", "key", "n_words")
+    every = every.join(hit, same_row(hit, every), "left").select(every["doc_id"], every["key"], "n_words", "hits", "items")
+    hits, items = F.coalesce("hits", F.array().cast("array<struct<first:int,size:int>>")), F.coalesce("items", F.array().cast("array<string>"))
+    return every.select("doc_id", "key", "n_words", hits.alias("hits"), items.alias("items")).withColumn("n_hit", covered_words("hits"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +177,5 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents that hold no benchmark window."""
-    hit = contaminated_words(documents, benchmark, window).filter("n_hit > 0").select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+    """documents that hold no benchmark window, each row by its own text."""
+    return without(documents, contaminated_words(documents, benchmark, window).filter("n_hit > 0").select("doc_id", "key"))

@@ -144,26 +144,34 @@ def plain_words(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("local", [500_000, 0])
-def test_decontamination(spark, tmp_path, monkeypatch, local):
-    monkeypatch.setattr(decontamination, "LOCAL_WINDOWS", local)
+@pytest.mark.parametrize("bits", [26, 7])
+def test_decontamination(spark, tmp_path, monkeypatch, bits):
+    """With 7 bits the map lets most words through, and the join alone decides."""
+    monkeypatch.setattr(decontamination, "MAP_BITS", bits)
     items = {1: text(25), 2: "short ITEM", 3: None, 4: "...", 10: text(10), 11: text(12).upper(), 12: "short item"}
-    docs = {1: None, 2: "", 3: text(50), 4: "so, short; item!", 5: "x " + items[1] + " " + items[10].upper(), 6: " ".join(items[1].split()[:9]), 7: items[1] * 3, 8: items[11].lower() + " " + text(20), 9: "short short item short", 10: "é " * 5000}
-    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r["doc_id"]: r for r in decontamination.op6_decontamination(spark, str(tmp_path)).collect()}
-    for k, t in docs.items():
+    long = items[1].split()
+    docs = [(1, None), (2, ""), (3, text(50)), (4, "so, short; item!"), (5, "x " + items[1] + " " + items[10].upper()), (6, " ".join(long[:9])), (7, items[1] * 3), (8, items[11].lower() + " " + text(20)), (9, "short short item short"), (10, "é " * 5000)]
+    # nulls, ids that stand on several texts, and rows that stand twice
+    docs += [(None, items[10]), (None, text(30)), (None, None), (5, "clean text of another row"), (3, items[1]), (4, "so, short; item!"), (11, " ".join(long[:12] * 400))]
+    spark.createDataFrame([(k, t, k, "n") for k, t in docs], "doc_id long, text string, k long, hits string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*items.items(), (None, docs[2][1]), (1, items[1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want, clean = [], []
+    for k, t in docs:
         w, hit, found = plain_words(t), set(), set()
         for i, x in items.items():
             own = plain_words(x)
             n = min(10, len(own))
-            for p in range(len(own) - n + 1 if n else 0):
-                for q in range(len(w) - n + 1):
-                    if w[q : q + n] == own[p : p + n]:
-                        hit |= set(range(q, q + n))
-                        found.add(str(i))
-        r = got[k]
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(found), bool(hit)), k
-        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    clean = decontamination.without_contaminated(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "benchmark.parquet")))
-    assert {r["doc_id"] for r in clean.collect()} == {k for k in docs if not got[k]["contaminated"]}
+            windows = {tuple(own[p : p + n]) for p in range(len(own) - n + 1 if n else 0)}
+            for q in range(len(w) - n + 1 if n else 0):
+                if tuple(w[q : q + n]) in windows:
+                    hit |= set(range(q, q + n))
+                    found.add(str(i))
+        want.append((str(k), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        clean += [(str(k), str(t))] if not hit else []
+    got = decontamination.op6_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(want)
+    tables = [spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "benchmark")]
+    kept = decontamination.without_contaminated(*tables)
+    assert kept.columns == tables[0].columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted(clean)
+    assert decontamination.contaminated_words(tables[0].limit(0), tables[1]).count() == 0
+    assert decontamination.without_contaminated(tables[0], tables[1].limit(0)).count() == len(docs)
