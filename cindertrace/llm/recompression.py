@@ -15,8 +15,8 @@ their windows; shared ones lead to the comparison of whole contexts, then of sin
 
 Defined results: words are runs without ASCII white space; every window of `length` words whose
 sequence starts anywhere else, the same text included, loses its words, all occurrences alike.
-Null and empty texts have no words. Rows with a null doc_id are never compared and doc_ids are
-taken to be unique. An empty table gives no rows.
+Null and empty texts have no words. Null and repeated doc_ids are rows like others, and rows equal in
+doc_id and text are occurrences of each other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm.common import record_batch, sha256_hex, table, texts
+from cindertrace.llm.common import record_batch, same_row, sha256_hex, table
 from cindertrace.llm.repeats import covered, repeated_ranges
+from cindertrace.llm.repeats import texts as keyed
 from cindertrace.llm.words import U, Words, mix
 
 LENGTH = 35
@@ -113,8 +114,8 @@ def _least(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, ranges as in repeats.repeated_ranges."""
-    return repeated_ranges(documents, shown_symbols, length)
+    """doc_id, key, ranges as in repeats.repeated_ranges."""
+    return repeated_ranges(keyed(documents), shown_symbols, length)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,5 +135,6 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((d, n, go, sha256_hex(b" ".join(words))))
             yield record_batch(schema, *zip(*rows, strict=True)) if rows else record_batch(schema, *[[]] * 4)
 
-    marked = texts(documents).join(repeated_windows(documents), "doc_id", "left")
+    rows, found = keyed(documents), repeated_windows(documents)
+    marked = rows.join(found, same_row(found, rows), "left").select(rows["doc_id"], "text", "ranges")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

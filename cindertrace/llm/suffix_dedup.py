@@ -6,9 +6,10 @@ of every `length` - K + 1 neighbouring K-word grams the one with the least hash.
 head and context, neighbours compared, and matches extended to the left and right (repeats).
 
 Defined results: words are runs without ASCII white space; a passage of `length` words or more that
-occurs again, in another document or in the same one, is repeated, and its first occurrence (by
-doc_id, then place) stays. Texts with fewer words, null and empty texts have no passage. Rows with
-a null doc_id are never compared; doc_ids are taken to be unique. An empty table gives no rows.
+occurs again, in another row or in the same one, is repeated, and its first occurrence (by doc_id,
+nulls first, then a hash of the text, then place) stays. Texts with fewer words, null and empty texts
+have no passage. Null and repeated doc_ids are rows like others; of rows equal in doc_id and text none
+comes first, so what stays in one stays in each. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import record_batch, sha256_hex, table, texts
+from cindertrace.llm.common import packed, record_batch, same_row, sha256_hex, table
 from cindertrace.llm.repeats import covered, repeated_ranges
+from cindertrace.llm.repeats import texts as keyed
 from cindertrace.llm.words import Words, groups, sliding_argmin
 
 #: Words in the shortest passage that counts.
@@ -39,8 +41,8 @@ def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, ranges as in repeats.repeated_ranges, for the documents that have repeated passages."""
-    return repeated_ranges(documents, minimisers, length)
+    """doc_id, key, ranges as in repeats.repeated_ranges, for the rows that have repeated passages."""
+    return repeated_ranges(keyed(documents), minimisers, length)
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -71,7 +73,8 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             arrays[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    marked = documents.join(repeated_passages(documents, length).withColumnRenamed("ranges", own_name), "doc_id", "left").select(*columns, own_name)
+    rows, found = packed(documents), repeated_passages(documents, length)
+    marked = rows.join(found, same_row(found, rows), "left").select("row.*", F.col("ranges").alias(own_name))
     return marked.mapInArrow(run, documents.schema)
 
 
@@ -90,7 +93,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((d, len(words), int(both.sum()), int(later.sum()), int((np.diff(both.astype(np.int8), prepend=0) > 0).sum()), sha256_hex(kept)))
             yield record_batch(schema, *zip(*rows, strict=True)) if rows else record_batch(schema, *[[]] * 6)
 
-    marked = texts(documents).join(repeated_passages(documents), "doc_id")
+    rows, found = keyed(documents), repeated_passages(documents)
+    marked = rows.join(found, same_row(found, rows)).select(rows["doc_id"], "text", "ranges")
     return marked.mapInArrow(run, "doc_id long, n_words long, n_repeated long, n_removed long, n_passages long, kept_sha256 string")
 
 

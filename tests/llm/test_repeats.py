@@ -82,6 +82,45 @@ def test_without_repeats_keeps_rows_and_columns(spark, tables):
         assert (got[k] or "").encode().split() == [x for x, gone in zip(w, later[k], strict=True) if not gone]
 
 
+REPEATED = [(None, words(60, 300)), (None, "a " + words(60, 300)), (None, None), (5, words(70, 100)), (5, "b " + words(70, 110)), (5, "b " + words(70, 110)), (3, words(80, 600)), (3, words(80, 600)), (1, words(20, 600) + " z"), (9, "fresh " + words(30, 2900))]
+
+
+def brute_rows(rows, length):
+    """As brute(), for rows that share doc_ids: rows equal in both columns are no later than each other."""
+    order = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    split = [(t or "").encode().split() for _, t in rows]
+    seen = defaultdict(list)
+    for k, (w, (d, t)) in enumerate(zip(split, rows, strict=True)):
+        for i in range(len(w) - length + 1):
+            seen[tuple(w[i : i + length])].append((order.index((d is not None, d or 0, t or "")), i, k))
+    both = [np.zeros(len(w), bool) for w in split]
+    for v in seen.values():
+        for _, i, k in v if len(v) > 1 else ():
+            both[k][i : i + length] = True
+    return split, both
+
+
+def test_rows_that_share_doc_ids(spark, tmp_path):
+    spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(REPEATED)], "doc_id long, text string, key long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    split, both = brute_rows(REPEATED, 35)
+    kept = [hashlib.sha256(b" ".join(x for x, gone in zip(w, b, strict=True) if not gone)).hexdigest() for w, b in zip(split, both, strict=True)]
+    want = sorted((str(d), len(w), int(b.sum()), k) for (d, _), w, b, k in zip(REPEATED, split, both, kept, strict=True))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in recompression.op2_substring_dedup(spark, str(tmp_path)).collect()) == want
+    split, both = brute_rows(REPEATED, 50)
+    want = sorted((str(d), len(w), int(b.sum())) for (d, _), w, b in zip(REPEATED, split, both, strict=True) if b.any())
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_repeated"]) for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()) == want
+    out = suffix_dedup.without_repeats(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    got = {r["key"]: r["text"] for r in out.collect()}
+    assert out.columns == ["doc_id", "text", "key"] and len(got) == len(REPEATED)
+    assert got[6] == got[7] == REPEATED[6][1] and got[4] == got[5] and got[2] is None and got[9] == REPEATED[9][1]
+    # every repeated window is left somewhere
+    left = [" ".join((got[k] or "").split()) for k in got]
+    for k, (w, b) in enumerate(zip(split, both, strict=True)):
+        for i in range(len(w) - 49):
+            if b[i : i + 50].all():
+                assert any(b" ".join(w[i : i + 50]).decode() in t for t in left), (k, i)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("a b c dd e".split()), max_size=60), min_size=1, max_size=4), st.integers(4, 12))
 def test_equal_windows_have_equal_anchors(docs, length):
