@@ -10,7 +10,7 @@ enough: the one that is rarest over all documents. So
    with the windows filed under it. A window must have room on both sides of the word (the length and
    positional bounds), and its words must be the document's, compared as strings.
 
-What a document offers is thinned by a bit map of the words that are looked for (8 MB, whatever their
+What a document offers is thinned by a bit map of the words that are looked for (1 MB, whatever their
 number); the join decides. The same steps run at every size.
 
 Rows are told apart by doc_id and a hash of doc_id and text, so repeated and null doc_ids have their
@@ -37,8 +37,8 @@ from cindertrace.llm.common import cut, prepare, record_batch, row_key, same_row
 from cindertrace.llm.words import LETTER_BYTES, LOWER, U, Words, groups, signed
 
 WINDOW = 10
-#: Bits of a word's hash that choose its place in the bit map: 2^26 places, 8 MB.
-MAP_BITS = 26
+#: Bits of a word's hash that choose its place in the bit map: 2^23 places, 1 MB.
+MAP_BITS = 23
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> Words:
@@ -100,7 +100,9 @@ def word_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"word": signed(own), "n": n})
 
     counted = documents.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).join(wanted, "word", "left_semi")
+    found = cut(counted.groupBy("word").agg(F.sum("n").alias("n")).join(wanted, "word", "left_semi"))
+    known.destroy()
+    return found
 
 
 def file_windows(documents: DataFrame, windows: DataFrame) -> DataFrame:
@@ -142,7 +144,9 @@ def offers(documents: DataFrame, heads: DataFrame, window: int) -> DataFrame:
                     yield record_batch(schema, ids.take(rows), keys.take(rows), counts[doc], signed(w.hashes[some].copy()), (some - w.first[doc]).astype(np.int32), around, (some - lo).astype(np.int32))
 
     rows = texts(documents).withColumn("key", row_key("doc_id", "text"))
-    return rows.mapInArrow(run, "doc_id long, key long, n_words long, word long, at int, around array<string>, off int")
+    found = cut(rows.mapInArrow(run, "doc_id long, key long, n_words long, word long, at int, around array<string>, off int"))
+    known.destroy()
+    return found
 
 
 def covered_words(spans: str) -> Column:
@@ -159,7 +163,7 @@ def covered_words(spans: str) -> Column:
 def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, key, n_words, n_hit, items (sorted ids), hits (array of (first, size) over the words), for every document."""
     filed = file_windows(documents, item_windows(benchmark, window))
-    rows = cut(offers(documents, filed.select(F.col("head").alias("word")), window))
+    rows = offers(documents, filed.select(F.col("head").alias("word")), window)
     first = F.col("off") - F.col("before")
     met = rows.filter("word IS NOT NULL").join(filed, F.col("word") == F.col("head"))
     same = (first >= 0) & (first + F.size("tokens") <= F.size("around")) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("tokens")) == F.col("tokens"))

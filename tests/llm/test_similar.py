@@ -144,7 +144,7 @@ def plain_words(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("bits", [26, 7])
+@pytest.mark.parametrize("bits", [23, 7])
 def test_decontamination(spark, tmp_path, monkeypatch, bits):
     """With 7 bits the map lets most words through, and the join alone decides."""
     monkeypatch.setattr(decontamination, "MAP_BITS", bits)
