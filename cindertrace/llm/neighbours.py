@@ -1,28 +1,30 @@
 """Approximate nearest neighbours: score-aware quantisation, four-bit table scans, exact reranking.
 
-Euclidean search is turned into a search for the greatest inner product: x' = (x, -|x|^2 / 2) and
-q' = (q, 1) give q'x' = q.x - |x|^2 / 2, which falls as the distance grows. Vectors are dealt to
-cells, and the residual to its cell's centre is quantised in blocks of BLOCK dimensions by 16
-centres each. The codebooks minimise the anisotropic loss: error parallel to the vector, which
-moves the scores of the queries that rank it high, costs ETA times as much as error across it.
-
-Codes are packed in chunks of about CHUNK rows, by hash of vec_id, and every block of queries meets
-every chunk: a table of 16 scores for each block of dimensions is added up by code. Of each chunk
-as many go on as hold its share of the KEEP best for each one asked for, with four standard
-deviations to spare (rows are dealt by hash, so the best are spread like any others). Those are
-reranked by exact distance in double precision on the original vectors. Of equal vectors only the
-k + 1 with the least ids can be among the k nearest, so the others are not coded.
-
-By default a query looks at the rows of all cells, since vectors without clusters gain nothing from
-cells; with probed < 1 it skips the cells that are farthest from it.
-
-Centres and codebooks are fitted on at most SAMPLE vectors (the least by hash of vec_id); every row
-is indexed.
+Of all vectors the nearest to q has the greatest q.x - |x|^2 / 2. The norm is kept exactly, one number
+for each row; x is dealt to a cell, and its residual to the cell's centre is quantised in blocks of
+BLOCK dimensions by 16 centres each. The codebooks minimise the anisotropic loss: error parallel to
+the vector, which moves the scores of the queries that rank it high, costs ETA times as much as error
+across it.
+
+A query probes the cells nearest to it. How many is measured, not set: the exact neighbours of some
+sample rows within the sample are looked up, and as many cells are probed as hold REACH of them (those
+of a sample lie farther off than those of the whole table, so this errs on the safe side). In a cell a
+table of 16 scores for each block of dimensions is added up by code, and rows go on that are as near
+as the query's own bound: its distance to the sample row of the rank that stands for RERANK rows of the
+table. A chunk of a cell passes on RERANK rows of a query at most, and so do all together; those are
+reranked by exact distance in double precision on the original vectors. Of equal vectors only the k + 1
+with the least ids can be among the k nearest, so the others are not coded.
+
+What Spark moves for a query is its vector to each probed chunk and at most RERANK rows back from each.
+Cells are cut in chunks of CHUNK rows by hash of vec_id, so a crowded cell is many tasks' work.
+
+Centres and codebooks are fitted on a sample of at most SAMPLE vectors and SAMPLE_NUMBERS numbers (the
+least by hash of vec_id), which goes to all tasks; every row is indexed.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part, nor those of another length than most have; a query never finds its own row; fewer candidates
 than k are all returned; equal distances go to the smaller vec_id; of repeated vec_ids each row is
-a candidate, and the query's own id is none. An empty table gives no rows.
+a candidate, the query's own id is none, and the least vector is the query. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, prepare, table
+from cindertrace.llm.common import cut, prepare, record_batch, table
 
-SAMPLE, CELLS, BLOCK, ETA = 16_384, 256, 2, 4.0
-#: Rows in a chunk of codes, queries in a block, and how many are reranked for each one asked for.
-CHUNK, QUERIES, KEEP = 8192, 256, 50
+SAMPLE, SAMPLE_NUMBERS, CELLS, BLOCK, ETA = 16_384, 1 << 22, 256, 2, 4.0
+#: Rows in a chunk of a cell, queries in a block, rows that are reranked for each one asked for.
+CHUNK, QUERIES, KEEP = 8192, 256, 20
+#: The share of sample neighbours whose cells are probed, and how many sample rows are asked.
+REACH, ASKED = 0.985, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -71,27 +75,26 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Centres and codebooks, fitted on a sample of vectors."""
+    """Centres, codebooks and the sample they are fitted on."""
 
-    def __init__(self, sample: np.ndarray, rows: int):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, rows: int, k: int):
+        self.rows, self.ids, self.rerank = rows, ids, KEEP * k
         self.mean = sample.mean(axis=0)
-        x = sample - self.mean
-        self.cells = int(np.clip(rows // 256, 1, CELLS))
+        self.sample = x = sample - self.mean
+        self.cells = int(np.clip(rows // 256, 1, min(CELLS, len(x))))
         self.centres = kmeans(x, self.cells, 8)
-        whole = self.lift(x)
         cell = nearest(x, self.centres)
-        rest = whole - self.lift_centre(cell)
+        rest = x - self.centres[cell]
         # residuals are coded in units of their cell's spread, so that dense cells are told apart as finely as wide ones
         spread = np.bincount(cell, (rest**2).sum(axis=1), self.cells) / np.maximum(np.bincount(cell, minlength=self.cells), 1)
         self.scale = np.sqrt(np.where(spread > 1e-18, spread, 1.0))
-        rest = rest / self.scale[cell][:, None]
-        d = whole.shape[1]
-        pad = -d % BLOCK
-        self.pad, self.blocks = pad, (d + pad) // BLOCK
-        r, w = self.cut(rest), self.cut(self.unit(whole))
+        d = x.shape[1]
+        self.pad = -d % BLOCK
+        self.blocks = (d + self.pad) // BLOCK
+        r, w = self.cut(rest / self.scale[cell][:, None]), self.cut(self.unit(x))
         self.books = np.stack([kmeans(r[:, b], 16, 6, b) for b in range(self.blocks)])
         for _ in range(3):  # anisotropic Lloyd rounds: assign by the loss, then solve for each centre
-            codes = self.assign(r, w)
+            codes = np.concatenate([self.assign(r[i : i + 1024], w[i : i + 1024]) for i in range(0, len(r), 1024)])
             for b in range(self.blocks):
                 for c in range(16):
                     own = codes[:, b] == c
@@ -100,13 +103,17 @@ class Index:
                         m = np.eye(BLOCK) * own.sum() + (ETA - 1) * u.T @ u
                         t = y.sum(axis=0) + (ETA - 1) * (u * (u * y).sum(axis=1, keepdims=True)).sum(axis=0)
                         self.books[b, c] = np.linalg.solve(m, t)
-
-    @staticmethod
-    def lift(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, -(x**2).sum(axis=1) / 2])
-
-    def lift_centre(self, of: np.ndarray) -> np.ndarray:
-        return self.lift(self.centres)[of]
+        self.probed = self.cells_to_probe(cell, k)
+
+    def cells_to_probe(self, cell: np.ndarray, k: int) -> int:
+        """How many of the nearest cells hold REACH of the k nearest sample rows of some of the sample."""
+        x = self.sample
+        some = x[:: max(1, len(x) // ASKED)][:ASKED]
+        k = min(k + 1, len(x))  # the row itself is the nearest
+        near = np.argpartition(squares(some, x), k - 1, axis=1)[:, :k]
+        rank = np.argsort(np.argsort(squares(some, self.centres), axis=1), axis=1)
+        held = np.sort(np.take_along_axis(rank, cell[near], axis=1).ravel())
+        return int(held[int(np.ceil(REACH * len(held))) - 1]) + 1
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -130,82 +137,110 @@ class Index:
             total = other + picked[:, b]
         return codes
 
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells, and codes with two to a byte."""
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, halves of squared norms, and codes with two to a byte."""
         x = vectors - self.mean
         cell = nearest(x, self.centres)
-        whole = self.lift(x)
-        rest = (whole - self.lift_centre(cell)) / self.scale[cell][:, None]
-        codes = np.concatenate([self.assign(self.cut(rest[i : i + 1024]), self.cut(self.unit(whole[i : i + 1024]))) for i in range(0, len(x), 1024)])
+        rest = (x - self.centres[cell]) / self.scale[cell][:, None]
+        codes = np.concatenate([self.assign(self.cut(rest[i : i + 1024]), self.cut(self.unit(x[i : i + 1024]))) for i in range(0, len(x), 1024)])
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
-        return cell, (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
-
-    def scan(self, queries: np.ndarray, cells: np.ndarray, codes: np.ndarray, probed: float) -> np.ndarray:
-        """Estimated scores, queries by rows."""
-        q = np.column_stack([queries - self.mean, np.ones(len(queries))])
+        return cell, (x**2).sum(axis=1) / 2, (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+
+    def route(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that each query probes, and the squared distance within which a row goes on."""
+        q = queries - self.mean
+        cells = np.argsort(squares(q, self.centres), axis=1)[:, : self.probed]
+        far = squares(q, self.sample)
+        far[ids[:, None] == self.ids[None]] = np.inf
+        stands = self.rerank * len(self.sample) / self.rows
+        rank = int(np.ceil(stands + 4 * np.sqrt(stands))) + 10
+        bound = np.partition(far, rank, axis=1)[:, rank] if rank < far.shape[1] else np.full(len(q), np.inf)
+        return cells, bound
+
+    def scan(self, queries: np.ndarray, cell: int, halves: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Estimated squared distances, queries by rows of a cell."""
+        q = queries - self.mean
         tables = np.einsum("qbd,bcd->qbc", self.cut(q), self.books).astype(np.float32)
-        base = q @ self.lift_centre(np.arange(self.cells)).T
-        if probed < 1:
-            n = max(1, int(np.ceil(self.cells * probed)))
-            far = np.argsort(-base, axis=1)[:, n:]
-            np.put_along_axis(base, far, -np.inf, axis=1)
-        out = np.zeros((len(q), len(cells)), np.float32)
+        rest = np.zeros((len(q), len(codes)), np.float32)
         for b in range(self.blocks):
-            out += tables[:, b, codes[:, b // 2] >> 4 * (b % 2) & 15]
-        return out * self.scale.astype(np.float32)[cells] + base.astype(np.float32)[:, cells]
+            rest += tables[:, b, codes[:, b // 2] >> 4 * (b % 2) & 15]
+        products = (q @ self.centres[cell])[:, None] + rest * self.scale[cell]
+        return (q**2).sum(axis=1)[:, None] - 2 * (products - halves)
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances between all rows of both."""
+    return (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = 1.0) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors that is_query picks."""
     spark = prepare(vectors.sparkSession)
     rows = cut(usable(vectors))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    equal = Window.partitionBy("vector").orderBy("vec_id")
+    d = rows.select(F.size("vector")).first()[0]
+    equal = Window.partitionBy("vector").orderBy("vec_id")  # a group limit: each task passes on k + 1 rows of a vector
     distinct = cut(rows.withColumn("r", F.row_number().over(equal)).filter(F.col("r") <= k + 1).select("vec_id", "vector"))
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    d = len(sample.column("vector")[0])
-    index = spark.sparkContext.broadcast(Index(matrix(sample.column("vector").combine_chunks(), d), n))
-    parts = -(-n // CHUNK)
-    share = KEEP * k / parts
-    top_of_chunk = int(np.ceil(share + 4 * np.sqrt(share) + k))
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(256, min(SAMPLE, SAMPLE_NUMBERS // d))).toArrow()
+    index = spark.sparkContext.broadcast(Index(matrix(sample.column("vector").combine_chunks(), d), sample.column("vec_id").to_numpy(), distinct.count(), k))
+    most = index.value.rerank
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int32()), ("half", pa.float64()), ("code", pa.binary())])
         for b in batches:
             if b.num_rows:
-                cell, codes = index.value.encode(matrix(b.column("vector"), d))
-                yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "cell": cell.astype(np.int32), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+                cell, half, codes = index.value.encode(matrix(b.column("vector"), d))
+                yield record_batch(schema, b.column("vec_id"), cell.astype(np.int32), half, [c.tobytes() for c in codes])
 
-    coded = distinct.mapInArrow(code, "vec_id long, cell int, code binary")
-    chunks = coded.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "cell", "code"))).alias("rows"))
-    asked = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")).distinct()
-    some = max(1, -(-asked.count() // QUERIES))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(some)).alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32())), ("bound", pa.float64())])
+        for b in batches:
+            if b.num_rows:
+                cells, bound = index.value.route(b.column("query_id").to_numpy(), matrix(b.column("query"), d))
+                yield record_batch(schema, b.column("query_id"), b.column("query"), cells.astype(np.int32).tolist(), bound)
+
+    coded = cut(distinct.mapInArrow(code, "vec_id long, cell int, half double, code binary"))
+    sizes = cut(coded.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))  # a row for each cell
+    units = sizes.agg(F.sum("chunks")).first()[0]
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-units // 16))
+    by = ["cell", "chunk"]
+    chunks = coded.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))
+    chunks = chunks.repartition(tasks, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "half", "code"))).alias("rows"))
+    asked = cut(rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query")))
+    probes = asked.mapInArrow(route, "query_id long, query array<double>, cells array<int>, bound double").select("query_id", "query", "bound", F.explode("cells").alias("cell"))
+    probes = probes.join(F.broadcast(sizes), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // QUERIES)))).alias("block")
+    blocks = probes.repartition(tasks, *by).groupBy(*by, block).agg(F.collect_list(F.struct("query_id", "query", "bound")).alias("queries"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("estimate", pa.float64())])
         for b in batches:
-            for own, asked_ in zip(b.column("rows"), b.column("queries"), strict=True):
+            for cell, own, asked_ in zip(b.column("cell").to_pylist(), b.column("rows"), b.column("queries"), strict=True):
                 own, asked_ = own.values, asked_.values
-                ids, cells = own.field("vec_id").to_numpy(), own.field("cell").to_numpy()
+                ids, halves = own.field("vec_id").to_numpy(), own.field("half").to_numpy()
                 codes = np.frombuffer(b"".join(own.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                scores = index.value.scan(matrix(asked_.field("query"), d), cells, codes, probed)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :top_of_chunk]  # equal scores: the smaller ids
-                query = np.repeat(asked_.field("query_id").to_numpy(), best.shape[1])
-                yield pa.RecordBatch.from_pydict({"query_id": query, "vec_id": ids[best].ravel(), "estimate": np.take_along_axis(scores, best, axis=1).ravel()})
-
-    found = blocks.join(chunks, "part").select("rows", "queries").mapInArrow(scan, "query_id long, vec_id long, estimate float").filter("query_id != vec_id AND estimate > float('-inf')")
-    rough = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
-    best = found.withColumn("r", F.row_number().over(rough)).filter(F.col("r") <= KEEP * k).select("query_id", "vec_id").distinct()
+                queries, bounds = asked_.field("query_id").to_numpy(), asked_.field("bound").to_numpy()
+                far = index.value.scan(matrix(asked_.field("query"), d), cell, halves, codes)
+                best = np.argsort(far, axis=1, kind="stable")[:, :most]  # equal estimates: the smaller ids
+                near = np.take_along_axis(far, best, axis=1)
+                near[ids[best] == queries[:, None]] = np.inf
+                x, y = np.nonzero(near <= bounds[:, None] * 1.02 + 1e-9)
+                ok = np.isfinite(near[x, y])
+                yield record_batch(schema, queries[x[ok]], ids[best[x[ok], y[ok]]], near[x[ok], y[ok]])
+
+    found = blocks.join(chunks, by).select("cell", "rows", "queries").mapInArrow(scan, "query_id long, vec_id long, estimate double")
+    rough = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
+    best = found.withColumn("r", F.row_number().over(rough)).filter(F.col("r") <= most).select("query_id", "vec_id").distinct()
     exact = best.join(rows, "vec_id").join(asked, "query_id")
-    squares = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = exact.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
+    total = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    near = exact.select("query_id", "vec_id", F.sqrt(total).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -137,6 +138,33 @@ def test_nearest(spark):
     assert neighbours.search(df.filter("vec_id > 1999 AND vec_id < 2004"), F.col("vec_id") == 2000).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "cloud"])
+def test_recall_at_forty_thousand(spark, monkeypatch, kind):
+    """At most 0.5 % of the rows are reranked; every tenth vector is a copy of another."""
+    rng = np.random.default_rng(31)
+    n, d = 40_000, 64
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    if kind == "clusters":
+        x = rng.normal(size=(40, d))[rng.integers(0, 40, n)] * 4 + x * rng.uniform(0.2, 1.5, (n, 1))
+    x = x.astype(np.float64)
+    x[::10] = x[rng.integers(0, n, n // 10)]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    assert neighbours.KEEP * 10 <= 0.005 * n
+    asked = np.arange(0, n, 400)
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id") % 400 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in asked.tolist():
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(n), far))[:10]
+        own = sorted(got[q])
+        hit += len(set(best.tolist()) & {v for _, v, _ in own})
+        assert [k for k, _, _ in own] == list(range(1, 11)) and all(s == pytest.approx(far[v], abs=1e-9) for _, v, s in own)
+    assert hit / (10 * len(asked)) >= 0.93, hit / (10 * len(asked))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
