@@ -1,11 +1,14 @@
 """Main text of web pages, by structure and by what a host repeats.
 
 Each page is cut into blocks. Blocks inside an article (or, if no article has text, inside main)
-are its main text, but for menus, asides, footers, forms, notices, adverts and comments in them. The
-token streams of all other blocks are laid end to end by host, and a sparse suffix array over them
-finds long substrings that distinct pages of one host repeat. Pages with neither article nor main
-keep the blocks that are in no container of boilerplate and that no repeated substring covers:
-their unique runs. Copies of a page count as one page there, so that they don't cover each other.
+are its main text, but for menus, asides, footers, forms, notices, adverts and comments in them. Pages
+with neither keep the blocks that are in no container of boilerplate, less the runs of words that their
+host repeats: what such pages offer, and what stands outside the main text of all others, is laid end to
+end by host, and a sparse suffix array over it finds long substrings that distinct pages of one host
+repeat. Pages that offer the same text count as one page there, so that copies don't cover each other.
+
+host_runs="everywhere" lets the array decide on main text too. That is right only where main texts are
+all different: a passage that two articles of a host share is then taken for boilerplate.
 
 Defined results: null and empty html give an empty text; unclosed and stray tags end at the next
 enclosing close; character references are decoded, white space (Unicode) becomes one blank, a line
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import md5
 from html import unescape
 
 import numpy as np
@@ -47,11 +49,14 @@ NAMES = frozenset(
     " notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond related recommended breadcrumb breadcrumbs pagination pager"
     " widget toolbar search contentinfo complementary dialog form copyright legal disclaimer skip hidden".split()
 )
+#: Of those, what names a part that is no main text even inside an article.
+INNER_NAMES = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored notice notices cookie cookies consent comment comments disqus reply replies form hidden".split())
 COMMENTS = frozenset("comment comments reply replies".split())
 MAIN, OUTER, ASIDE_KIND = 0, 1, 2
 
 
-def aside(name: str, attributes: str) -> bool:
+def aside(name: str, attributes: str, inside: bool = False) -> bool:
+    """Does an element hold no main text? inside: it is in an article or main."""
     if name in ASIDE:
         return True
     if not attributes or name in ("html", "body"):
@@ -65,7 +70,7 @@ def aside(name: str, attributes: str) -> bool:
             return True
     if name in ("article", "main"):
         return bool(words & COMMENTS)
-    return bool(words & NAMES) or re.search(r"(^|\s)hidden(\s|$|=)", attributes) is not None
+    return bool(words & (INNER_NAMES if inside else NAMES)) or re.search(r"(^|\s)hidden(\s|$|=)", attributes) is not None
 
 
 def blocks(html: str) -> list[tuple[int, int, str]]:
@@ -113,7 +118,7 @@ def blocks(html: str) -> list[tuple[int, int, str]]:
             continue
         open_.append((name, place, kind))
         if kind != ASIDE_KIND:
-            if aside(name, m[3]) or name == "header" and not place:
+            if aside(name, m[3], place > 0) or name == "header" and not place:
                 kind = ASIDE_KIND
             elif name == "article":
                 place = 2
@@ -140,60 +145,65 @@ def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return starts, place, grams[place], place
 
 
-def host_repeats(outer: DataFrame) -> DataFrame:
-    """row, ranges: the words that other pages of the host repeat, for outer(row, salt, page, text).
-
-    salt stands for the host and page for the whole html, of whose copies one is looked at.
-    """
-    first = cut(outer.groupBy("salt", "page").agg(F.min(F.struct("row", "text")).alias("m")).select("salt", "page", F.col("m.row").alias("doc_id"), "m.text"))
-    ranges = repeated_ranges(first.select("doc_id", "text", "salt"), minimisers, LENGTH)
-    return outer.filter("alone").select("salt", "page", "row").distinct().join(first.select("salt", "page", "doc_id").join(ranges, "doc_id"), ["salt", "page"]).select("row", "ranges")
+def unique_runs(blocks: list[str], gone: np.ndarray) -> list[str]:
+    """The blocks without the words that gone marks, over all of them; blocks with none left are left out."""
+    out, at = [], 0
+    for text in blocks:
+        words = text.encode().split()
+        own = gone[at : at + len(words)]
+        at += len(words)
+        out.append(text if not own.any() else b" ".join(w for w, g in zip(words, own, strict=True) if not g).decode())
+    return [t for t in out if t]
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, host_runs: str = "outside") -> DataFrame:
     """page_id, url, text of every row of pages(page_id, url, html).
 
-    Pages with an article or main are told from their structure alone; only the others are joined
-    with what their host repeats.
+    Pages with an article or main are told from their structure, in one pass without a shuffle
+    (host_runs="outside"); what the others offer is written once and joined with what their host repeats.
     """
+    if host_runs not in ("outside", "everywhere"):
+        raise ValueError(host_runs)
+    everywhere = host_runs == "everywhere"
     prepare(pages.sparkSession)
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    # rows are told apart by all they hold: repeated rows share what is found for them
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("salt"), F.xxhash64("page_id", "url", "html").alias("row"))
-    outer_schema = pa.schema([("row", pa.int64()), ("salt", pa.int64()), ("page", pa.string()), ("text", pa.string()), ("alone", pa.bool_())])
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64(host).alias("salt"))
+    offered = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("salt", pa.int64()), ("text", pa.string()), ("open", pa.bool_())])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Two rows for a page at most: what may be cut (open), and what only shows what its host repeats."""
         for b in batches:
-            html = [h or "" for h in b.column("html").to_pylist()]
-            split = [split_page(h) for h in html]
-            yield record_batch(outer_schema, b.column("row"), b.column("salt"), [md5(h.encode()).hexdigest() for h in html], ["\n".join(t for _, t in rest) for _, rest in split], [not main for main, _ in split])
+            out = []
+            for page_id, url, html, salt in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "salt")), strict=True):
+                main, rest = split_page(html)
+                if not main or everywhere:
+                    out.append((page_id, url, salt, "\n".join(main or [t for kind, t in rest if kind == OUTER]), True))
+                if main and rest:
+                    out.append((None, None, salt, "\n".join(t for _, t in rest), False))
+            if out:
+                yield record_batch(offered, *zip(*out, strict=True))
 
     def structured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(p, u, main) for p, u, h in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) if (main := split_page(h)[0])]
             yield record_batch(schema, *([r[k] for r in out] for k in range(2)), ["\n".join(r[2]) for r in out])
 
-    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cleared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for html, ranges in zip(b.column("html").to_pylist(), b.column("ranges").to_pylist(), strict=True):
-                rest = split_page(html)[1]
-                counts = [len(t.encode().split()) for _, t in rest]
-                gone = covered(sum(counts), ranges, LENGTH, False)
-                first = np.cumsum([0, *counts])
-                out.append("\n".join(t for k, (kind, t) in enumerate(rest) if kind == OUTER and not (counts[k] and gone[first[k] : first[k + 1]].all())))
+            for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist(), strict=True):
+                own = text.split("\n")
+                out.append("\n".join(unique_runs(own, covered(len(text.encode().split()), ranges, LENGTH, False))))
             yield record_batch(schema, b.column("page_id"), b.column("url"), out)
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([not split_page(h)[0] for h in b.column("html").to_pylist()], pa.bool_()))
-
     kinds = "page_id long, url string, text string"
-    outer = cut(rows.select("row", "salt", "html").mapInArrow(outside, "row long, salt long, page string, text string, alone boolean"))
-    found = host_repeats(outer)
-    alone = rows.select("row", "page_id", "url", "html").mapInArrow(pick, "row long, page_id long, url string, html string").join(found, "row", "left")
-    return rows.select("page_id", "url", "html").mapInArrow(structured, kinds).unionByName(alone.select("page_id", "url", "html", "ranges").mapInArrow(unmarked, kinds))
+    texts = cut(rows.mapInArrow(offer, "page_id long, url string, salt long, text string, open boolean").withColumn("key", F.xxhash64("salt", "text")))
+    # one row stands for all that offer the same text on a host
+    first = texts.groupBy("salt", "key").agg(F.first("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "key", "text", "salt")
+    ranges = repeated_ranges(cut(first), minimisers, LENGTH).select("key", "ranges")
+    open_ = texts.filter("open").join(ranges, "key", "left").select("page_id", "url", "text", "ranges").mapInArrow(cleared, kinds)
+    return open_ if everywhere else rows.select("page_id", "url", "html").mapInArrow(structured, kinds).unionByName(open_)
 
 
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

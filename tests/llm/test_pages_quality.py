@@ -45,6 +45,57 @@ def test_pages_table(spark, small):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_names_inside_an_article(spark):
+    """Only what the main text is without goes; a part that is merely called a result or a legal one stays."""
+    html = "<article><p>One.</p><div class='search-results'><p>Two.</p></div><div class='legal copyright related social skip'>Three.</div><div class='ad'>no</div><ul class='menu'><li>no</li></ul><p class='notice'>no</p><div id='comments'>no</div></article>"
+    assert pages.main_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()["text"] == "One.\nTwo.\nThree."
+
+
+def brute_hosts(rows, length):
+    """What is left of texts [(host, text)] when all words go that a window repeats which another text of the host, or this one elsewhere, has."""
+    seen = {}
+    for host, text in set(rows):
+        w = text.split()
+        for i in range(len(w) - length + 1):
+            seen[host, tuple(w[i : i + length])] = seen.get((host, tuple(w[i : i + length])), 0) + 1
+    out = []
+    for host, text in rows:
+        w = text.split()
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if seen[host, tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = True
+        left, at = [], 0
+        for block in text.split("\n"):
+            n = len(block.split())
+            left.append(" ".join(x for x, g in zip(w[at : at + n], gone[at : at + n], strict=True) if not g))
+            at += n
+        out.append("\n".join(x for x in left if x))
+    return out
+
+
+@pytest.mark.parametrize("mark", ["div", "article"])
+def test_host_runs_against_brute_force(spark, mark):
+    """Pages without an article lose runs, not blocks, that their host repeats; articles do so only when asked."""
+    rng = np.random.default_rng(12)
+    line = [" ".join(rng.choice([f"w{k}" for k in range(300)], 9)) for _ in range(6)]
+    rows, bodies = [], []
+    for k in range(60):
+        own = [" ".join(rng.choice([f"v{j}" for j in range(400)], rng.integers(3, 30))) for _ in range(3)]
+        own[0] += " " + line[k % 6] + " " + own[2]
+        own.insert(1, line[(k + 1) % 6])
+        if k % 9 == 8:
+            own = bodies[-1][1].split("\n")
+        host = f"h{k % 3}.com" if k % 9 != 8 else bodies[-1][0]
+        bodies.append((host, "\n".join(own)))
+        rows.append((k, f"http://{host}/{k}", f"<{mark}>" + "".join(f"<p>{x}</p>" for x in own) + f"</{mark}>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df, "outside" if mark == "div" else "everywhere").collect()}
+    assert [got[k] for k in range(60)] == brute_hosts(bodies, pages.LENGTH)
+    if mark == "article":
+        assert {r["page_id"]: r["text"] for r in pages.main_text(df).collect()} == {k: t for k, (_, t) in enumerate(bodies)}
+
+
 def corpus():
     rng = np.random.default_rng(2)
     words = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "gre") for b in ("lan", "mer", "nix", "pol", "rus", "tem")]
