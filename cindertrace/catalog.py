@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrace.functions import geo
 from cindertrace.operators import components as comp
 from cindertrace.operators import episodes, features, history, labels, landcover, rules, spatial
 from cindertrace.plans.adapter import Tables, distance_sql, sql
+from cindertrace.registry import ORACLE, QUERIES, Query, register
 from cindertrace.sources import detections, exports, mapped
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 AS_OF, FIRST, LAST = "2024-01-28", "2024-01-01", "2024-01-30"
 
 
-def register(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
-    def wrap(f: Callable[[Tables], DataFrame]) -> Query:
-        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(spark, sf_dir))
-
-        QUERIES[f.__name__] = query
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return query
-
-    return wrap
-
-
 def epoch(c: str) -> Column:
     return F.unix_timestamp(c).alias(c)
 
@@ -451,10 +434,9 @@ def cohen_kappa(t: Tables) -> DataFrame:
     return labels.cohen_kappa(r.filter("seq = 1").select("id", F.col("source_label").alias("a")).join(r.filter("seq = 2").select("id", F.col("source_label").alias("b")), "id").select("a", "b"))
 
 
-@register(sql("cases", "SELECT region_id, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT region_id, id || '|' || region_id || '|' || split_group || '|' || coalesce(silver, '') AS line FROM cases) GROUP BY region_id"))
+@register(sql("cases", ", h AS (SELECT region_id, sha256(id || '|' || region_id || '|' || split_group || '|' || coalesce(silver, '')) AS h FROM cases), d AS (SELECT region_id, count(*) AS n, substr(h, 1, 4) AS block, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY region_id, substr(h, 1, 4)) SELECT region_id, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, '' ORDER BY block)) AS digest FROM d GROUP BY region_id"))
 def case_set_fingerprint(t: Tables) -> DataFrame:
-    line = F.concat_ws("|", "id", "region_id", "split_group", F.coalesce("silver", F.lit("")))
-    return t.cases().select("region_id", line.alias("line")).groupBy("region_id").agg(F.count("*").alias("n"), F.expr("sha2(listagg(line, '\\n') WITHIN GROUP (ORDER BY line), 256)").alias("digest"))
+    return labels.fingerprint(t.cases().fillna("", ["silver"]), ["region_id"], "id", "region_id", "split_group", "silver")
 
 
 FEATURES = "count(*) AS n, count(DISTINCT (acquired_at, satellite)) AS overpasses, count(DISTINCT CAST(acquired_at AS DATE)) AS active_days, round((epoch(max(acquired_at)) - epoch(min(acquired_at))) / 3600, 6) AS duration_h, round(max(frp_mw), 6) AS max_frp, round(median(frp_mw), 6) AS median_frp, round(avg(CAST(daynight = 'N' AS DOUBLE)), 6) AS night_fraction, round(avg(CAST(confidence = 'h' AS DOUBLE)), 6) AS high_fraction, round(avg(CAST(confidence = 'l' AS DOUBLE)), 6) AS low_fraction, round(median(i4 - i5), 6) AS median_i4_i5"
@@ -510,7 +492,8 @@ def brier(t: Tables) -> DataFrame:
     return features.brier(t.predictions(), "grp")
 
 
-@register()
+@register(sql("predictions", """, s AS (SELECT grp, count(*) AS n, count(*) FILTER (pred = y) AS hit FROM predictions GROUP BY grp), d AS (SELECT s.*, r.k, ('0x' || substr(md5('11|' || grp || '|' || r.k), 1, 13))::BIGINT / pow(2, 52) AS u FROM s, range(1000) r(k)),
+ w AS (SELECT k, n, hit, """ + " + ".join(f"CAST(u >= {x!r} AS INTEGER)" for x in features.POISSON) + """ AS w FROM d), a AS (SELECT k, sum(w * hit) / sum(w * n) AS acc FROM w GROUP BY k HAVING sum(w * n) > 0) SELECT count(*) AS replicates, round(quantile_cont(acc, 0.025), 9) AS low, round(quantile_cont(acc, 0.975), 9) AS high FROM a"""))
 def bootstrap_ci(t: Tables) -> DataFrame:
     return features.bootstrap_interval(t.predictions(), "grp")
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from math import exp, factorial
 
-from cindertrace.shipping import ship
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def episode_features(members: DataFrame, *keys: str) -> DataFrame:
@@ -46,42 +44,63 @@ def reliability(predictions: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def abstention_curve(predictions: DataFrame, thresholds: list[float]) -> DataFrame:
-    """For each confidence threshold: how many are decided, their share, and the error among them."""
+    """For each confidence threshold: how many are decided, their share, and the error among them.
+
+    Rows are counted once, by how many thresholds they reach; the counts are then added up from above.
+    """
     sure = F.greatest(F.col("p"), 1 - F.col("p"))
-    wrong = ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("double")
-    steps = F.explode(F.array(*map(F.lit, thresholds)))
-    total = Window.partitionBy("threshold")
-    rows = predictions.select(sure.alias("sure"), wrong.alias("wrong")).select("*", steps.alias("threshold"))
-    kept = rows.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("sure") >= F.col("threshold")).alias("decided"), F.round(F.avg(F.when(F.col("sure") >= F.col("threshold"), F.col("wrong"))), 6).alias("risk"))
-    return kept.select("threshold", "decided", F.round(F.col("decided") / F.max("n").over(total), 6).alias("coverage"), "risk")
+    wrong = ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("long")
+    steps = sorted(thresholds)
+    reached = F.size(F.filter(F.array(*map(F.lit, steps)), lambda x: x <= sure)).alias("reached")
+    counts = predictions.groupBy(reached).agg(F.count("*").alias("n"), F.sum(wrong).alias("wrong"))
+    packed = counts.agg(F.collect_list(F.struct("reached", "n", "wrong")).alias("c"))  # a row for each threshold, and one
+
+    def total(field: str, least: Column) -> Column:
+        return F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.when(x["reached"] >= least, x[field]).otherwise(0))
+
+    rows = packed.select("c", F.posexplode(F.array(*map(F.lit, steps))).alias("k", "threshold"))
+    rows = rows.select("threshold", total("n", F.col("k") + 1).alias("decided"), total("wrong", F.col("k") + 1).alias("wrong"), total("n", F.lit(0)).alias("all"))
+    return rows.select("threshold", "decided", F.round(F.col("decided") / F.col("all"), 6).alias("coverage"), F.round(F.when(F.col("decided") > 0, F.col("wrong") / F.col("decided")), 6).alias("risk"))
+
+
+# The risk that decided cases may have, and the share that must be decided.
+TARGET_RISK, LEAST_COVERAGE = 0.10, 0.5
+
+
+def choose_abstention(curve: DataFrame) -> DataFrame:
+    """threshold, target_met: the least threshold within the target risk that decides enough, else 0.5."""
+    good = (F.col("risk") <= TARGET_RISK) & (F.col("coverage") >= LEAST_COVERAGE)
+    return curve.agg(F.min(F.when(good, F.col("threshold"))).alias("t")).select(F.coalesce("t", F.lit(0.5)).alias("threshold"), F.col("t").isNotNull().alias("target_met"))
 
 
 def brier(predictions: DataFrame, *keys: str) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2))), 6).alias("brier"))
 
 
+#: From which uniform numbers on a Poisson variable of mean one is at least 1, 2, and so on.
+POISSON = [round(sum(exp(-1) / factorial(k) for k in range(j)), 12) for j in range(1, 9)]
+
+
+def draw_weight(group: Column, replicate: Column, seed: int) -> Column:
+    """How often a group is drawn in a replicate: a Poisson number told from a hash, so the same in every run and engine."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), group.cast("string"), replicate.cast("string"))), 1, 13), 16, 10).cast("double") / 2.0**52
+    weight = F.lit(0)
+    for x in POISSON:
+        weight = weight + (u >= x).cast("int")
+    return weight
+
+
 def bootstrap_interval(predictions: DataFrame, group: str, replicates: int = 1000, seed: int = 11) -> DataFrame:
     """The 95 % interval of accuracy when whole groups are drawn anew.
 
-    Only sums by group are resampled; replicates are spread over tasks.
+    Only sums by group are resampled. Each replicate weighs each group by a Poisson number, which adds
+    up within tasks, instead of drawing from a list of all groups.
     """
     sums = predictions.groupBy(group).agg(F.count("*").alias("n"), F.sum(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("right"))
-    packed = sums.agg(F.array_sort(F.collect_list(F.struct("n", "right"))).alias("groups"))
-    spark = ship(predictions.sparkSession)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for k, groups in zip(b["replicate"], b["groups"], strict=True):
-                own = np.array([(g["n"], g["right"]) for g in groups])
-                if not len(own):
-                    continue
-                drawn = own[np.random.default_rng([seed, int(k)]).integers(0, len(own), len(own))].sum(axis=0)
-                out.append((k, drawn[1] / drawn[0]))
-            yield pd.DataFrame(out, columns=["replicate", "accuracy"])
-
-    drawn = spark.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(packed)).mapInPandas(run, "replicate long, accuracy double")
-    return drawn.agg(F.count("*").alias("replicates"), F.expr("percentile(accuracy, 0.025)").alias("low"), F.expr("percentile(accuracy, 0.975)").alias("high"))
+    rows = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = rows.withColumn("w", draw_weight(F.col(group), F.col("replicate"), seed))
+    drawn = rows.groupBy("replicate").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("right")).alias("right")).filter("n > 0").select((F.col("right") / F.col("n")).alias("accuracy"))
+    return drawn.agg(F.count("*").alias("replicates"), F.round(F.expr("percentile(accuracy, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(accuracy, 0.975)"), 9).alias("high"))
 
 
 def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, rounds: int = 20) -> DataFrame:

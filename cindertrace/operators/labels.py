@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrace.operators.episodes import stable_hash
+from cindertrace.operators.ranks import numbered
 
 # The seed, the shares of the splits, and the hosts of evidence links.
 SEED, TRAIN, VALIDATION = "split-v1", 0.6, 0.2
@@ -30,20 +31,36 @@ def assign_splits(cases: DataFrame) -> DataFrame:
 
 
 def review_order(cases: DataFrame) -> DataFrame:
-    """id, place: splits take turns (TEST, TRAIN, VALIDATION, TEST, TRAIN), then regions, then groups.
+    """id, split, place: splits take turns (TEST, TRAIN, VALIDATION, TEST, TRAIN), then regions, then groups.
 
     cases: id, region_id, split_group, split. Exhausted lanes are skipped, so ranks give the order.
+    Within regions and groups rows are numbered over range partitions. Above them no rows are ordered: a
+    case's place follows from its number in its region, the regions' sizes (a catalogue of some dozens)
+    and the splits' sizes.
     """
-    w = Window.partitionBy
     c = cases.withColumns({"hc": stable_hash(SEED, "rank", F.col("id")), "hg": stable_hash(SEED, F.col("split_group"))})
-    c = c.withColumn("r", F.row_number().over(w("split", "region_id", "split_group").orderBy("hc")))
-    c = c.withColumn("in_region", F.row_number().over(w("split", "region_id").orderBy("r", "hg")))
-    c = c.withColumn("in_split", F.row_number().over(w("split").orderBy("in_region", "region_id")) - 1)
-    two, slot = F.col("in_split"), F.col("split")
-    cycle = F.when(slot == "VALIDATION", two).otherwise(F.floor(two / 2))
-    turn = F.when(slot == "TEST", F.when(two % 2 == 0, 0).otherwise(3)).when(slot == "TRAIN", F.when(two % 2 == 0, 1).otherwise(4)).otherwise(2)
-    order = Window.orderBy("cycle", "turn")  # a total order over cases is the result itself
-    return c.withColumns({"cycle": cycle, "turn": turn}).select("id", "split", F.row_number().over(order).alias("place"))
+    c = numbered(c.select("id", "split", "region_id", "split_group", "hc", "hg"), ["split", "region_id", "split_group"], ["hc"], "r")
+    c = numbered(c, ["split", "region_id"], ["r", "hg"], "in_region")
+    sizes = c.groupBy("split", "region_id").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("split").agg(F.collect_list(F.struct("region_id", "n")).alias("regions"), F.sum("n").alias("size"))
+    lanes = sizes.agg(F.map_from_entries(F.collect_list(F.struct("split", "size"))).alias("lanes"))
+    c = c.join(F.broadcast(sizes.select("split", "regions").crossJoin(lanes)), "split")  # a row for each of three splits
+    i, region = F.col("in_region"), F.col("region_id")
+    ahead = F.aggregate("regions", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], i - 1) + F.when((x["region_id"] < region) & (x["n"] >= i), 1).otherwise(0))
+    c = c.withColumn("j", ahead)
+    j, slot = F.col("j"), F.col("split")
+    cycle = F.when(slot == "VALIDATION", j).otherwise(F.floor(j / 2))
+    turn = F.when(slot == "TEST", F.when(j % 2 == 0, 0).otherwise(3)).when(slot == "TRAIN", F.when(j % 2 == 0, 1).otherwise(4)).otherwise(2)
+    c = c.withColumns({"cycle": cycle, "turn": turn})
+
+    def before(split: str, *turns: int) -> Column:
+        """How many cases of a split come in earlier cycles, or earlier turns of this one."""
+        steps = F.col("cycle") * len(turns)
+        for k in turns:
+            steps = steps + (F.col("turn") > k).cast("int")
+        return F.least(F.coalesce(F.try_element_at("lanes", F.lit(split)), F.lit(0)), steps)
+
+    return c.select("id", "split", (before("TEST", 0, 3) + before("TRAIN", 1, 4) + before("VALIDATION", 2) + 1).alias("place"))
 
 
 def resolve_labels(cases: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -104,10 +121,15 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     return both.select("n", F.round(F.when((F.col("n") > 0) & (p < 1), (F.col("agreed") - p) / (1 - p)), 6).alias("kappa"))
 
 
-def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One digest of all rows, in the order of the given columns."""
-    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.select(line.alias("line")).agg(F.count("*").alias("n"), F.expr("sha2(listagg(line, '\n') WITHIN GROUP (ORDER BY line), 256)").alias("digest"))
+def fingerprint(rows: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """keys, n, digest: one digest of all rows of a key, whatever their order.
+
+    Rows are hashed; hashes that begin alike (a 65536th) are digested in their order, and those digests
+    in theirs, so no text grows with a key beyond the hashes of one such block.
+    """
+    h = rows.select(*keys, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256).alias("h"))
+    blocks = h.groupBy(*keys, F.substring("h", 1, 4).alias("block")).agg(F.count("*").alias("n"), F.expr("sha2(listagg(h, '') WITHIN GROUP (ORDER BY h), 256)").alias("d"))
+    return blocks.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr("sha2(listagg(d, '') WITHIN GROUP (ORDER BY block), 256)").alias("digest"))
 
 
 def link_host(url: Column) -> Column:
