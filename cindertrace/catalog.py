@@ -610,3 +610,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from cindertrace.plans import assessing  # noqa: E402, F401  (registers its queries)

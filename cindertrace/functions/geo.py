@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def boxes_overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
 
 
-def box_covers_circle(west: Column, south: Column, east: Column, north: Column, lon: Column, lat: Column, radius_m: float) -> Column:
+def box_covers_circle(west: Column, south: Column, east: Column, north: Column, lon: Column, lat: Column, radius_m: Column | float) -> Column:
     up, across = metres_per_degree(lat)
     dy, dx = radius_m / up, radius_m / across
     return (lon - dx >= west) & (lon + dx <= east) & (lat - dy >= south) & (lat + dy <= north)
@@ -93,3 +94,90 @@ def ring_distance_m(lon: Column, lat: Column, rings: Column) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: edge_distance(F.get(ring, i), F.get(ring, i + 1))))
 
     return F.when(in_rings(lon, lat, rings), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, nearest)))
+
+
+def circle_overlap(lon: Column, lat: Column, radius_m: Column, rings: Column) -> Column:
+    """The share of a circle that lies in rings (even-odd: a ring inside another is a hole), from 0 to 1.
+
+    On the plane around the point, each edge adds the signed area between itself, clipped to the circle,
+    and the centre: sectors where it runs outside, triangles where it runs inside.
+    """
+    up, across = metres_per_degree(lat)
+    square = radius_m * radius_m
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def sector(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        return square / 2 * F.atan2(ax * by - ay * bx, ax * bx + ay * by)
+
+    # one step a lambda, so that each value is worked out once
+    def line(ring: Column, i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, i + 1)
+        return F.struct(((a["lon"] - lon) * across).alias("ax"), ((a["lat"] - lat) * up).alias("ay"), ((b["lon"] - lon) * across).alias("bx"), ((b["lat"] - lat) * up).alias("by"))
+
+    def meet(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        size, along = dx * dx + dy * dy, e["ax"] * dx + e["ay"] * dy
+        return F.struct(e.alias("e"), dx.alias("dx"), dy.alias("dy"), size.alias("size"), along.alias("along"), (along * along - size * (e["ax"] * e["ax"] + e["ay"] * e["ay"] - square)).alias("root"))
+
+    def clip(m: Column) -> Column:
+        reach = F.sqrt(F.greatest(m["root"], zero))
+        return F.struct(m.alias("m"), F.greatest((-m["along"] - reach) / m["size"], zero).alias("t"), F.least((-m["along"] + reach) / m["size"], one).alias("u"))
+
+    def ends(c: Column) -> Column:
+        e, m = c["m"]["e"], c["m"]
+        return F.struct(c.alias("c"), (e["ax"] + c["t"] * m["dx"]).alias("px"), (e["ay"] + c["t"] * m["dy"]).alias("py"), (e["ax"] + c["u"] * m["dx"]).alias("qx"), (e["ay"] + c["u"] * m["dy"]).alias("qy"))
+
+    def swept(x: Column) -> Column:
+        e, m = x["c"]["m"]["e"], x["c"]["m"]
+        cut = sector(e["ax"], e["ay"], x["px"], x["py"]) + (x["px"] * x["qy"] - x["py"] * x["qx"]) / 2 + sector(x["qx"], x["qy"], e["bx"], e["by"])
+        return F.when(m["size"] <= 0, 0.0).when((m["root"] <= 0) | (x["c"]["t"] >= x["c"]["u"]), sector(e["ax"], e["ay"], e["bx"], e["by"])).otherwise(cut)
+
+    def area(ring: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: line(ring, i))
+        for step in (meet, clip, ends, swept):
+            steps = F.transform(steps, step)
+        return F.abs(F.aggregate(steps, zero, lambda s, x: s + x))
+
+    areas = F.transform(rings, area)  # holes lie in the greatest ring of a polygon
+    inside = F.when(F.size(rings) == 1, F.get(areas, 0)).otherwise(2 * F.array_max(areas) - F.aggregate(areas, F.lit(0.0), lambda s, x: s + x))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside / (pi * square)))
+
+
+def convex_hull(points: Column) -> Column:
+    """The hull of an array of (lon, lat) as an array, counter-clockwise from the least point: one point, two, or a ring (not closed)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<struct<lon:double,lat:double>>")
+    def hull(rows: pd.Series) -> pd.Series:
+        def one(own) -> list | None:
+            if own is None:
+                return None
+            sides: list[list] = [[], []]
+            ordered = sorted({(p["lon"], p["lat"]) for p in own})
+            for side, run in zip(sides, (ordered, ordered[::-1]), strict=True):
+                for p in run:
+                    while len(side) > 1 and (side[-1][0] - side[-2][0]) * (p[1] - side[-2][1]) <= (side[-1][1] - side[-2][1]) * (p[0] - side[-2][0]):
+                        side.pop()
+                    side.append(p)
+            return [{"lon": x, "lat": y} for x, y in (ordered if len(ordered) < 2 else sides[0][:-1] + sides[1][:-1])]
+
+        return rows.map(one)
+
+    return hull(points)
+
+
+def hull_centroid(hull: Column) -> Column:
+    """(lon, lat) of the centre of a hull: of its points where it has no area, of its area otherwise."""
+    n = F.size(hull)
+    first = F.get(hull, 0)
+    x = lambda i: F.get(hull, i)["lon"] - first["lon"]
+    y = lambda i: F.get(hull, i)["lat"] - first["lat"]
+
+    def total(value) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + value(i, (i + 1) % n))
+
+    twice = total(lambda i, j: x(i) * y(j) - x(j) * y(i))
+    lon = total(lambda i, j: (x(i) + x(j)) * (x(i) * y(j) - x(j) * y(i))) / (3 * twice)
+    lat = total(lambda i, j: (y(i) + y(j)) * (x(i) * y(j) - x(j) * y(i))) / (3 * twice)
+    plain = F.struct((total(lambda i, j: x(i)) / n + first["lon"]).alias("lon"), (total(lambda i, j: y(i)) / n + first["lat"]).alias("lat"))
+    return F.when((n < 3) | (twice == 0), plain).otherwise(F.struct((lon + first["lon"]).alias("lon"), (lat + first["lat"]).alias("lat")))

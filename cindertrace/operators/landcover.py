@@ -58,6 +58,18 @@ def fractions(pixels: DataFrame) -> DataFrame:
     return shares.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "class"))).select("id", "class", "fraction", "rank")
 
 
+def pixel_summary(pixels: DataFrame, key: str) -> DataFrame:
+    """key, pixels, nodata, unrecognised, valid_fraction, status, fractions (map) for pixels(key, code) within a circle."""
+    named = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
+    counted = pixels.groupBy(key, "code").agg(F.count("*").alias("n")).withColumn("class", named[F.col("code")])
+    known = F.col("class").isNotNull()
+    entry = F.when(known, F.struct("class", F.col("n").cast("double").alias("n")))
+    out = counted.groupBy(key).agg(F.sum("n").alias("pixels"), F.coalesce(F.sum(F.when(F.col("code") == NODATA, F.col("n"))), F.lit(0)).alias("nodata"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("valid"), F.collect_list(entry).alias("e"))
+    shares = F.map_from_entries(F.transform("e", lambda x: F.struct(x["class"], x["n"] / F.col("valid"))))
+    ok = F.when(F.col("valid") / F.col("pixels") >= MIN_VALID, "OK").otherwise("INSUFFICIENT")
+    return out.select(key, "pixels", "nodata", (F.col("pixels") - F.col("nodata") - F.col("valid")).alias("unrecognised"), F.round(F.col("valid") / F.col("pixels"), 6).alias("valid_fraction"), ok.alias("status"), shares.alias("fractions"))
+
+
 def share(fractions: Column, *names: str) -> Column:
     """The summed share of some classes; null without land cover."""
     total = F.lit(0.0)

@@ -51,8 +51,8 @@ def nearest_k(left: DataFrame, right: DataFrame, radius_m: float, k: int, left_k
     return near(left, right, radius_m).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def areas_near(points: DataFrame, areas: DataFrame, radius_m: float, measure: Column, inside: Column) -> DataFrame:
-    """Points with areas(west, south, east, north, rings) within a radius of them.
+def areas_near(points: DataFrame, areas: DataFrame, radius_m: float, measure: Column, inside: Column, on: list[str] | None = None) -> DataFrame:
+    """Points with areas(west, south, east, north, rings) within a radius of them. on: further columns that must be equal.
 
     Areas are filed under all cells that their box, grown by the radius, touches; measure and
     inside are Columns over the joined row (points' lon and lat, areas' rings).
@@ -62,7 +62,7 @@ def areas_near(points: DataFrame, areas: DataFrame, radius_m: float, measure: Co
     ys = F.sequence(F.floor((F.col("south") - high) / high), F.floor((F.col("north") + high) / high))
     filed = areas.withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
     own = points.withColumns({"cell_x": F.floor(F.col("lon") / wide), "cell_y": F.floor(F.col("lat") / high)})
-    found = own.join(filed, ["cell_x", "cell_y"]).drop("cell_x", "cell_y")
+    found = own.join(filed, ["cell_x", "cell_y", *(on or [])]).drop("cell_x", "cell_y")
     return found.withColumns({"distance_m": measure, "inside": inside}).filter(F.col("distance_m") <= radius_m)
 
 

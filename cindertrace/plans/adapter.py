@@ -36,6 +36,49 @@ class Tables:
             (280 + e % 20).cast("double").alias("i5"),
         )
 
+    def archive(self) -> DataFrame:
+        """obs() with the columns that only features and assessments need."""
+        e = F.col("event_id")
+        more = self.read("events").select(
+            e.alias("obs_id"), F.when(e % 4 != 0, 0.3 + e % 9 * 0.05).alias("scan"), F.when(e % 4 != 0, 0.4 + e % 5 * 0.05).alias("track"), F.when(e % 6 != 0, e % 4).alias("nasa_type"),
+            F.when(e % 4 != 3, F.date_trunc("hour", F.col("ts").cast("timestamp")) + F.make_dt_interval(F.lit(0), (e % 5).cast("int") * 12)).alias("available_at"),
+        )
+        return self.obs().join(more, "obs_id")
+
+    def passes(self) -> DataFrame:
+        """Retrievals with the box that was asked for."""
+        k = F.col("o_orderkey")
+        start = F.date_add(F.lit("2023-08-01").cast("date"), (k * 7 % 185).cast("int"))
+        west = 69.4 + 0.15 * (k % 8)
+        return self.read("orders").select(
+            k.alias("run_id"), start.alias("start_date"), F.date_add(start, (k % 4).cast("int")).alias("end_date"),
+            F.when(F.col("o_orderstatus") == "F", "SUCCEEDED").when(F.col("o_orderstatus") == "O", "PARTIAL").otherwise("FAILED").alias("status"), F.when(k % 5 == 0, "LIVE").otherwise("HISTORICAL_REPLAY").alias("mode"),
+            F.when(k % 7 == 0, "SP").otherwise("NRT").alias("product"), (k % 6 == 0).cast("long").alias("rejected_rows"), F.date_add(start, (k % 30).cast("int")).cast("timestamp").alias("received_at"),
+            west.alias("west"), F.lit(21.9).alias("south"), (west + 0.45).alias("east"), F.lit(23.5).alias("north"),
+        )
+
+    def snapshots(self) -> DataFrame:
+        """States of the map, each over a box."""
+        k = F.col("n_nationkey").cast("long")
+        base = F.date_add(F.lit("2023-10-01").cast("date"), (k * 6).cast("int"))
+        west = 69.3 + 0.1 * (k % 7)
+        return self.read("nation").filter("n_nationkey % 5 != 4").select(k.alias("snapshot_id"), base.cast("timestamp").alias("base_at"), F.date_add(base, (3 + k % 3 * 30).cast("int")).cast("timestamp").alias("received_at"), west.alias("west"), F.lit(21.8).alias("south"), (west + 0.6).alias("east"), (22.3 + 0.2 * (k % 3)).alias("north"))
+
+    def areas(self) -> DataFrame:
+        """Facilities as squares, with what their tags say."""
+        k, x, y = F.col("fac_id"), F.col("lon"), F.col("lat")
+        h = 0.0005 * (1 + k % 4)
+        corners = ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
+        ring = F.array(*[F.struct((x + a * h).alias("lon"), (y + b * h).alias("lat")) for a, b in corners])
+        tags = F.when(k % 5 == 0, "man_made=flare").when(k % 5 == 1, "man_made=chimney").when(k % 5 == 2, "man_made=kiln").otherwise("industrial=yes")
+        return self.facilities().select(k, "facility_type", tags.alias("primary_tag"), ((F.col("facility_type") != "POWER") | (k % 2 == 1)).alias("thermal_candidate"), F.array(ring).alias("rings"), (x - h).alias("west"), (y - h).alias("south"), (x + h).alias("east"), (y + h).alias("north"))
+
+    def pixels(self) -> DataFrame:
+        """Land-cover codes around places (by supplier number)."""
+        k, p = F.col("l_suppkey"), F.col("l_partkey")
+        at = F.when((k % 4 == 0) & (p % 3 > 0), 4).when((k % 4 == 1) & (p % 3 > 0), 1).otherwise(p % 6 + 1)
+        return self.read("lineitem").select(k.alias("id"), F.element_at(F.array(*map(F.lit, (10, 20, 30, 40, 50, 7))), at.cast("int")).alias("code"))
+
     def runs(self) -> DataFrame:
         """Retrievals: a place and up to four days, some failed or with rejected rows."""
         k = F.col("o_orderkey")
@@ -93,6 +136,17 @@ CTE = {
   CASE WHEN event_type IN ('click','view') THEN 'D' ELSE 'N' END AS daynight,
   CASE WHEN event_id % 3 = 0 THEN 'SP' ELSE 'NRT' END AS product, CASE event_id % 3 WHEN 0 THEN 'l' WHEN 1 THEN 'n' ELSE 'h' END AS confidence,
   300 + value % 60 AS i4, CAST(280 + event_id % 20 AS DOUBLE) AS i5 FROM events)""",
+    "archive": """archive AS (SELECT o.*, CASE WHEN event_id % 4 <> 0 THEN 0.3::DOUBLE + event_id % 9 * 0.05::DOUBLE END AS scan, CASE WHEN event_id % 4 <> 0 THEN 0.4::DOUBLE + event_id % 5 * 0.05::DOUBLE END AS track,
+  CASE WHEN event_id % 6 <> 0 THEN event_id % 4 END AS nasa_type, CASE WHEN event_id % 4 <> 3 THEN date_trunc('hour', ts) + to_hours(event_id % 5 * 12) END AS available_at FROM obs o JOIN events e ON e.event_id = o.obs_id)""",
+    "passes": """passes AS (SELECT o_orderkey AS run_id, DATE '2023-08-01' + CAST(o_orderkey * 7 % 185 AS INTEGER) AS start_date, DATE '2023-08-01' + CAST(o_orderkey * 7 % 185 + o_orderkey % 4 AS INTEGER) AS end_date,
+  CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PARTIAL' ELSE 'FAILED' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'LIVE' ELSE 'HISTORICAL_REPLAY' END AS mode, CASE WHEN o_orderkey % 7 = 0 THEN 'SP' ELSE 'NRT' END AS product,
+  CAST(o_orderkey % 6 = 0 AS BIGINT) AS rejected_rows, CAST(DATE '2023-08-01' + CAST(o_orderkey * 7 % 185 + o_orderkey % 30 AS INTEGER) AS TIMESTAMP) AS received_at,
+  69.4::DOUBLE + 0.15::DOUBLE * (o_orderkey % 8) AS west, 21.9::DOUBLE AS south, 69.4::DOUBLE + 0.15::DOUBLE * (o_orderkey % 8) + 0.45::DOUBLE AS east, 23.5::DOUBLE AS north FROM orders)""",
+    "snapshots": """snapshots AS (SELECT CAST(n_nationkey AS BIGINT) AS snapshot_id, CAST(DATE '2023-10-01' + CAST(n_nationkey * 6 AS INTEGER) AS TIMESTAMP) AS base_at, CAST(DATE '2023-10-01' + CAST(n_nationkey * 6 + 3 + n_nationkey % 3 * 30 AS INTEGER) AS TIMESTAMP) AS received_at,
+  69.3::DOUBLE + 0.1::DOUBLE * (n_nationkey % 7) AS west, 21.8::DOUBLE AS south, 69.3::DOUBLE + 0.1::DOUBLE * (n_nationkey % 7) + 0.6::DOUBLE AS east, 22.3::DOUBLE + 0.2::DOUBLE * (n_nationkey % 3) AS north FROM nation WHERE n_nationkey % 5 <> 4)""",
+    "areas": """areas AS (SELECT fac_id, facility_type, CASE fac_id % 5 WHEN 0 THEN 'man_made=flare' WHEN 1 THEN 'man_made=chimney' WHEN 2 THEN 'man_made=kiln' ELSE 'industrial=yes' END AS primary_tag, facility_type <> 'POWER' OR fac_id % 2 = 1 AS thermal_candidate,
+  lon - h AS west, lat - h AS south, lon + h AS east, lat + h AS north FROM (SELECT *, 0.0005::DOUBLE * (1 + fac_id % 4) AS h FROM facilities))""",
+    "pixels": """pixels AS (SELECT l_suppkey AS id, ([10, 20, 30, 40, 50, 7])[CAST(CASE WHEN l_suppkey % 4 = 0 AND l_partkey % 3 > 0 THEN 4 WHEN l_suppkey % 4 = 1 AND l_partkey % 3 > 0 THEN 1 ELSE l_partkey % 6 + 1 END AS INTEGER)] AS code FROM lineitem)""",
     "runs": """runs AS (SELECT o_orderkey AS run_id, o_custkey % 60 AS place, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS start_date,
   DATE '2024-01-01' + CAST(o_orderkey % 30 + o_orderkey % 4 AS INTEGER) AS end_date,
   CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PARTIAL' ELSE 'FAILED' END AS status,
@@ -123,3 +177,15 @@ def distance_sql(a: str, b: str) -> str:
     north = f"(pi() / 180 * 6378137.0 * (1 - 0.00669437999014) / ({w} * {w} * {w}))"
     east = f"(pi() / 180 * 6378137.0 * cos(radians(({a}.lat + {b}.lat) / 2)) / {w})"
     return f"sqrt(pow(({a}.lat - {b}.lat) * {north}, 2) + pow(({a}.lon - {b}.lon) * {east}, 2))"
+
+
+def scale_sql(lat: str) -> tuple[str, str]:
+    """functions.geo.metres_per_degree."""
+    w = f"sqrt(1 - 0.00669437999014 * pow(sin(radians({lat})), 2))"
+    return f"(pi() / 180 * 6378137.0 * (1 - 0.00669437999014) / ({w} * {w} * {w}))", f"(pi() / 180 * 6378137.0 * cos(radians({lat})) / {w})"
+
+
+def covers_sql(box: str, point: str, radius: str) -> str:
+    """functions.geo.box_covers_circle."""
+    up, across = scale_sql(f"{point}.lat")
+    return f"({point}.lon - {radius} / {across} >= {box}.west AND {point}.lon + {radius} / {across} <= {box}.east AND {point}.lat - {radius} / {up} >= {box}.south AND {point}.lat + {radius} / {up} <= {box}.north)"
