@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -103,7 +103,7 @@ def bootstrap_interval(predictions: DataFrame, group: str, replicates: int = 100
     return drawn.agg(F.count("*").alias("replicates"), F.round(F.expr("percentile(accuracy, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(accuracy, 0.975)"), 9).alias("high"))
 
 
-def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, rounds: int = 20) -> DataFrame:
+def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, rounds: int = 300) -> DataFrame:
     """key, y, p by gradient-boosted trees with class weights, calibrated on the split VALIDATION.
 
     Missing inputs get a column that says so, and a value beyond all others.
@@ -118,7 +118,7 @@ def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, ro
     train = data.filter("split = 'TRAIN'")
     share = train.agg(F.avg("label")).first()[0] or 0.5
     train = train.withColumn("weight", F.when(F.col("label") == 1, (1 - share) / max(share, 1e-6)).otherwise(1.0))
-    model = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.1, seed=7, weightCol="weight").fit(train)
+    model = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=7, weightCol="weight").fit(train)
 
     def logit(df: DataFrame) -> DataFrame:
         raw = model.transform(df).withColumn("p0", F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-6)), F.lit(1 - 1e-6)))
@@ -126,3 +126,182 @@ def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, ro
 
     calibrated = LogisticRegression(featuresCol="x", labelCol="label", probabilityCol="cp", rawPredictionCol="cr", predictionCol="cy").fit(logit(data.filter("split = 'VALIDATION'")))
     return calibrated.transform(logit(data)).select(key, F.col("label").cast("int").alias("y"), vector_to_array("cp")[1].alias("p"), "split")
+
+
+# The inputs of a model, by where they come from, and what is stored beside them.
+EPISODE = ["obs_count", "overpass_count", "duration_h", "frp_max", "frp_overpass_median", "bt_i4_median", "bt_i5_median", "bt_diff_median", "night_fraction", "high_conf_fraction", "low_conf_fraction", "scan_median", "track_median"]
+HISTORY = ["active_days_30", "active_days_90", "overpasses_90", "days_since_last", "history_frp_median_90", "history_night_fraction_90"]
+HISTORY_STORED = ["active_days_180", "coverage_90", "coverage_180"]
+OSM = ["osm_covered", "n_industrial_in_support", "nearest_industrial_m", "n_industrial_2km", "has_power", "has_refinery", "has_mine", "has_petrochem_steel_lng", "has_flare_tag", "has_chimney_tag", "has_kiln_tag", "has_nonthermal_power"]
+LANDCOVER = ["lc_valid", "lc_built", "lc_crop", "lc_tree", "lc_shrub", "lc_grass", "lc_bare", "lc_water", "lc_wetland", "lc_built_1km", "lc_crop_1km", "lc_tree_1km"]
+FEATURES = EPISODE + HISTORY + OSM + LANDCOVER
+FEATURE_SETS = {"thermal_history": EPISODE + HISTORY, "full": FEATURES, "full_minus_history": EPISODE + OSM + LANDCOVER, "full_minus_osm": EPISODE + HISTORY + LANDCOVER, "full_minus_landcover": EPISODE + HISTORY + OSM}
+DISTANCE_CAP_M, DAYS_CAP = 5000.0, 90.0
+NOT_INDUSTRIAL = ("VEGETATION_FIRE", "AGRICULTURAL_BURN", "OTHER")
+LEAST_TRAIN, LEAST_VALIDATION, LEAST_TEST, LEAST_PROMOTE = 20, 5, 10, 30
+
+
+def episode_inputs(members: DataFrame, *keys: str) -> DataFrame:
+    """The EPISODE inputs of members(acquired_at, satellite, daynight, frp_mw, confidence, i4, i5, scan, track)."""
+
+    def part(condition: Column) -> Column:
+        return F.round(F.avg(F.coalesce(condition, F.lit(False)).cast("double")), 6)
+
+    own = members.groupBy(*keys).agg(
+        F.count("*").alias("obs_count"), F.count_distinct(F.struct("acquired_at", "satellite")).alias("overpass_count"), F.round((F.max("acquired_at").cast("double") - F.min("acquired_at").cast("double")) / 3600, 6).alias("duration_h"),
+        F.round(F.median("i4"), 6).alias("bt_i4_median"), F.round(F.median("i5"), 6).alias("bt_i5_median"), F.round(F.median(F.col("i4") - F.col("i5")), 6).alias("bt_diff_median"),
+        part(F.col("daynight") == "N").alias("night_fraction"), part(F.col("confidence") == "h").alias("high_conf_fraction"), part(F.col("confidence") == "l").alias("low_conf_fraction"),
+        F.round(F.median("scan"), 6).alias("scan_median"), F.round(F.median("track"), 6).alias("track_median"), F.mode("nasa_type", True).alias("nasa_type"),
+    )
+    passes = members.filter("frp_mw IS NOT NULL").groupBy(*keys, "acquired_at", "satellite").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
+    strength = passes.groupBy(*keys).agg(F.round(F.max("frp"), 6).alias("frp_max"), F.round(F.median("frp"), 6).alias("frp_overpass_median"))
+    return own.join(strength, list(keys), "left")
+
+
+def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataFrame:
+    """sid, the HISTORY inputs and what is stored beside them: strictly before each subject's started_at.
+
+    rows: sid, acquired_at, satellite, daynight, frp_mw. days: sid, day.
+    """
+    own = subjects.select("sid", "started_at")
+    before = rows.join(own, "sid").filter(F.col("acquired_at") < F.col("started_at"))
+
+    def within(d: int) -> Column:
+        return F.col("acquired_at") >= F.col("started_at") - F.make_dt_interval(F.lit(d))
+
+    seen = before.groupBy("sid").agg(
+        *[F.count_distinct(F.when(within(d), F.to_date("acquired_at"))).alias(f"active_days_{d}") for d in (30, 90, 180)], F.count_distinct(F.when(within(90), F.struct("acquired_at", "satellite"))).alias("overpasses_90"),
+        F.round(F.avg(F.when(within(90), (F.col("daynight") == "N").cast("double"))), 6).alias("history_night_fraction_90"),
+        F.round(F.least((F.max("started_at").cast("double") - F.max("acquired_at").cast("double")) / 86400, F.lit(DAYS_CAP)), 6).alias("days_since_last"),
+    )
+    passes = before.filter(within(90) & F.col("frp_mw").isNotNull()).groupBy("sid", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
+    strength = passes.groupBy("sid").agg(F.round(F.median("frp"), 6).alias("history_frp_median_90"))
+    start = F.to_date("started_at")
+    covered = own.join(days.select("sid", "day").distinct(), "sid").groupBy("sid").agg(*[F.round(F.count_if((F.col("day") < start) & (F.col("day") >= F.date_sub(start, d))) / d, 4).alias(f"coverage_{d}") for d in (90, 180)])
+    out = subjects.select("sid").join(seen, "sid", "left").join(strength, "sid", "left").join(covered, "sid", "left")
+    zero = ["active_days_30", "active_days_90", "active_days_180", "overpasses_90"]
+    return out.fillna(0, zero).fillna(0.0, ["coverage_90", "coverage_180"]).fillna(DAYS_CAP, ["days_since_last"])
+
+
+def osm_inputs(subjects: DataFrame, candidates: DataFrame, covered: DataFrame) -> DataFrame:
+    """sid and the OSM inputs: null, not zero, for subjects that are not in covered(sid).
+
+    candidates: sid, facility_type, primary_tag, thermal_candidate, relation, distance_m.
+    """
+    hot, inside = F.col("thermal_candidate"), F.col("relation") == "INSIDE_SUPPORT"
+    near = hot & inside
+
+    def has(condition: Column) -> Column:
+        return F.max((near & condition).cast("int"))
+
+    kind, tag = F.col("facility_type"), F.col("primary_tag")
+    found = candidates.groupBy("sid").agg(
+        F.count_if(near).alias("n_industrial_in_support"), F.min(F.when(hot, F.round("distance_m", 1))).alias("nearest_industrial_m"), F.count_if(hot).alias("n_industrial_2km"), has(kind == "POWER").alias("has_power"),
+        has(kind == "REFINERY").alias("has_refinery"), has(kind == "MINE").alias("has_mine"), has(kind.isin("PETROCHEMICAL", "STEEL", "LNG")).alias("has_petrochem_steel_lng"), has(tag == "man_made=flare").alias("has_flare_tag"),
+        has(tag == "man_made=chimney").alias("has_chimney_tag"), has(tag == "man_made=kiln").alias("has_kiln_tag"), F.max((~hot & inside).cast("int")).alias("has_nonthermal_power"),
+    )
+    out = subjects.select("sid").join(covered.select("sid", F.lit(1).alias("osm_covered")).distinct(), "sid", "left").join(found, "sid", "left")
+    known = F.col("osm_covered") == 1
+    filled = {c: F.when(known, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in OSM[1:] if c != "nearest_industrial_m"}
+    filled["nearest_industrial_m"] = F.when(known, F.least(F.coalesce("nearest_industrial_m", F.lit(DISTANCE_CAP_M)), F.lit(DISTANCE_CAP_M)))
+    return out.withColumns(filled).fillna(0, ["osm_covered"])
+
+
+def landcover_inputs(support: Column, valid: Column, context: Column) -> dict[str, Column]:
+    """The LANDCOVER inputs from two maps of class shares, all null where there are none."""
+    from cindertrace.operators.landcover import share
+
+    of = {"built": ("built",), "crop": ("crop",), "tree": ("tree",), "shrub": ("shrub",), "grass": ("grass",), "bare": ("bare",), "water": ("water",), "wetland": ("wetland", "mangrove")}
+    out = {"lc_valid": F.when(support.isNotNull(), valid)} | {f"lc_{k}": F.round(share(support, *names), 6) for k, names in of.items()}
+    return out | {f"lc_{k}_1km": F.round(share(context, *of[k]), 6) for k in ("built", "crop", "tree")}
+
+
+def frozen(stored: DataFrame, computed: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """key, sha256, outcome (NEW, UNCHANGED, DIFFERENT) of computed rows against stored(key, sha256) of the same version.
+
+    strict: refuses any difference, since a version never changes its meaning.
+    """
+    columns = sorted(c for c in computed.columns if c != key)
+    sha = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    both = computed.select(key, sha.alias("sha256")).join(stored.select(key, F.col("sha256").alias("old")), key, "left")
+    out = both.select(key, "sha256", F.when(F.col("old").isNull(), "NEW").when(F.col("old") == F.col("sha256"), "UNCHANGED").otherwise("DIFFERENT").alias("outcome"))
+    if strict and not out.filter("outcome = 'DIFFERENT'").isEmpty():
+        raise ValueError("FEATURES_DIFFER_FROM_STORED_VERSION")
+    return out
+
+
+def binary_target(label: Column) -> Column:
+    return F.when(label == "INDUSTRIAL", 1).when(label.isin(*NOT_INDUSTRIAL), 0)
+
+
+def rule_baseline(rows: DataFrame) -> DataFrame:
+    """confusion() of the rules' own labels where they have one, and the share that they cover: rows(y, weak)."""
+    covered = rows.filter("weak IS NOT NULL").select("y", (F.col("weak") == "INDUSTRIAL").cast("int").alias("pred"))
+    share = rows.agg(F.round(F.avg(F.col("weak").isNotNull().cast("double")), 4).alias("coverage"))
+    return confusion(covered).crossJoin(F.broadcast(share))  # one row by one row
+
+
+def support(rows: DataFrame) -> DataFrame:
+    """split, positive, negative for rows(split, target)."""
+    return rows.groupBy("split").agg(F.count_if(F.col("target") == 1).alias("positive"), F.count_if(F.col("target") == 0).alias("negative"))
+
+
+def gate(rows: DataFrame, weak: bool = False, gain_low: float | None = None) -> DataFrame:
+    """One row: least (cases of the rarer class by split) and status, for rows(split, target) that are usable.
+
+    gain_low: the lower end of the interval of the gain over the best baseline, once it is known.
+    """
+
+    def least(split: str) -> Column:
+        own = F.col("split") == split
+        return F.least(F.count_if(own & (F.col("target") == 1)), F.count_if(own & (F.col("target") == 0)))
+
+    counts = rows.agg(least("TRAIN").alias("train"), least("VALIDATION").alias("validation"), least("TEST").alias("test"))
+    enough = (F.col("train") >= LEAST_TRAIN) & (F.col("validation") >= LEAST_VALIDATION) & (F.col("test") >= LEAST_TEST)
+    promoted = (F.col("test") >= LEAST_PROMOTE) & F.lit(gain_low is not None and gain_low > 0)
+    status = F.lit("DRY_RUN_NOT_EVIDENCE") if weak else F.when(~enough, "INSUFFICIENT_LABELS").when(promoted, "PROMOTED").otherwise("EVALUATED_NOT_PROMOTED")
+    return counts.withColumn("status", status)
+
+
+def held_out_regions(rows: DataFrame) -> DataFrame:
+    """region_id, test_cases, status: can a model of all other regions' TRAIN rows be judged on this one's TEST rows?"""
+    train, test = F.col("split") == "TRAIN", F.col("split") == "TEST"
+    by = rows.groupBy("region_id").agg(F.count_if(train & (F.col("target") == 1)).alias("p"), F.count_if(train & (F.col("target") == 0)).alias("n"), F.count_if(test).alias("test_cases"))
+    every = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    out = by.crossJoin(F.broadcast(every)).filter("test_cases > 0")  # one row
+    least = F.least(F.col("all_p") - F.col("p"), F.col("all_n") - F.col("n"))
+    return out.select("region_id", "test_cases", F.when(least < LEAST_TRAIN, "INSUFFICIENT_TRAINING_LABELS").otherwise("SCORED").alias("status"))
+
+
+def known_site_future(rows: DataFrame) -> DataFrame:
+    """One row: train_cases before the cutoff, test_cases after it at groups seen before, and status: rows(forward_period, split_group, target, fit_for_test)."""
+    before = rows.filter("forward_period = 'BEFORE' AND target IS NOT NULL")
+    after = rows.filter("forward_period = 'AFTER' AND target IS NOT NULL AND fit_for_test").join(before.select("split_group").distinct(), "split_group", "left_semi")
+    a = before.agg(F.count("*").alias("train_cases"), F.least(F.count_if(F.col("target") == 1), F.count_if(F.col("target") == 0)).alias("a"))
+    b = after.agg(F.count("*").alias("test_cases"), F.least(F.count_if(F.col("target") == 1), F.count_if(F.col("target") == 0)).alias("b"))
+    out = a.crossJoin(F.broadcast(b))  # one row by one row
+    return out.select("train_cases", "test_cases", F.when((F.col("a") < LEAST_TRAIN) | (F.col("b") < LEAST_TEST), "INSUFFICIENT_LABELS").otherwise("EVALUATED").alias("status"))
+
+
+def average_precision(predictions: DataFrame) -> DataFrame:
+    """The area under precision against recall for predictions(y, p), over scores of four decimals (10001 rows at most)."""
+    steps = predictions.groupBy(F.round("p", 4).alias("p")).agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    above = Window.orderBy(F.desc("p"))
+    run = steps.withColumns({"at": F.sum("n").over(above), "found": F.sum("hits").over(above)})
+    return run.agg(F.round(F.sum(F.col("hits") * F.col("found") / F.col("at")) / F.sum("hits"), 6).alias("pr_auc"))
+
+
+def error_rates(predictions: DataFrame, key: str) -> DataFrame:
+    """key, cases, errors, rate of predictions(y, pred)."""
+    wrong = (F.col("y") != F.col("pred")).cast("long")
+    return predictions.groupBy(key).agg(F.count("*").alias("cases"), F.sum(wrong).alias("errors"), F.round(F.avg(wrong), 6).alias("rate"))
+
+
+def worst_errors(predictions: DataFrame, most: int = 15) -> DataFrame:
+    """The errors of predictions(id, y, p, pred) that were made with most confidence, ties by id."""
+    return predictions.filter("y != pred").orderBy(F.desc(F.round(F.abs(F.col("p") - 0.5), 9)), "id").limit(most)
+
+
+def positive_rate(rows: DataFrame, kind: str) -> DataFrame:
+    """kind, cases, rate of target among rows with that kind (nulls are left out)."""
+    return rows.filter(F.col(kind).isNotNull() & F.col("target").isNotNull()).groupBy(kind).agg(F.count("*").alias("cases"), F.round(F.avg("target"), 4).alias("rate"))

@@ -77,7 +77,7 @@ class Tables:
         """Land-cover codes around places (by supplier number)."""
         k, p = F.col("l_suppkey"), F.col("l_partkey")
         at = F.when((k % 4 == 0) & (p % 3 > 0), 4).when((k % 4 == 1) & (p % 3 > 0), 1).otherwise(p % 6 + 1)
-        return self.read("lineitem").select(k.alias("id"), F.element_at(F.array(*map(F.lit, (10, 20, 30, 40, 50, 7))), at.cast("int")).alias("code"))
+        return self.read("lineitem").select(k.alias("id"), F.element_at(F.array(*map(F.lit, (10, 20, 30, 40, 50, 7))), at.cast("int")).alias("code"), (p % 5 < 4).alias("close"))
 
     def runs(self) -> DataFrame:
         """Retrievals: a place and up to four days, some failed or with rejected rows."""
@@ -146,7 +146,7 @@ CTE = {
   69.3::DOUBLE + 0.1::DOUBLE * (n_nationkey % 7) AS west, 21.8::DOUBLE AS south, 69.3::DOUBLE + 0.1::DOUBLE * (n_nationkey % 7) + 0.6::DOUBLE AS east, 22.3::DOUBLE + 0.2::DOUBLE * (n_nationkey % 3) AS north FROM nation WHERE n_nationkey % 5 <> 4)""",
     "areas": """areas AS (SELECT fac_id, facility_type, CASE fac_id % 5 WHEN 0 THEN 'man_made=flare' WHEN 1 THEN 'man_made=chimney' WHEN 2 THEN 'man_made=kiln' ELSE 'industrial=yes' END AS primary_tag, facility_type <> 'POWER' OR fac_id % 2 = 1 AS thermal_candidate,
   lon - h AS west, lat - h AS south, lon + h AS east, lat + h AS north FROM (SELECT *, 0.0005::DOUBLE * (1 + fac_id % 4) AS h FROM facilities))""",
-    "pixels": """pixels AS (SELECT l_suppkey AS id, ([10, 20, 30, 40, 50, 7])[CAST(CASE WHEN l_suppkey % 4 = 0 AND l_partkey % 3 > 0 THEN 4 WHEN l_suppkey % 4 = 1 AND l_partkey % 3 > 0 THEN 1 ELSE l_partkey % 6 + 1 END AS INTEGER)] AS code FROM lineitem)""",
+    "pixels": """pixels AS (SELECT l_suppkey AS id, ([10, 20, 30, 40, 50, 7])[CAST(CASE WHEN l_suppkey % 4 = 0 AND l_partkey % 3 > 0 THEN 4 WHEN l_suppkey % 4 = 1 AND l_partkey % 3 > 0 THEN 1 ELSE l_partkey % 6 + 1 END AS INTEGER)] AS code, l_partkey % 5 < 4 AS close FROM lineitem)""",
     "runs": """runs AS (SELECT o_orderkey AS run_id, o_custkey % 60 AS place, DATE '2024-01-01' + CAST(o_orderkey % 30 AS INTEGER) AS start_date,
   DATE '2024-01-01' + CAST(o_orderkey % 30 + o_orderkey % 4 AS INTEGER) AS end_date,
   CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'PARTIAL' ELSE 'FAILED' END AS status,
