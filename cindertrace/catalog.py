@@ -612,4 +612,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-from cindertrace.plans import assessing, casework  # noqa: E402, F401  (they register their queries)
+from cindertrace.plans import assessing, casework, intake  # noqa: E402, F401  (they register their queries)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,10 +145,10 @@ def circle_overlap(lon: Column, lat: Column, radius_m: Column, rings: Column) ->
 
 def convex_hull(points: Column) -> Column:
     """The hull of an array of (lon, lat) as an array, counter-clockwise from the least point: one point, two, or a ring (not closed)."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("array<struct<lon:double,lat:double>>")
-    def hull(rows: pd.Series) -> pd.Series:
+    @arrow_udf("array<struct<lon:double,lat:double>>")
+    def hull(rows: pa.Array) -> pa.Array:
         def one(own) -> list | None:
             if own is None:
                 return None
@@ -161,7 +161,8 @@ def convex_hull(points: Column) -> Column:
                     side.append(p)
             return [{"lon": x, "lat": y} for x, y in (ordered if len(ordered) < 2 else sides[0][:-1] + sides[1][:-1])]
 
-        return rows.map(one)
+        kind = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+        return pa.array([one(x) for x in rows.to_pylist()], kind)
 
     return hull(points)
 

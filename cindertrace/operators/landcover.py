@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.functions.geo import metres_per_degree, tile_id
 from cindertrace.shipping import ship
 
 # The classes of the land-cover map, and the share of known pixels that a summary needs.
@@ -76,3 +77,46 @@ def share(fractions: Column, *names: str) -> Column:
     for n in names:
         total = total + F.coalesce(F.try_element_at(fractions, F.lit(n)), F.lit(0.0))
     return F.when(fractions.isNotNull(), total)
+
+
+MOST_RADIUS_M, MOST_LAT = 5000.0, 85.0
+
+
+def plan(points: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
+    """points(id, lon, lat, radius_m) with tile, clipped and step: FAILED (with reason), DONE (summarised before) or READ.
+
+    clipped: the window around the circle (a twentieth wider) passes the edge of its tile.
+    """
+    up, across = metres_per_degree(F.col("lat"))
+    dy, dx = 1.05 * F.col("radius_m") / up, 1.05 * F.col("radius_m") / across
+    west, south = F.floor(F.col("lon") / 3) * 3, F.floor(F.col("lat") / 3) * 3
+    clipped = (F.col("lon") - dx < west) | (F.col("lon") + dx > west + 3) | (F.col("lat") - dy < south) | (F.col("lat") + dy > south + 3)
+    reason = F.when(~((F.col("radius_m") > 0) & (F.col("radius_m") <= MOST_RADIUS_M)), "RADIUS").when(F.abs("lat") >= MOST_LAT, "LATITUDE")
+    old = done.select("id", F.lit(True).alias("_old")).distinct()
+    out = points.join(old, "id", "left").withColumns({"tile": tile_id(F.col("lon"), F.col("lat")), "clipped": clipped, "reason": reason})
+    step = F.when(F.col("reason").isNotNull(), "FAILED").when(F.lit(not force) & F.coalesce("_old", F.lit(False)), "DONE").otherwise("READ")
+    return out.withColumn("step", step).drop("_old")
+
+
+def extract(points: DataFrame, chips: DataFrame, done: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Summaries of the points that plan() reads, and failures (id, reason); chips(id, chip, rows, cols, origin_lon, ...).
+
+    Points are dealt by tile, so what is cut from one tile is worked on together; a point without a chip fails by itself.
+    """
+    todo = plan(points, done, force)
+    read = todo.filter("step = 'READ'").repartition("tile").join(chips, "id", "left")
+    failed = todo.filter("step = 'FAILED'").select("id", "reason").unionByName(read.filter("chip IS NULL").select("id", F.lit("NO_WINDOW").alias("reason")))
+    own = read.filter("chip IS NOT NULL")
+    return summarise(own.select("id", "lon", "lat", "radius_m", "chip", "rows", "cols", "origin_lon", "origin_lat", "px", "py")), failed
+
+
+def window_digest(rows: Column, cols: Column, transform: Column, chip: Column) -> Column:
+    """SHA-256 of a window: its shape, its place and its bytes."""
+    return F.sha2(F.concat(F.encode(F.concat_ws("|", rows.cast("string"), cols.cast("string"), transform), "UTF-8"), chip), 256)
+
+
+def not_restored(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """id of stored(id, valid, fractions JSON) summaries that a second reading does not give again."""
+    other = again.select("id", F.col("valid").alias("v"), F.col("fractions").alias("f"))
+    both = stored.join(other, "id", "left")
+    return both.filter(~(F.col("valid").eqNullSafe(F.col("v")) & F.col("fractions").eqNullSafe(F.col("f")))).select("id")
