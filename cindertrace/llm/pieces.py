@@ -1,9 +1,17 @@
-"""SentencePiece encoding and decoding through distinct-chunk tables.
+"""SentencePiece encoding and decoding through a distinct-chunk table.
 
 Where no piece crosses from a letter to a following whitespace marker, the text falls into marked
-words that are segmented independently. Each task keeps a table of the distinct marked words it has
-met, segments a word only when it is new, and joins the ids back by position. The table stays on
-the worker: shuffling one row for each word of the corpus would move several times its size.
+words that are segmented independently. So
+
+1. each task tells which distinct marked words its part of the corpus has;
+2. the distinct words of the whole corpus are segmented, each once;
+3. each part's words are joined with their ids and saved by part, in the shared folder;
+4. the tasks read their texts again, with the ids of their own words at hand, and put the ids where the
+   words stand.
+
+A text is never shuffled; what is shuffled is a row for each distinct word of a part. Should a part hold
+other rows when it is read again, words that it lacks are segmented on the spot, with the same ids.
+Words of more than LONGEST_KEPT characters are segmented where they stand.
 
 load() looks at the model's pieces and refuses the table where it would be wrong (then whole texts
 are encoded). Defined results: a null text is an empty one; an empty text has only the begin and
@@ -13,17 +21,20 @@ end ids; repeated rows and further columns pass through. A null doc_id stays nul
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cindertrace.llm.common import record_batch, sha256_hex, table, texts
+from cindertrace.llm.common import cut, record_batch, sha256_hex, shared_folder, table, texts
+from cindertrace.llm.token_store import at, qualified
 
-#: Distinct words that a worker keeps; beyond that it starts a new table, with the same results.
+#: Distinct words that a task keeps; beyond that it starts a new table, with the same results.
 TABLE_WORDS = 1_200_000
 #: Longer chunks are segmented each time, so that the table's memory has a bound.
 LONGEST_KEPT = 200
@@ -48,7 +59,11 @@ class ChunkTable:
         self.mark = np.array([self.model.piece_to_id(MARK)], "<u4").tobytes()
         self.ends = (np.array([self.model.bos_id()], "<u4").tobytes(), np.array([self.model.eos_id()], "<u4").tobytes())
         self.by_line = not any("\n" in p for p in plain)
-        self.kept: dict[str, bytes] = {"": self.mark}
+        self.begin({})
+
+    def begin(self, kept: dict[str, bytes]) -> None:
+        """Starts a part of the corpus with the ids of its words."""
+        self.kept: dict[str, bytes] = {"": self.mark} | kept
 
     def chunks(self, text: str) -> list[str]:
         """The text's marked words, each without its first marker, which the model puts back.
@@ -75,7 +90,7 @@ class ChunkTable:
         if not self.by_chunk:
             return [begin + np.array(ids, "<u4").tobytes() + end for ids in self.model.encode(batch, num_threads=1)]
         if len(self.kept) > TABLE_WORDS:
-            self.kept = {"": self.mark}
+            self.begin({})
         split = [self.chunks(t) for t in batch]
         new = list(set().union(*split).difference(self.kept))
         ids = self.segment(new)
@@ -95,13 +110,54 @@ def load(model_path: str) -> ChunkTable:
     return ChunkTable(model_path)
 
 
+def chunk_table(documents: DataFrame, model_path: str) -> str | None:
+    """Where the ids of the distinct words of each part of documents lie; None if the model has no independent words."""
+    if not load(model_path).by_chunk:
+        return None
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part = load(model_path).chunks, TaskContext.get().partitionId()
+        seen: set[str] = set()
+        for b in batches:
+            own = set().union(*map(split, b.column("text").to_pylist())) - seen
+            if len(seen) > TABLE_WORDS:
+                seen = set()
+            seen |= own
+            new = [w for w in own if 0 < len(w) <= LONGEST_KEPT]
+            yield record_batch(pa.schema([("part", pa.int32()), ("word", pa.string())]), [part] * len(new), new)
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load(model_path)
+        for b in batches:
+            yield record_batch(pa.schema([("word", pa.string()), ("ids", pa.binary())]), b.column("word"), table.segment(b.column("word").to_pylist()))
+
+    # written once: read for the distinct words and for the join
+    asked = cut(texts(documents).select("text").mapInArrow(words, "part int, word string"))
+    table = cut(asked.select("word").distinct().mapInArrow(segment, "word string, ids binary"))
+    folder = qualified(documents.sparkSession, f"{shared_folder(documents.sparkSession).rstrip('/')}/words-{uuid.uuid4().hex}")
+    asked.join(table, "word").select("part", "word", "ids").repartition("part").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def words_of_part(folder: str) -> dict[str, bytes]:
+    store, place = at(f"{folder}/part={TaskContext.get().partitionId()}")
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return {}
+    held = dataset.dataset(place, filesystem=store, format="parquet").to_table(columns=["word", "ids"])
+    return dict(zip(held.column("word").to_pylist(), held.column("ids").to_pylist(), strict=True))
+
+
 def encode(documents: DataFrame, model_path: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens, and ids (binary) and decoded text, or with digests their SHA-256."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())] + [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] * digests + [("ids", pa.binary()), ("decoded", pa.string())] * (not digests))
+    folder = chunk_table(documents, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(model_path)
+        table, begun = load(model_path), False
         for b in batches:
+            if not begun and folder:
+                table.begin(words_of_part(folder))
+            begun = True
             ids = table.encode(b.column("text").to_pylist())
             decoded = [table.decode(i) for i in ids]
             last = ([sha256_hex(i) for i in ids], [sha256_hex(d.encode()) for d in decoded]) if digests else (ids, decoded)
@@ -119,9 +175,3 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), public_model(), digests=True)
-
-
-def stage(spark: SparkSession, docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """documents with their ids (array) and what the ids decode to."""
-    coded = encode(docs, model_path or public_model())
-    return coded.select("doc_id", "n_tokens", "ids", "decoded", F.sha2("ids", 256).alias("ids_sha256"))

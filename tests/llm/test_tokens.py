@@ -32,6 +32,21 @@ def test_pieces(spark):
     assert pieces.encode(docs.limit(0), path).count() == 0
 
 
+def test_distinct_words_are_segmented_once(spark):
+    """The table has each distinct word of the corpus; parts that read other rows still get right ids."""
+    path = pieces.public_model()
+    rows = [(k, f"one two{k % 3} \n three {'x' * 300} ▁four") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = pieces.chunk_table(docs, path)
+    held = spark.read.parquet(folder)
+    want = {w for _, t in rows for w in pieces.load(path).chunks(t) if 0 < len(w) <= pieces.LONGEST_KEPT}
+    assert {r["word"] for r in held.select("word").collect()} == want and held.count() == held.select("part", "word").distinct().count()
+    assert all(r["ids"] == pieces.load(path).segment([r["word"]])[0] for r in held.collect())
+    m = pieces.load(path).model
+    for r in pieces.encode(docs, path).collect():
+        assert np.frombuffer(r["ids"], "<u4").tolist() == m.encode(rows[r["doc_id"]][1], add_bos=True, add_eos=True)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(ALPHABET), max_size=40))
 def test_chunks_equal_the_library(text):
