@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, record_batch, table, texts
+from cindertrace.llm.common import cut, packed, record_batch, table, texts
 from cindertrace.llm.words import LOWER, Words, groups, mix, signed
 
 BITS = 64
@@ -296,7 +296,7 @@ def sketches(documents: DataFrame) -> DataFrame:
                     bands[d] = x
             yield record_batch(schema, b.column("doc_id"), copy, signed(fp), bands, size)
 
-    return texts(documents).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, size long")
+    return texts(documents).mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, size long")
 
 
 def candidates(one: DataFrame) -> DataFrame:
@@ -371,7 +371,13 @@ def _block_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def crowd_links(documents: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame | None:
+def bodies(documents: DataFrame, copies: DataFrame) -> DataFrame:
+    """node, text of copies(node, copy): the text that each one stands for, once."""
+    own = texts(documents).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text")
+    return own.join(copies.select("node", "copy"), "copy").dropDuplicates(["node"]).select("node", "text")
+
+
+def crowd_links(documents: DataFrame, copies: DataFrame, one: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Links (a, b) between roots(node, root) by similar texts that share a crowded band of one(doc_id, bands, size).
 
     Texts of one root need no comparison. In each band the root with most texts is the bulk, and all
@@ -402,11 +408,12 @@ def crowd_links(documents: DataFrame, one: DataFrame, roots: DataFrame) -> DataF
     with_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda k: task(F.least(i, k), F.greatest(i, k), F.when(k == i, 2).when(i < k, 0).otherwise(1)))
     of_bulk = F.transform(F.sequence(F.lit(0).cast("long"), F.col("q") - 1), lambda k: task(k, -1 - j, F.lit(1)))
     dealt = wide.join(bulk, ["band", "v"]).select("doc_id", "root", "band", "v", F.explode(F.when(inside, of_bulk).otherwise(F.concat(with_bulk, with_rest))).alias("t")).select("doc_id", "root", "band", "v", "t.*")
-    told = dealt.join(texts(documents).dropDuplicates(["doc_id"]), "doc_id")
+    own = bodies(documents, copies.join(wide.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi"))
+    told = dealt.join(own.withColumnRenamed("node", "doc_id"), "doc_id")
     return told.groupBy("band", "v", "x", "y").applyInArrow(_block_links, "a long, b long")
 
 
-def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(documents: DataFrame, copies: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar enough, by the texts themselves."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -420,34 +427,58 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], schema=schema)
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = cut(texts(documents).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    told = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = cut(bodies(documents, copies.join(ids, "node", "left_semi")))
+    told = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return told.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(documents: DataFrame) -> DataFrame:
-    """doc_id, component_id: documents linked by equal texts or by SIMILARITY of their shingles or more.
+def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, copy of every row, and copy, root: distinct texts by class, told by equal texts or SIMILARITY of their shingles or more.
 
     Fingerprints alone cannot find these: at a similarity of 0.8, 64-bit fingerprints of five-word
     shingles differ in 3 to 14 bits, and no split of 64 bits searches within 14 at bearable cost.
-    So bands of minima give further candidates, and the texts decide on all.
+    So bands of minima give further candidates, and the texts decide on all. Texts, not doc_ids, are
+    compared: each distinct one has a number, in the order of the least doc_id that it stands under.
     """
     all_ = cut(sketches(documents))
-    copies = cut(all_.groupBy("copy").agg(F.min(F.struct("doc_id", "fp", "bands", "size")).alias("m")).select("copy", "m.*"))
-    one = copies.filter(F.size("bands") > 0).select("doc_id", "fp", "bands", "size")
-    edges = cut(verified(documents, cut(candidates(one))))
+    copies = all_.groupBy("copy").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "bands", "size")).alias("m")).select("copy", "least", "m.*")
+    # numbered once and written, so that the numbers hold however often it is read
+    copies = cut(cut(copies.repartitionByRange(F.col("least").asc_nulls_last(), "copy").sortWithinPartitions(F.col("least").asc_nulls_last(), "copy")).withColumn("node", F.monotonically_increasing_id()))
+    one = copies.filter(F.size("bands") > 0).select(F.col("node").alias("doc_id"), "fp", "bands", "size")
+    edges = cut(verified(documents, copies, cut(candidates(one))))
     roots = cut(components(edges))
-    more = crowd_links(documents, one, roots)
+    more = crowd_links(documents, copies, one, roots)
     if more is not None:
         more = cut(more)
         if not more.isEmpty():
             roots = components(edges.unionByName(more))
-    of = copies.select("copy", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return all_.select("copy", "doc_id").join(of.select("copy", F.coalesce("root", "doc_id").alias("component_id")), "copy").select("doc_id", "component_id")
+    of = copies.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("root"))
+    return all_.select("doc_id", "copy"), of
+
+
+def near_copies(documents: DataFrame) -> DataFrame:
+    """doc_id, component_id of every row: the least doc_id (null if it has none) of all rows whose texts are of its class."""
+    rows, of = classes(documents)
+    rows = cut(rows.join(of, "copy"))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """documents without all but the first (by doc_id) of each group of near copies."""
-    gone = near_copies(documents).filter("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """documents without all but one row of each class of near copies: that of the least doc_id (nulls last).
+
+    Of texts with that doc_id the one with the least digest stays; of rows equal in doc_id and text one stays.
+    """
+    rows, of = classes(documents)
+    ids = cut(rows.groupBy("doc_id", "copy").agg(F.count("*").alias("n")).join(of, "copy"))
+    best = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("b"))
+    kept = cut(best.join(ids.select("root", "doc_id", "copy", "n").withColumnsRenamed({"doc_id": "d", "copy": "c"}), "root").filter(F.col("d").eqNullSafe(F.col("b.doc_id")) & (F.col("c") == F.col("b.copy"))).select(F.col("d").alias("doc_id"), F.col("c").alias("copy"), "n"))
+    gone = ids.join(kept, ids["doc_id"].eqNullSafe(kept["doc_id"]) & (ids["copy"] == kept["copy"]), "left_anti").select("doc_id", "copy")
+    docs = packed(documents).withColumn("copy", F.unhex(F.md5(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (docs["copy"] == gone["copy"]), "left_anti")
+    twice = kept.filter("n > 1").select("doc_id", "copy")
+    if twice.isEmpty():
+        return left.select("row.*")
+    same = left["doc_id"].eqNullSafe(twice["doc_id"]) & (left["copy"] == twice["copy"])
+    once = left.join(twice, same, "left_semi").groupBy("doc_id", "copy").agg(F.first("row").alias("row"))
+    return left.join(twice, same, "left_anti").select("row.*").unionByName(once.select("row.*"))

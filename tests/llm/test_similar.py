@@ -94,6 +94,19 @@ def test_near_copies(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_stays_where_doc_ids_are_null_or_repeat(spark):
+    base, other = text(120), text(90)
+    near = edited(base, 1)
+    rows = [(None, base), (None, base), (7, near), (7, other), (7, other), (9, base), (None, other), (None, "alone"), (None, "alone"), (8, None), (8, None), (12, ""), (3, text(60))]
+    df = spark.createDataFrame([(d, t, k, "x") for k, (d, t) in enumerate(rows)], "doc_id long, text string, copy int, root string").repartition(3)
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in out.collect())
+    assert kept == sorted([(7, near), (7, other), (-1, "alone"), (8, ""), (3, rows[12][1])])
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(df).collect()}
+    assert found == {(None, 7), (7, 7), (9, 7), (None, None), (8, 8), (12, 8), (3, 3)}
+
+
 @pytest.mark.parametrize("block", [256, 7])
 def test_near_copies_in_crowds(spark, monkeypatch, block):
     """Families without their base text, most pairs below the limit and some above."""
