@@ -11,8 +11,9 @@ One labeller knows harsh words. They are mined, language by language, from a bou
 labelled toxic or not: words and word beginnings that toxic texts use many times as often. It
 rejects a text that has more of them than chance in clean texts of its language explains.
 
-Bounds: LABELLED rows of either label are mined, SAMPLE documents fit the scorer, both chosen by the
-hash of doc_id; vote counts, and the decisions, cover every document.
+Bounds: LABELLED rows of either label are mined, SAMPLE distinct documents fit the scorer, both chosen by
+the hash of doc_id; at most HARSH words are kept as harsh, the most used ones. Vote counts, and the
+decisions, cover every document.
 
 Defined results: a text without words (null, empty, white space) is rejected; a null language is a
 language of its own; without labels no harsh words are known; ties and repeated rows get equal
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindertrace.llm.common import cut, prepare, record_batch, table
+from cindertrace.llm.common import cut, prepare, record_batch, row_key, table
 from cindertrace.llm.words import LETTER_BYTES, LOWER, U, Words, groups, mix, signed
 
 LABELLED, SAMPLE = 4000, 6000
@@ -229,13 +230,12 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return 1 - of[0], rates
 
 
-def fit_scorer(features: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_scorer(features: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression over word buckets (their shares of a text) and dense findings, by Adam."""
     index = np.concatenate([f[0] for f in features]).astype(np.int64)
-    size = np.array([len(f[0]) for f in features])
-    row = np.repeat(np.arange(len(size)), size)
-    value = 1.0 / np.maximum(size, 1)[row]
-    dense, y = np.stack([f[1] for f in features]), np.array([f[2] for f in features])
+    row = np.repeat(np.arange(len(features)), [len(f[0]) for f in features])
+    value = np.concatenate([f[1] / max(f[1].sum(), 1) for f in features])
+    dense, y = np.stack([f[2] for f in features]), np.array([f[3] for f in features])
     a, b = np.zeros(TABLE), np.zeros(dense.shape[1])
     m, v = np.zeros(TABLE + len(b)), np.zeros(TABLE + len(b))
     for t in range(1, rounds + 1):
@@ -271,16 +271,19 @@ def fit(documents: DataFrame, labels: DataFrame) -> Callable[[pa.RecordBatch], n
             for _, bare, x, _ in _looked(b, *known.value):
                 v = votes(x)
                 bucket = (bare.hashes % U(TABLE)).astype(np.int32)
-                rows = [bucket[bare.first[k] : bare.first[k + 1]] for k in range(len(x))]
-                yield pa.RecordBatch.from_pydict({"pattern": pattern(v).astype(np.int64), "words": pa.array(rows, pa.list_(pa.int32())), "dense": pa.array(list(dense_findings(x, v)), pa.list_(pa.float64()))})
+                rows = [np.unique(bucket[bare.first[k] : bare.first[k + 1]], return_counts=True) for k in range(len(x))]  # at most TABLE numbers for a text
+                yield pa.RecordBatch.from_pydict({"pattern": pattern(v).astype(np.int64), "words": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "times": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "dense": pa.array(list(dense_findings(x, v)), pa.list_(pa.float64()))})
 
     tally = docs.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3^7 rows at most
     patterns, counts = (np.array([r[c] for r in tally], np.int64) for c in ("pattern", "n"))
     bad, _ = estimate(patterns, counts.astype(np.float64)) if len(patterns) else (np.zeros(0), None)
     posterior = dict(zip(patterns.tolist(), bad.tolist(), strict=True))
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    picked = docs.join(F.broadcast(ids), "doc_id").mapInArrow(sample, "pattern long, words array<int>, dense array<double>").limit(2 * SAMPLE).toArrow()
-    rows = [(w.values.to_numpy(zero_copy_only=False), np.array(d), posterior[p]) for w, d, p in zip(picked.column("words"), picked.column("dense").to_pylist(), picked.column("pattern").to_pylist(), strict=True)]
+    keyed = docs.filter("doc_id IS NOT NULL").withColumn("key", row_key("doc_id", "text", "lang"))
+    ids = keyed.select("doc_id", "key").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(SAMPLE)
+    some = keyed.join(F.broadcast(ids), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    picked = some.select("text", "lang").mapInArrow(sample, "pattern long, words array<int>, times array<long>, dense array<double>").toArrow()
+    lists = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in picked.column(c)]
+    rows = [(w, n, np.array(d), posterior[p]) for w, n, d, p in zip(lists("words"), lists("times"), picked.column("dense").to_pylist(), picked.column("pattern").to_pylist(), strict=True)]
     model = fit_scorer(rows) if rows else (np.zeros(TABLE), np.zeros(2 * len(LABELLERS) + 3))
     sent = spark.sparkContext.broadcast(model)  # TABLE weights
 
