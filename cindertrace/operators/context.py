@@ -45,6 +45,7 @@ def candidates(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """
     lon, lat, rings = F.col("lon"), F.col("lat"), F.col("rings")
     found = areas_near(points, areas, CONTEXT_M, geo.ring_distance_m(lon, lat, rings), geo.in_rings(lon, lat, rings), ["snapshot_id"])
+    found = found.withColumn("inside", F.round("distance_m", 3) == 0)  # on an edge is inside
     reached = F.col("distance_m") <= F.col("radius_m")
     found = found.withColumns({"relation": F.when(reached, "INSIDE_SUPPORT").otherwise("NEARBY"), "overlap": F.when(reached, F.round(geo.circle_overlap(lon, lat, F.col("radius_m"), rings), 4))})
     own = Window.partitionBy(key)

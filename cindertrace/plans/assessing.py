@@ -119,7 +119,7 @@ def candidates_of(t: Tables, s: DataFrame, snapshot: DataFrame) -> DataFrame:
     return context.candidates(own, stock, "sid")
 
 
-@register(sql(TABLES, SUBJECTS + context_sql(False) + CANDIDATES + " SELECT sid, fac_id, round(distance_m, 1) AS distance_m, distance_m = 0 AS inside, relation, overlap, rank, truncated FROM cand"))
+@register(sql(TABLES, SUBJECTS + context_sql(False) + CANDIDATES + " SELECT sid, fac_id, round(distance_m, 1) AS distance_m, round(distance_m, 3) = 0 AS inside, relation, overlap, rank, truncated FROM cand"))
 def area_candidates(t: Tables) -> DataFrame:
     s = checkpointed(subjects(t))
     return candidates_of(t, s, snapshot_of(t, s)).select("sid", "fac_id", F.round("distance_m", 1).alias("distance_m"), "inside", "relation", "overlap", "rank", "truncated")
