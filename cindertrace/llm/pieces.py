@@ -4,8 +4,10 @@ Where no piece crosses from a letter to a following whitespace marker, the text
 words that are segmented independently. So
 
 1. each task tells which distinct marked words its part of the corpus has;
-2. the distinct words of the whole corpus are segmented, each once;
-3. each part's words are joined with their ids and saved by part, in the shared folder;
+2. those are dealt by word, so each distinct word of the corpus meets one task, which segments it once;
+3. the ids go back to the parts that asked, and are saved by part in the shared folder. Words that most
+   parts have are saved once for all (at most twice as many as one part has words); a word that one part
+   alone has is segmented there;
 4. the tasks read their texts again, with the ids of their own words at hand, and put the ids where the
    words stand.
 
@@ -31,7 +33,7 @@ from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm.common import cut, record_batch, sha256_hex, shared_folder, table, texts
+from cindertrace.llm.common import record_batch, sha256_hex, shared_folder, table, texts
 from cindertrace.llm.token_store import at, qualified
 
 #: Distinct words that a task keeps; beyond that it starts a new table, with the same results.
@@ -39,6 +41,8 @@ TABLE_WORDS = 1_200_000
 #: Longer chunks are segmented each time, so that the table's memory has a bound.
 LONGEST_KEPT = 200
 MARK = "▁"
+#: The part under which words are saved that most parts have.
+FOR_ALL = -1
 #: A run of markers and what follows it up to the next marker.
 MARKED = re.compile(" [ ]*[^ ]*")
 LINES = re.compile("(?=\n)")
@@ -116,7 +120,7 @@ def chunk_table(documents: DataFrame, model_path: str) -> str | None:
         return None
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part = load(model_path).chunks, TaskContext.get().partitionId()
+        split, part = load(model_path).chunks, TaskContext.get().partitionId()  # which numbers the parts of the reading below alike
         seen: set[str] = set()
         for b in batches:
             own = set().union(*map(split, b.column("text").to_pylist())) - seen
@@ -126,25 +130,52 @@ def chunk_table(documents: DataFrame, model_path: str) -> str | None:
             new = [w for w in own if 0 < len(w) <= LONGEST_KEPT]
             yield record_batch(pa.schema([("part", pa.int32()), ("word", pa.string())]), [part] * len(new), new)
 
+    asked = texts(documents).select("text")
+    most = asked.rdd.getNumPartitions() / 2
+    made = pa.schema([("part", pa.int32()), ("word", pa.string()), ("ids", pa.binary())])
+
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(model_path)
-        for b in batches:
-            yield record_batch(pa.schema([("word", pa.string()), ("ids", pa.binary())]), b.column("word"), table.segment(b.column("word").to_pylist()))
+        word, parts = None, []
 
-    # written once: read for the distinct words and for the join
-    asked = cut(texts(documents).select("text").mapInArrow(words, "part int, word string"))
-    table = cut(asked.select("word").distinct().mapInArrow(segment, "word string, ids binary"))
+        def out(done: list[tuple[str, list[int]]]) -> pa.RecordBatch | None:
+            shared = [(w, [FOR_ALL] if len(p) > most else p) for w, p in done if len(p) > 1]
+            if not shared:
+                return None
+            ids = table.segment([w for w, _ in shared])
+            rows = [(part, w, i) for (w, own), i in zip(shared, ids, strict=True) for part in own]
+            return record_batch(made, *zip(*rows, strict=True))
+
+        for b in batches:
+            done = []
+            for w, part in zip(b.column("word").to_pylist(), b.column("part").to_pylist(), strict=True):
+                if w != word:
+                    done.append((word, parts))
+                    word, parts = w, []
+                if not parts or parts[-1] != part:
+                    parts.append(part)
+            found = out(done)
+            if found:
+                yield found
+        found = out([(word, parts)])
+        if found:
+            yield found
+
+    dealt = asked.mapInArrow(words, "part int, word string").repartition("word").sortWithinPartitions("word", "part")
     folder = qualified(documents.sparkSession, f"{shared_folder(documents.sparkSession).rstrip('/')}/words-{uuid.uuid4().hex}")
-    asked.join(table, "word").select("part", "word", "ids").repartition("part").write.partitionBy("part").parquet(folder)
+    dealt.mapInArrow(segment, "part int, word string, ids binary").repartition("part").write.partitionBy("part").parquet(folder)
     return folder
 
 
 def words_of_part(folder: str) -> dict[str, bytes]:
-    store, place = at(f"{folder}/part={TaskContext.get().partitionId()}")
-    if store.get_file_info(place).type == fs.FileType.NotFound:
-        return {}
-    held = dataset.dataset(place, filesystem=store, format="parquet").to_table(columns=["word", "ids"])
-    return dict(zip(held.column("word").to_pylist(), held.column("ids").to_pylist(), strict=True))
+    """The ids of the words that this task's part shares with others."""
+    out: dict[str, bytes] = {}
+    for part in (FOR_ALL, TaskContext.get().partitionId()):
+        store, place = at(f"{folder}/part={part}")
+        if store.get_file_info(place).type != fs.FileType.NotFound:
+            held = dataset.dataset(place, filesystem=store, format="parquet").to_table(columns=["word", "ids"])
+            out.update(zip(held.column("word").to_pylist(), held.column("ids").to_pylist(), strict=True))
+    return out
 
 
 def encode(documents: DataFrame, model_path: str, digests: bool = False) -> DataFrame:
