@@ -43,7 +43,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("passage_dedup", passage_dedup), ("decontaminate", decontaminate), ("tokenize", tokenize)]
 
-#: SQL expresses neither the classifier nor the tokenizer; tests hold run() against a plain version.
+#: SQL expresses neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
