@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm import chat, decontamination, neighbours, pages, pieces, recompression, simhash, suffix_dedup, token_store, weak_labels
+from cindertrace.llm import chat, decontamination, neighbours, pages, pieces, recompression, simhash, suffix_dedup, token_counts, token_store, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": token_store.op8_token_store,
         "op9_weak_labels": weak_labels.op9_weak_labels,
         "op10_chat_formatting": chat.op10_chat_formatting,
+        "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
