@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cindertrace.llm import chat, decontamination, neighbours, pages, pieces, ranked_search, recompression, simhash, suffix_dedup, token_counts, token_store, weak_labels
+from cindertrace.llm import chat, decontamination, filter_audit, neighbours, pages, pieces, ranked_search, recompression, simhash, suffix_dedup, token_counts, token_store, weak_labels
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": token_store.op8_token_store,
         "op9_weak_labels": weak_labels.op9_weak_labels,
         "op10_chat_formatting": chat.op10_chat_formatting,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_ranked_search": ranked_search.op12_ranked_search,
         "op13_token_counts": token_counts.op13_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": chat.OP10_SQL, "op12_ranked_search": ranked_search.OP12_SQL}
+    return {"op10_chat_formatting": chat.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL, "op12_ranked_search": ranked_search.OP12_SQL}
