@@ -306,7 +306,7 @@ class Counter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, cut, norm = spec["model"], spec["pre_tokenizer"], spec["normalizer"]
+        model, cut, norm = spec["model"], spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
         plain = model["type"] == "BPE" and model["end_of_word_suffix"] and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
         kinds = [p["type"] for p in cut.get("pretokenizers", [])] + [n["type"] for n in norm.get("normalizers", [])]
         if not plain or kinds != ["Split", "ByteLevel", "NFC", "Replace", "Lowercase"] or cut["pretokenizers"][0]["pattern"].get("Regex") != WORDS:
