@@ -8,11 +8,14 @@ across it.
 
 A query probes the cells nearest to it. How many is measured, not set: the exact neighbours of some
 sample rows within the sample are looked up, and as many cells are probed as hold REACH of them (those
-of a sample lie farther off than those of the whole table, so this errs on the safe side). In a cell a
-table of 16 scores for each block of dimensions is added up by code, and rows go on that are as near
-as the query's own bound: its distance to the sample row of the rank that stands for RERANK rows of the
-table. A chunk of a cell passes on RERANK rows of a query at most, and so do all together; those are
-reranked by exact distance in double precision on the original vectors. Of equal vectors only the k + 1
+of a sample lie farther off than those of the whole table, so this errs on the safe side). That is right
+for most queries, not for those far from all else, so each query also probes the cells of the sample
+rows nearest to itself, and further cells until those that it probes hold KEEP * k rows. In a cell a
+table of 16 scores for each block of dimensions is added up by code. Rows go on whose estimate, less
+the greatest error that their code can have (a number kept with each), is within the query's own bound:
+its distance to the sample row of the rank that stands for RERANK rows of the table. A chunk of a cell
+passes on RERANK rows of a query at most, k + 1 of them whatever the bound, and so do all together;
+those are reranked by exact distance in double precision on the original vectors. Of equal vectors only the k + 1
 with the least ids can be among the k nearest, so the others are not coded.
 
 What Spark moves for a query is its vector to each probed chunk and at most RERANK rows back from each.
@@ -43,6 +46,8 @@ SAMPLE, SAMPLE_NUMBERS, CELLS, BLOCK, ETA = 16_384, 1 << 22, 256, 2, 4.0
 CHUNK, QUERIES, KEEP = 8192, 256, 20
 #: The share of sample neighbours whose cells are probed, and how many sample rows are asked.
 REACH, ASKED = 0.985, 512
+#: A query probes the cells of so many times k sample rows near it.
+OWN = 4
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -78,20 +83,17 @@ class Index:
     """Centres, codebooks and the sample they are fitted on."""
 
     def __init__(self, sample: np.ndarray, ids: np.ndarray, rows: int, k: int):
-        self.rows, self.ids, self.rerank = rows, ids, KEEP * k
+        self.rows, self.ids, self.k, self.rerank = rows, ids, k, KEEP * k
         self.mean = sample.mean(axis=0)
         self.sample = x = sample - self.mean
         self.cells = int(np.clip(rows // 256, 1, min(CELLS, len(x))))
         self.centres = kmeans(x, self.cells, 8)
-        cell = nearest(x, self.centres)
+        self.cell = cell = nearest(x, self.centres)
         rest = x - self.centres[cell]
-        # residuals are coded in units of their cell's spread, so that dense cells are told apart as finely as wide ones
-        spread = np.bincount(cell, (rest**2).sum(axis=1), self.cells) / np.maximum(np.bincount(cell, minlength=self.cells), 1)
-        self.scale = np.sqrt(np.where(spread > 1e-18, spread, 1.0))
         d = x.shape[1]
         self.pad = -d % BLOCK
         self.blocks = (d + self.pad) // BLOCK
-        r, w = self.cut(rest / self.scale[cell][:, None]), self.cut(self.unit(x))
+        r, w = self.cut(self.unit(rest)), self.cut(self.unit(x))
         self.books = np.stack([kmeans(r[:, b], 16, 6, b) for b in range(self.blocks)])
         for _ in range(3):  # anisotropic Lloyd rounds: assign by the loss, then solve for each centre
             codes = np.concatenate([self.assign(r[i : i + 1024], w[i : i + 1024]) for i in range(0, len(r), 1024)])
@@ -137,35 +139,50 @@ class Index:
             total = other + picked[:, b]
         return codes
 
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells, halves of squared norms, and codes with two to a byte."""
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cells, lengths of residuals, what is added to half the squared distance, lengths of what the codes miss, and codes with two to a byte.
+
+        Codes are of directions, so that rows near their centre are told apart as finely as those far from
+        it. What is missed is known here, so its product with the vector itself is made good; what is left
+        is its product with the difference of query and vector, which is small for near ones.
+        """
         x = vectors - self.mean
         cell = nearest(x, self.centres)
-        rest = (x - self.centres[cell]) / self.scale[cell][:, None]
-        codes = np.concatenate([self.assign(self.cut(rest[i : i + 1024]), self.cut(self.unit(x[i : i + 1024]))) for i in range(0, len(x), 1024)])
+        rest = x - self.centres[cell]
+        length = np.maximum(np.linalg.norm(rest, axis=1), 1e-12)
+        toward = self.cut(rest / length[:, None])
+        codes = np.concatenate([self.assign(toward[i : i + 1024], self.cut(self.unit(x[i : i + 1024]))) for i in range(0, len(x), 1024)])
+        missed = (toward - self.books[np.arange(self.blocks), codes]) * length[:, None, None]
+        half = (x**2).sum(axis=1) / 2 - (self.cut(x) * missed).sum(axis=(1, 2))
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
-        return cell, (x**2).sum(axis=1) / 2, (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
+        return cell, length, half, np.sqrt((missed**2).sum(axis=(1, 2))), (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
-    def route(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cells that each query probes, and the squared distance within which a row goes on."""
+    def route(self, ids: np.ndarray, queries: np.ndarray, held: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The cells that each query probes, and the squared distance within which a row goes on. held: rows in each cell."""
         q = queries - self.mean
-        cells = np.argsort(squares(q, self.centres), axis=1)[:, : self.probed]
+        order = np.argsort(squares(q, self.centres), axis=1)
+        enough = np.minimum((np.cumsum(held[order], axis=1) <= self.rerank).sum(axis=1) + 1, self.cells)
+        probed = np.zeros((len(q), self.cells), bool)
+        np.put_along_axis(probed, order, np.arange(self.cells) < np.maximum(self.probed, enough)[:, None], axis=1)
         far = squares(q, self.sample)
         far[ids[:, None] == self.ids[None]] = np.inf
+        own = min(OWN * self.k, far.shape[1])
+        np.put_along_axis(probed, self.cell[np.argpartition(far, own - 1, axis=1)[:, :own]], True, axis=1)
+        cells = [np.flatnonzero(p) for p in probed]
         stands = self.rerank * len(self.sample) / self.rows
         rank = int(np.ceil(stands + 4 * np.sqrt(stands))) + 10
         bound = np.partition(far, rank, axis=1)[:, rank] if rank < far.shape[1] else np.full(len(q), np.inf)
         return cells, bound
 
-    def scan(self, queries: np.ndarray, cell: int, halves: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    def scan(self, queries: np.ndarray, cell: int, lengths: np.ndarray, halves: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Estimated squared distances, queries by rows of a cell."""
         q = queries - self.mean
         tables = np.einsum("qbd,bcd->qbc", self.cut(q), self.books).astype(np.float32)
         rest = np.zeros((len(q), len(codes)), np.float32)
         for b in range(self.blocks):
             rest += tables[:, b, codes[:, b // 2] >> 4 * (b % 2) & 15]
-        products = (q @ self.centres[cell])[:, None] + rest * self.scale[cell]
+        products = (q @ self.centres[cell])[:, None] + rest * lengths
         return (q**2).sum(axis=1)[:, None] - 2 * (products - halves)
 
 
@@ -193,26 +210,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     most = index.value.rerank
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int32()), ("half", pa.float64()), ("code", pa.binary())])
+        schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int32()), ("length", pa.float64()), ("half", pa.float64()), ("missed", pa.float64()), ("code", pa.binary())])
         for b in batches:
             if b.num_rows:
-                cell, half, codes = index.value.encode(matrix(b.column("vector"), d))
-                yield record_batch(schema, b.column("vec_id"), cell.astype(np.int32), half, [c.tobytes() for c in codes])
+                cell, length, half, missed, codes = index.value.encode(matrix(b.column("vector"), d))
+                yield record_batch(schema, b.column("vec_id"), cell.astype(np.int32), length, half, missed, [c.tobytes() for c in codes])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("query_id", pa.int64()), ("query", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32())), ("bound", pa.float64())])
         for b in batches:
             if b.num_rows:
-                cells, bound = index.value.route(b.column("query_id").to_numpy(), matrix(b.column("query"), d))
-                yield record_batch(schema, b.column("query_id"), b.column("query"), cells.astype(np.int32).tolist(), bound)
-
-    coded = cut(distinct.mapInArrow(code, "vec_id long, cell int, half double, code binary"))
-    sizes = cut(coded.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")))  # a row for each cell
-    units = sizes.agg(F.sum("chunks")).first()[0]
+                cells, bound = index.value.route(b.column("query_id").to_numpy(), matrix(b.column("query"), d), held)
+                yield record_batch(schema, b.column("query_id"), b.column("query"), cells, bound)
+
+    coded = cut(distinct.mapInArrow(code, "vec_id long, cell int, length double, half double, missed double, code binary"))
+    sizes = cut(coded.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).alias("chunks")))  # a row for each of CELLS at most
+    known = sizes.toArrow()
+    held = np.zeros(index.value.cells, np.int64)
+    held[known.column("cell").to_numpy()] = known.column("n").to_numpy()
+    sizes, units = sizes.select("cell", "chunks"), sum(known.column("chunks").to_pylist())
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-units // 16))
     by = ["cell", "chunk"]
     chunks = coded.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))
-    chunks = chunks.repartition(tasks, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "half", "code"))).alias("rows"))
+    chunks = chunks.repartition(tasks, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "length", "half", "missed", "code"))).alias("rows"))
     asked = cut(rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query")))
     probes = asked.mapInArrow(route, "query_id long, query array<double>, cells array<int>, bound double").select("query_id", "query", "bound", F.explode("cells").alias("cell"))
     probes = probes.join(F.broadcast(sizes), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
@@ -224,14 +244,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         for b in batches:
             for cell, own, asked_ in zip(b.column("cell").to_pylist(), b.column("rows"), b.column("queries"), strict=True):
                 own, asked_ = own.values, asked_.values
-                ids, halves = own.field("vec_id").to_numpy(), own.field("half").to_numpy()
+                ids, lengths, halves, missed = (own.field(c).to_numpy() for c in ("vec_id", "length", "half", "missed"))
                 codes = np.frombuffer(b"".join(own.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 queries, bounds = asked_.field("query_id").to_numpy(), asked_.field("bound").to_numpy()
-                far = index.value.scan(matrix(asked_.field("query"), d), cell, halves, codes)
+                far = index.value.scan(matrix(asked_.field("query"), d), cell, lengths, halves, codes)
                 best = np.argsort(far, axis=1, kind="stable")[:, :most]  # equal estimates: the smaller ids
                 near = np.take_along_axis(far, best, axis=1)
                 near[ids[best] == queries[:, None]] = np.inf
-                x, y = np.nonzero(near <= bounds[:, None] * 1.02 + 1e-9)
+                least = np.sqrt(np.maximum(near + missed[best] ** 2, 0)) - missed[best]
+                x, y = np.nonzero((least <= np.sqrt(bounds)[:, None] * 1.01 + 1e-9) | (np.arange(best.shape[1]) <= k))
                 ok = np.isfinite(near[x, y])
                 yield record_batch(schema, queries[x[ok]], ids[best[x[ok], y[ok]]], near[x[ok], y[ok]])
 

@@ -178,6 +178,42 @@ def test_recall_at_forty_thousand(spark, monkeypatch, kind):
     assert hit / (10 * len(asked)) >= 0.93, hit / (10 * len(asked))
 
 
+def shapes(kind, rng):
+    """Vectors among which some lie far from all others, and which of them ask."""
+    if kind == "far group":
+        x = np.concatenate([rng.normal(size=(594, 16)), 50 + rng.normal(size=(6, 16))])
+        return x, [*range(0, 594, 60), *range(594, 600)]
+    if kind == "lone queries":
+        x = np.concatenate([rng.normal(size=(5940, 16)) * 0.1, rng.normal(size=(60, 16)) * 30])
+        return x, [*range(5940, 6000), *range(0, 5940, 500)]
+    x = rng.normal(size=(12_000, 24)) * np.exp(rng.normal(size=(12_000, 1)) * 1.5)
+    return x, list(range(0, 12_000, 100))
+
+
+@pytest.mark.parametrize("kind", ["far group", "lone queries", "heavy tails"])
+def test_queries_far_from_the_rest(spark, kind):
+    """Each query has ten rows, and the recall holds for all and for the worst."""
+    x, asked = shapes(kind, np.random.default_rng(3))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64())), "rank": ["x"] * len(x), "query": [None] * len(x), "cell": [0] * len(x)}))
+    got = {}
+    for r in neighbours.search(df, F.col("vec_id").isin(asked)).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    hit = []
+    for q in asked:
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        assert len(got[q]) == 10
+        hit.append(len(set(np.lexsort((np.arange(len(x)), far))[:10].tolist()) & set(got[q])) / 10)
+    assert np.mean(hit) >= 0.95 and min(hit) >= 0.7, (np.mean(hit), min(hit), np.mean(np.array(hit) < 0.8))
+
+
+def test_repeated_vector_ids(spark):
+    """Each row of a repeated id is a candidate, the query's own id is none, and its least vector asks."""
+    rows = [(0, [5.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 3.0]), (2, [9.0, 0.0]), (None, [1.0, 0.0]), (3, [0.0, 0.0])]
+    found = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(1, 1, 1.0), (2, 1, 3.0), (3, 2, 8.0)]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
