@@ -56,8 +56,7 @@ def document_flags(documents: DataFrame) -> DataFrame:
     told = own.join(common, "said", "left")
     # rows with a common text meet none of the rare ones, so they need not lie together
     spread = F.when(F.col("common").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))).otherwise(-1).cast("int")
-    told = told.withColumn("spread", spread).repartition(max(documents.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), "said", "spread")
-    told = told.join(rare.withColumn("spread", F.lit(-1)), ["said", "spread"], "left")
+    told = told.withColumn("spread", spread).join(rare.withColumn("spread", F.lit(-1)), ["said", "spread"], "left")
     late = F.coalesce(F.col("doc_id") > F.coalesce("common", "first"), F.lit(False))
     return told.select("doc_id", "part", (F.col("flags") + late.cast("int") * 16).alias("flags"))
 
@@ -80,7 +79,9 @@ def orders(spark: SparkSession) -> DataFrame:
 
 def replay(flags: DataFrame) -> DataFrame:
     """The audit of flags(part, flags, good, toxic): one row for each part, order and step."""
-    crossed = flags.crossJoin(F.broadcast(orders(flags.sparkSession)))
+    flags = cut(flags)
+    tasks = max(flags.sparkSession.sparkContext.defaultParallelism, -(-flags.count() // TASK_ROWS))  # a row is 600 here, which its bytes do not tell
+    crossed = flags.repartition(tasks).crossJoin(F.broadcast(orders(flags.sparkSession)))
     steps = crossed.select("part", "filter_order", "flags", "good", "toxic", F.inline("steps"))
     fails, earlier = F.col("flags").bitwiseAND(F.col("bit")) != 0, F.col("flags").bitwiseAND(F.col("before")) != 0
     first = fails & ~earlier
