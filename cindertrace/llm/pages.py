@@ -1,7 +1,10 @@
 """Main text of web pages, by structure and by what a host repeats.
 
-Each page is cut into blocks. Blocks inside an article (or, if no article has text, inside main)
-are its main text, but for menus, asides, footers, forms, notices, adverts and comments in them. Pages
+Each page is cut into blocks. Blocks inside an article are its main text, but for menus, asides,
+footers, forms, notices, adverts and comments in them. If no article has text, it is main's; an article or
+main that lies in a container named like boilerplate (layout classes may say anything) counts where it has
+more text than what lies outside such containers. A class, id or role names boilerplate as a whole or by
+its last part (site-footer), not by a part of another kind (has-sidebar, nav-open, ad-1920). Pages
 with neither keep the blocks that are in no container of boilerplate, less the runs of words that their
 host repeats: what such pages offer, and what stands outside the main text of all others, is laid end to
 end by host, and a sparse suffix array over it finds long substrings that distinct pages of one host
@@ -19,6 +22,7 @@ have their rows. A null or strange url is a host of its own kind, the empty one.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,10 +39,16 @@ from cindertrace.llm.words import Words, sliding_argmin
 LENGTH = 6
 HEAD = 3
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Names of attributes begin where no name goes on, so that a search is linear in a tag of any length.
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+NAME = re.compile("/?[a-zA-Z][^\\s/>]*+")
+STOP = re.compile("[\"'>]")
+#: A quote that is not closed within so many characters is none.
+QUOTED = 1 << 16
 WORD = re.compile("[A-Z]?[a-z0-9]+|[A-Z]+")
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW_END = {name: re.compile(rf"</{name}(?![^\s/>])", re.I) for name in RAW}
+UNCLOSED = frozenset("p li dt dd tr td th option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold no main text, wherever they are.
@@ -50,34 +60,103 @@ NAMES = frozenset(
     " widget toolbar search contentinfo complementary dialog form copyright legal disclaimer skip hidden".split()
 )
 #: Of those, what names a part that is no main text even inside an article.
-INNER_NAMES = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored notice notices cookie cookies consent comment comments disqus reply replies form hidden".split())
+INNER_NAMES = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored notice notices cookie cookies consent comment comments disqus reply replies form hidden".split())
 COMMENTS = frozenset("comment comments reply replies".split())
-MAIN, OUTER, ASIDE_KIND = 0, 1, 2
+#: A compound that begins with one of these tells of a layout, not of a part.
+LAYOUT = frozenset("has have with without no not is show hide hides toggle open js".split())
+#: OUTER: any text; NAMED: in an element that its names call boilerplate; ASIDE_KIND: in one that is boilerplate by what it is.
+OUTER, NAMED, ASIDE_KIND = 1, 2, 3
+#: Where a block lies: neither, main or article in a named container, main, article.
+NAMED_MAIN, NAMED_ARTICLE, MAIN, ARTICLE = 1, 2, 3, 4
 
 
-def aside(name: str, attributes: str, inside: bool = False) -> bool:
-    """Does an element hold no main text? inside: it is in an article or main."""
+def named(value: str) -> set[str]:
+    """What the words of a class, id or role call an element: the whole word or its last part."""
+    out = set()
+    for word in value.split():
+        parts = [p.lower() for p in WORD.findall(word)]
+        if parts and (len(parts) == 1 or parts[0] not in LAYOUT):
+            out |= {word.lower(), parts[-1]}
+    return out
+
+
+def aside(name: str, attributes: str, inside: bool = False) -> int:
+    """OUTER, NAMED or ASIDE_KIND, for an element; inside: it is in an article or main."""
     if name in ASIDE:
-        return True
+        return ASIDE_KIND
     if not attributes or name in ("html", "body"):
-        return False
+        return OUTER
     words = set()
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id", "role"):
-            words |= {w.lower() for w in WORD.findall(value)}
+            words |= named(value)
         elif key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            return ASIDE_KIND
     if name in ("article", "main"):
-        return bool(words & COMMENTS)
-    return bool(words & (INNER_NAMES if inside else NAMES)) or re.search(r"(^|\s)hidden(\s|$|=)", attributes) is not None
+        return ASIDE_KIND if words & COMMENTS else OUTER
+    if re.search(r"(^|\s)hidden(\s|$|=)", attributes):
+        return ASIDE_KIND
+    return NAMED if words & (INNER_NAMES if inside else NAMES) else OUTER
+
+
+def tag_end(html: str, at: int) -> int:
+    """Where the tag ends that goes on at `at`: the first > outside quotes; -1 if there is none."""
+    first = html.find(">", at)
+    while first >= 0 and (m := STOP.search(html, at)):
+        if m[0] == ">":
+            return m.start()
+        stop = html.find(m[0], m.end(), m.end() + QUOTED)
+        at = stop + 1 if stop >= 0 else m.end()
+    return first
+
+
+def tags(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text before it, name with / if it closes, attributes) of each tag; the last has neither. Linear in the page's length."""
+    at, text, end = 0, [], len(html)
+    while at < end:
+        i = html.find("<", at)
+        if i < 0:
+            break
+        if i > at:
+            text.append(unescape(html[at:i]))
+        if html.startswith("<!--", i):
+            stop = html.find("-->", i + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if html.startswith(("<!", "<?"), i):
+            stop = html.find(">", i)
+            at = stop + 1 if stop >= 0 else end
+            continue
+        m = NAME.match(html, i + 1)
+        if not m:
+            text.append("<")
+            at = i + 1
+            continue
+        stop = tag_end(html, m.end())
+        if stop < 0:  # a tag that the page's end cuts off
+            at = end
+            break
+        at = stop + 1
+        name = m[0].lower()
+        if name in RAW:
+            close = RAW_END[name].search(html, at)
+            stop = html.find(">", close.end()) if close else -1
+            at = stop + 1 if stop >= 0 else end
+            continue
+        yield "".join(text), name, html[m.end() : stop]
+        text = []
+    if at < end:
+        text.append(unescape(html[at:]))
+    yield "".join(text), "", ""
 
 
 def blocks(html: str) -> list[tuple[int, int, str]]:
-    """(kind, depth in article 2 / main 1 / neither 0, text) of each block that has text, in order."""
+    """(kind, place, text) of each block that has text, in order."""
     out: list[tuple[int, int, str]] = []
-    open_: list[tuple[str, int, int]] = []  # name, place, kind from here on
-    place, kind, own, at = 0, OUTER, [], 0
+    open_: list[tuple[str, int, int]] = []  # name, and place and kind around it
+    names: Counter[str] = Counter()
+    place, kind, own = 0, OUTER, []
 
     def close() -> None:
         text = " ".join("".join(own).split())
@@ -85,55 +164,52 @@ def blocks(html: str) -> list[tuple[int, int, str]]:
         if text:
             out.append((kind, place, text))
 
-    end = len(html)
-    while at < end:
-        m = TAG.search(html, at)
-        if not m:
-            own.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            own.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
+    for text, tag, attributes in tags(html):
+        own.append(text)
+        name = tag.removeprefix("/")
         if name in INLINE:
             if name == "br":
                 own.append(" ")
             continue
-        if m[1]:
-            close()
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    _, place, kind = open_[k]
-                    del open_[k:]
-                    break
-            continue
-        if name in RAW:
-            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(html, at)
-            at = stop.end() if stop else end
-            continue
         close()
-        if name in VOID or name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not m[3] or m[3].endswith("/"):
+        if tag != name:
+            if names[name]:
+                while True:
+                    last, place, kind = open_.pop()
+                    names[last] -= 1
+                    if last == name:
+                        break
+            continue
+        if not name or name in VOID or name in UNCLOSED and not attributes or attributes.endswith("/"):
             continue
         open_.append((name, place, kind))
-        if kind != ASIDE_KIND:
-            if aside(name, m[3], place > 0) or name == "header" and not place:
-                kind = ASIDE_KIND
-            elif name == "article":
-                place = 2
-            elif name == "main" or 'role="main"' in m[3]:
-                place = max(place, 1)
-    close()
+        names[name] += 1
+        if kind == ASIDE_KIND:
+            continue
+        found = aside(name, attributes, place > 0)
+        main = name == "main" or 'role="main"' in attributes
+        if found == ASIDE_KIND or name == "header" and not place:
+            kind = ASIDE_KIND
+        elif name == "article" or main:
+            # what is named boilerplate around an article or main is not known to be so
+            inner = (ARTICLE, NAMED_ARTICLE) if name == "article" else (MAIN, NAMED_MAIN)
+            if kind == OUTER or not place:
+                place, kind = max(place, inner[kind == NAMED]), OUTER
+        else:
+            kind = max(kind, found)
     return out
 
 
 def split_page(html: str | None) -> tuple[list[str], list[tuple[int, str]]]:
     """The main blocks, and (kind, text) of all others."""
     found = blocks(html or "")
-    best = max((p for k, p, _ in found if k != ASIDE_KIND), default=0)
-    main = [t for k, p, t in found if k != ASIDE_KIND and p == best] if best else []
-    rest = [(k, t) for k, p, t in found if k == ASIDE_KIND or p != best or not best]
+    size: Counter[int] = Counter()
+    for kind, place, text in found:
+        if kind == OUTER:
+            size[place] += len(text)
+    best = ARTICLE if size[ARTICLE] else max((MAIN, NAMED_ARTICLE, NAMED_MAIN), key=lambda p: size[p])
+    main = [t for k, p, t in found if k == OUTER and p == best]
+    rest = [(k, t) for k, p, t in found if k != OUTER or p != best]
     return main, rest
 
 

@@ -3,6 +3,7 @@
 import html
 import importlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,76 @@ def test_names_inside_an_article(spark):
     assert pages.main_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()["text"] == "One.\nTwo.\nThree."
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='page has-sidebar'><article><p>In.</p></article></div>", "In."),
+        ("<main><div class='content with-sidebar'><p>In.</p></div></main>", "In."),
+        ("<div class='nav-open'><main><p>In.</p></main></div>", "In."),
+        ("<article><div class='article-header'><h1>Title</h1></div><p class='ad-1920'>Year.</p><div class='in-text-ad'>no</div></article>", "Title\nYear."),
+        ("<div class='sidebar'><main><p>In.</p></main></div>", "In."),
+        ("<div class='sidebar'><article>Teaser</article></div><main>The text itself is here.</main>", "The text itself is here."),
+        ("<article>One<div class='comments'><article>me too</article></div></article>", "One"),
+        ("<article>One<div class='related-menu'><article>no</article></div><p>Two</p></article>", "One\nTwo"),
+        ("<nav><article>no</article></nav><main>In.</main>", "In."),
+        ("<div class='site-footer'>no</div><div class='footerless'>In.</div>", "In."),
+        ("<article><p title='a>b' class=x>In.</p></article>", "In."),
+        ("<article>a < b <3 c</article>", "a < b <3 c"),
+        ("<article>In.<p class=\"x", "In."),
+        ("<article>In.</p></div></article>out", "In."),
+        ("<article>In.<script>x</scripty></script >More</article>", "In.More"),
+    ],
+)
+def test_layouts(html, text):
+    assert "\n".join(pages.split_page(html)[0] or [t for k, t in pages.split_page(html)[1] if k == pages.OUTER]) == text
+
+
+BROKEN = ["<a ", '<a "', "<div>", "</p>", "<div></p>", "<a 'x=\"", "<script>", "<!--", "<", "<p class='", "<a href='x>y'>", 'a="', "a ", "<b c"]
+
+
+@pytest.mark.parametrize("unit", BROKEN)
+@pytest.mark.parametrize("start", ["", "<div ", "<article>"])
+def test_broken_pages_of_a_megabyte(unit, start):
+    began = time.perf_counter()
+    pages.split_page(start + unit * (1_000_000 // len(unit)) + ">")
+    assert time.perf_counter() - began < 5
+
+
+def made_page(rng):
+    """Markup of random nested parts, and the text that a reader takes from its article: a plain walk over the same tree."""
+    words = lambda n: " ".join(rng.choice([f"w{k}" for k in range(500)], n))
+    said = []
+
+    def part(depth, kept):
+        kind = rng.integers(0, 8 if depth < 4 else 3)
+        if kind < 3:
+            t = words(rng.integers(1, 8))
+            cut = rng.integers(0, len(t) + 1)
+            said.extend([t] * kept)
+            return f"<p class='{rng.choice(['ad-1920', 'lead', 'nav-open'])}'>{t[:cut]}<b data-x=\"a>b\">{t[cut:]}</b></p>"
+        if kind == 3:
+            tag = rng.choice(["nav", "footer", "aside", "form"])
+            return f"<{tag}>{part(depth + 1, False)}</{tag}>"
+        if kind == 4:
+            return f"<div class='{rng.choice(['comments', 'site-menu', 'x sidebar', 'ads'])}'>{part(depth + 1, False)}{part(depth + 1, False)}</div>"
+        if kind == 5:
+            return f"<script>if (a < b) {{ '<p>{words(3)}</p>' }}</script><!-- <p>{words(2)}</p> -->"
+        return f"<{'section' if kind == 6 else 'div'} class='{rng.choice(['has-sidebar', 'body', 'article-header', 'with-menu'])}'>" + "".join(part(depth + 1, kept) for _ in range(rng.integers(1, 4))) + ("</section>" if kind == 6 else "</div>")
+
+    inside = "".join(part(0, True) for _ in range(rng.integers(1, 6)))
+    wrap = rng.choice(["page has-sidebar", "nav-open", "content", "sidebar"])
+    return f"<body class='menu'><header>{words(3)}</header><div class='{wrap}'><article>{inside}</article></div><div class='sidebar'>{words(5)}</div><footer>{words(4)}</footer></body>", "\n".join(said)
+
+
+def test_generated_pages(spark):
+    rng = np.random.default_rng(17)
+    made = [made_page(rng) for _ in range(400)]
+    df = spark.createDataFrame([(k, "http://x.com", h, "x", 1) for k, (h, _) in enumerate(made)], "page_id long, url string, html string, text string, salt int")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert all(got[k] == t for k, (_, t) in enumerate(made) if t)
+    assert sum(bool(t) for _, t in made) > 300
+
+
 def brute_hosts(rows, length):
     """What is left of texts [(host, text)] when all words go that a window repeats which another text of the host, or this one elsewhere, has."""
     seen = {}
@@ -164,7 +235,7 @@ def test_pipeline_runs_stage_by_stage(spark, small, tmp_path):
 def test_registry():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
