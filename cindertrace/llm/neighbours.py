@@ -12,10 +12,11 @@ of a sample lie farther off than those of the whole table, so this errs on the s
 for most queries, not for those far from all else, so each query also probes the cells of the sample
 rows nearest to itself, and further cells until those that it probes hold KEEP * k rows. In a cell a
 table of 16 scores for each block of dimensions is added up by code. Rows go on whose estimate, less
-the greatest error that their code can have (a number kept with each), is within the query's own bound:
-its distance to the sample row of the rank that stands for RERANK rows of the table. A chunk of a cell
-passes on RERANK rows of a query at most, k + 1 of them whatever the bound, and so do all together;
-those are reranked by exact distance in double precision on the original vectors. Of equal vectors only the k + 1
+what their code is likely to err by (a number kept with each), is within the query's own bound: its
+distance to the sample row of the rank that stands for RERANK rows of the table. A chunk of a cell passes
+on RERANK rows of a query at most, and so do all together; those are reranked by exact distance in double
+precision on the original vectors. Should a query be left with fewer than k rows, it is compared with all
+rows, in blocks of QUERIES such queries. Of equal vectors only the k + 1
 with the least ids can be among the k nearest, so the others are not coded.
 
 What Spark moves for a query is its vector to each probed chunk and at most RERANK rows back from each.
@@ -46,6 +47,8 @@ SAMPLE, SAMPLE_NUMBERS, CELLS, BLOCK, ETA = 16_384, 1 << 22, 256, 2, 4.0
 CHUNK, QUERIES, KEEP = 8192, 256, 20
 #: The share of sample neighbours whose cells are probed, and how many sample rows are asked.
 REACH, ASKED = 0.985, 512
+#: How many times its usual size the error of an estimate may have.
+SURE = 3.0
 #: A query probes the cells of so many times k sample rows near it.
 OWN = 4
 
@@ -195,6 +198,27 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def compared(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score: each task's k nearest rows to some queries, by comparing all."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        vec, score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for b in batches:
+            if b.num_rows:
+                x, own = matrix(b.column("vector"), queries.shape[1]), b.column("vec_id").to_numpy()
+                far = np.sqrt(((queries[:, None] - x[None]) ** 2).sum(axis=2))
+                far[ids[:, None] == own] = np.inf
+                vec, score = np.concatenate([vec, np.broadcast_to(own, far.shape)], axis=1), np.concatenate([score, far], axis=1)
+                best = np.lexsort((vec, score), axis=1)[:, :k]
+                vec, score = np.take_along_axis(vec, best, axis=1), np.take_along_axis(score, best, axis=1)
+        q, j = np.nonzero(np.isfinite(score))
+        yield record_batch(pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), ids[q], vec[q, j], score[q, j])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of vectors that is_query picks."""
     spark = prepare(vectors.sparkSession)
@@ -233,7 +257,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     by = ["cell", "chunk"]
     chunks = coded.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))
     chunks = chunks.repartition(tasks, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "length", "half", "missed", "code"))).alias("rows"))
-    asked = cut(rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query")))
+    asked = cut(rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("query"), F.count("*").alias("own")))
     probes = asked.mapInArrow(route, "query_id long, query array<double>, cells array<int>, bound double").select("query_id", "query", "bound", F.explode("cells").alias("cell"))
     probes = probes.join(F.broadcast(sizes), "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() // QUERIES)))).alias("block")
@@ -251,8 +275,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 best = np.argsort(far, axis=1, kind="stable")[:, :most]  # equal estimates: the smaller ids
                 near = np.take_along_axis(far, best, axis=1)
                 near[ids[best] == queries[:, None]] = np.inf
-                least = np.sqrt(np.maximum(near + missed[best] ** 2, 0)) - missed[best]
-                x, y = np.nonzero((least <= np.sqrt(bounds)[:, None] * 1.01 + 1e-9) | (np.arange(best.shape[1]) <= k))
+                # what is left of an error is a product with a direction that knows nothing of it
+                slack = SURE * 2 * np.sqrt(bounds)[:, None] * missed[best] / np.sqrt(d)
+                x, y = np.nonzero(near <= bounds[:, None] * 1.02 + slack + 1e-9)
                 ok = np.isfinite(near[x, y])
                 yield record_batch(schema, queries[x[ok]], ids[best[x[ok], y[ok]]], near[x[ok], y[ok]])
 
@@ -261,9 +286,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     best = found.withColumn("r", F.row_number().over(rough)).filter(F.col("r") <= most).select("query_id", "vec_id").distinct()
     exact = best.join(rows, "vec_id").join(asked, "query_id")
     total = F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = exact.select("query_id", "vec_id", F.sqrt(total).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(near: DataFrame) -> DataFrame:
+        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = cut(ranked(exact.select("query_id", "vec_id", F.sqrt(total).alias("score"))))
+    counts = near.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = cut(asked.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.lit(n) - F.col("own"))).select("query_id", "query"))
+    left = short.count()
+    if not left:
+        return near
+    near = near.join(short, "query_id", "left_anti")
+    blocks_ = -(-left // QUERIES)
+    for i in range(blocks_):
+        some = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks_)) == i).toArrow()
+        near = near.unionByName(ranked(compared(rows, some.column("query_id").to_numpy(), matrix(some.column("query").combine_chunks(), d), k)))
+    return near
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
