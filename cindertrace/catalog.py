@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cindertrace.functions import geo
 from cindertrace.operators import components as comp
 from cindertrace.operators import episodes, features, history, labels, landcover, rules, spatial
-from cindertrace.plans.adapter import Tables, distance_sql, sql
+from cindertrace.plans.adapter import Tables, distance_sql, scale_sql, sql
 from cindertrace.registry import ORACLE, QUERIES, Query, register
 from cindertrace.sources import detections, exports, mapped
 
@@ -508,7 +508,7 @@ def held_out_counts(t: Tables) -> DataFrame:
 @register()
 def gbt_scores(t: Tables) -> DataFrame:
     rows = episode_rows(t)
-    return features.boosted_scores(rows, ["n", "duration_h", "max_frp", "median_frp", "night_fraction"], "target", "id", 10)
+    return features.boosted_scores(rows, ["n", "duration_h", "max_frp", "median_frp", "night_fraction"], "target", "id")
 
 
 def episode_rows(t: Tables) -> DataFrame:
@@ -590,7 +590,19 @@ def forced_kind(t: Tables) -> DataFrame:
     return t.read("events").select(F.col("event_id").alias("id"), labels.forced_kind(url, ["firms.example.org"], ["basemap"], ["maps.example.com"]).alias("forced"))
 
 
-@register()
+EDGES = ", sq AS (SELECT *, unnest([0.005::DOUBLE, 0.001::DOUBLE]) AS r FROM facilities), ed AS (SELECT fac_id, facility_type, lon AS fx, lat AS fy, lon + a * r AS ax, lat + b * r AS ay, lon + c * r AS bx, lat + d * r AS \"by\" FROM sq, (VALUES (-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)) v(a, b, c, d))"
+
+
+def edges_sql() -> str:
+    """The distance to the nearest edge on the plane around the place, and whether a ray to the east crosses an odd number of edges."""
+    up, across = scale_sql("p.lat")
+    return f"""{EDGES}, m AS (SELECT place, fac_id, (ay > p.lat) <> ("by" > p.lat) AND p.lon < (bx - ax) * (p.lat - ay) / nullif("by" - ay, 0) + ax AS hit, (ax - p.lon) * {across} AS ax, (ay - p.lat) * {up} AS ay, (bx - p.lon) * {across} AS bx, ("by" - p.lat) * {up} AS "by" FROM places p JOIN ed ON abs(p.lat - fy) < 0.05 AND abs(p.lon - fx) < 0.05),
+ n AS (SELECT *, bx - ax AS dx, "by" - ay AS dy FROM m), o AS (SELECT *, greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM n),
+ q AS (SELECT place, fac_id, count(*) FILTER (hit) % 2 = 1 AS inside, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS edge FROM o GROUP BY ALL)
+ SELECT place, fac_id, round(CASE WHEN inside THEN 0.0 ELSE edge END, 3) AS distance_m, inside FROM q WHERE inside OR edge <= 2000"""
+
+
+@register(sql("obs places facilities", edges_sql()))
 def polygon_candidates(t: Tables) -> DataFrame:
     """Places near square areas around facilities, each with a square hole."""
     x, y = F.col("lon"), F.col("lat")

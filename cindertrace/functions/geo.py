@@ -96,12 +96,18 @@ def ring_distance_m(lon: Column, lat: Column, rings: Column) -> Column:
     return F.when(in_rings(lon, lat, rings), F.lit(0.0)).otherwise(F.array_min(F.transform(rings, nearest)))
 
 
-def circle_overlap(lon: Column, lat: Column, radius_m: Column, rings: Column) -> Column:
-    """The share of a circle that lies in rings (even-odd: a ring inside another is a hole), from 0 to 1.
+def circle_overlap(lon: Column, lat: Column, radius_m: Column, rings: Column, valid: bool = False) -> Column:
+    """The share of a circle that lies in a polygon, from 0 to 1.
+
+    Rings are taken by the even-odd rule, in any order and direction. valid: they are as polygons.built()
+    gives them (outer ones counter-clockwise, holes clockwise), or a single ring, so that need not be done here.
 
     On the plane around the point, each edge adds the signed area between itself, clipped to the circle,
     and the centre: sectors where it runs outside, triangles where it runs inside.
     """
+    from cindertrace.functions.polygons import built
+
+    rings = rings if valid else F.when(F.size(rings) == 1, rings).otherwise(F.coalesce(built(F.when(F.size(rings) > 1, rings)), F.array().cast("array<array<struct<lon:double,lat:double>>>")))
     up, across = metres_per_degree(lat)
     square = radius_m * radius_m
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -136,10 +142,10 @@ def circle_overlap(lon: Column, lat: Column, radius_m: Column, rings: Column) ->
         steps = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: line(ring, i))
         for step in (meet, clip, ends, swept):
             steps = F.transform(steps, step)
-        return F.abs(F.aggregate(steps, zero, lambda s, x: s + x))
+        return F.aggregate(steps, zero, lambda s, x: s + x)
 
-    areas = F.transform(rings, area)  # holes lie in the greatest ring of a polygon
-    inside = F.when(F.size(rings) == 1, F.get(areas, 0)).otherwise(2 * F.array_max(areas) - F.aggregate(areas, F.lit(0.0), lambda s, x: s + x))
+    total = F.aggregate(F.transform(rings, area), zero, lambda s, x: s + x)  # holes count down
+    inside = F.when(F.size(rings) == 1, F.abs(total)).otherwise(total)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside / (pi * square)))
 
 

@@ -40,6 +40,7 @@ def newest_snapshot(points: DataFrame, snapshots: DataFrame, key: str, radius_m:
 def candidates(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """Mapped areas of a point's own snapshot within CONTEXT_M of points(key, lon, lat, radius_m, snapshot_id), nearest first.
 
+    The areas' rings are as polygons.built() gives them.
     Adds to the areas' columns: distance_m, inside (the point lies in it), relation, overlap (the share of
     the support circle that it takes, where it reaches it), rank (to MOST_CANDIDATES) and truncated.
     """
@@ -47,7 +48,7 @@ def candidates(points: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     found = areas_near(points, areas, CONTEXT_M, geo.ring_distance_m(lon, lat, rings), geo.in_rings(lon, lat, rings), ["snapshot_id"])
     found = found.withColumn("inside", F.round("distance_m", 3) == 0)  # on an edge is inside
     reached = F.col("distance_m") <= F.col("radius_m")
-    found = found.withColumns({"relation": F.when(reached, "INSIDE_SUPPORT").otherwise("NEARBY"), "overlap": F.when(reached, F.round(geo.circle_overlap(lon, lat, F.col("radius_m"), rings), 4))})
+    found = found.withColumns({"relation": F.when(reached, "INSIDE_SUPPORT").otherwise("NEARBY"), "overlap": F.when(reached, F.round(geo.circle_overlap(lon, lat, F.col("radius_m"), rings, True), 4))})
     own = Window.partitionBy(key)
     found = found.withColumns({"rank": F.row_number().over(own.orderBy(F.round("distance_m", 3), "fac_id")), "truncated": F.count("*").over(own) > MOST_CANDIDATES})
     return found.filter(F.col("rank") <= MOST_CANDIDATES)

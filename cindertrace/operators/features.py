@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import exp, factorial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.operators.ranks import running
+
 
 def episode_features(members: DataFrame, *keys: str) -> DataFrame:
     """members: acquired_at, satellite, daynight, frp_mw, confidence, i4, i5."""
@@ -284,10 +286,9 @@ def known_site_future(rows: DataFrame) -> DataFrame:
 
 
 def average_precision(predictions: DataFrame) -> DataFrame:
-    """The area under precision against recall for predictions(y, p), over scores of four decimals (10001 rows at most)."""
-    steps = predictions.groupBy(F.round("p", 4).alias("p")).agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
-    above = Window.orderBy(F.desc("p"))
-    run = steps.withColumns({"at": F.sum("n").over(above), "found": F.sum("hits").over(above)})
+    """The area under precision against recall for predictions(y, p), a step for each distinct score."""
+    steps = predictions.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).withColumn("from_top", -F.col("p"))
+    run = running(steps, "from_top", {"n": "at", "hits": "found"})
     return run.agg(F.round(F.sum(F.col("hits") * F.col("found") / F.col("at")) / F.sum("hits"), 6).alias("pr_auc"))
 
 

@@ -113,12 +113,12 @@ class Tables:
         return self.read("events").select(k.alias("id"), F.concat(F.lit("r"), (F.col("user_id") % 6).cast("string")).alias("region_id"), F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("split_group"), (k % 2 + 1).alias("review_slots"), F.when(k % 5 == 0, "INDUSTRIAL").alias("silver"), F.when(k % 7 == 0, "UNKNOWN").when(k % 7 < 4, "AGRICULTURAL_BURN").alias("weak"))
 
     def reviews(self) -> DataFrame:
-        """Up to seven lines of an order as reviews of the case of its number."""
+        """The lines of an order, all of them, as reviews of the case of its number."""
         q = F.col("l_quantity").cast("long")
         label = F.when(q % 4 == 0, "INDUSTRIAL").when(q % 4 == 1, "INDUSTRIAL").when(q % 4 == 2, "VEGETATION_FIRE").otherwise("UNRESOLVED")
-        line = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-        return self.read("lineitem").withColumn("k", F.row_number().over(line)).filter("k = 1").select(
-            F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("seq"), F.when(F.col("l_returnflag") == "R", "ADJUDICATOR").otherwise("REVIEWER").alias("role"),
+        line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+        return self.read("lineitem").withColumn("k", F.row_number().over(line)).select(
+            F.col("l_orderkey").alias("id"), F.col("k").cast("long").alias("seq"), F.when(F.col("l_returnflag") == "R", "ADJUDICATOR").otherwise("REVIEWER").alias("role"),
             label.alias("source_label"), F.when(q % 3 == 0, "HIGH").when(q % 3 == 1, "MEDIUM").otherwise("LOW").alias("certainty"), (q % 2 == 0).alias("inside"), (F.col("l_suppkey") % 2 == 0).alias("qualifies"),
         )
 
@@ -158,10 +158,10 @@ CTE = {
     "places": "places AS (SELECT place, arg_min(lon, obs_id) AS lon, arg_min(lat, obs_id) AS lat FROM obs GROUP BY place)",
     "cases": """cases AS (SELECT event_id AS id, 'r' || (user_id % 6) AS region_id, 'g' || user_id AS split_group, event_id % 2 + 1 AS review_slots,
   CASE WHEN event_id % 5 = 0 THEN 'INDUSTRIAL' END AS silver, CASE WHEN event_id % 7 = 0 THEN 'UNKNOWN' WHEN event_id % 7 < 4 THEN 'AGRICULTURAL_BURN' END AS weak FROM events)""",
-    "reviews": """reviews AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS seq, CASE WHEN l_returnflag = 'R' THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role,
+    "reviews": """reviews AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS seq, CASE WHEN l_returnflag = 'R' THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role,
   CASE WHEN l_quantity::BIGINT % 4 < 2 THEN 'INDUSTRIAL' WHEN l_quantity::BIGINT % 4 = 2 THEN 'VEGETATION_FIRE' ELSE 'UNRESOLVED' END AS source_label,
   CASE l_quantity::BIGINT % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS certainty, l_quantity::BIGINT % 2 = 0 AS inside, l_suppkey % 2 = 0 AS qualifies
-  FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag) = 1)""",
+  FROM lineitem)""",
     "predictions": """predictions AS (SELECT l_orderkey AS id, CAST((l_partkey + l_linenumber) % 2 AS INTEGER) AS y, (l_quantity * 2 - 1) / 100 AS p,
   CAST((l_quantity * 2 - 1) / 100 >= 0.5 AS INTEGER) AS pred, l_suppkey % 10 AS grp FROM lineitem)""",
 }

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindertrace.functions import geo
-from cindertrace.operators import assessment, cases, context, episodes, landcover
+from cindertrace.operators import assessment, cases, context, episodes, hulls, landcover
 from cindertrace.operators.components import checkpointed
-from cindertrace.operators.spatial import self_pairs
 from cindertrace.plans.adapter import Tables, covers_sql, distance_sql, scale_sql, sql
 from cindertrace.registry import register
-from cindertrace.shipping import ship
 
 TABLES = "obs archive passes facilities areas snapshots pixels"
 SESSIONS = """, g AS (SELECT *, CASE WHEN acquired_at - lag(acquired_at) OVER w > INTERVAL 24 HOUR OR lag(acquired_at) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM archive WINDOW w AS (PARTITION BY place ORDER BY acquired_at, obs_id)),
@@ -215,18 +213,15 @@ def documents(t: Tables) -> DataFrame:
 @register(sql("obs", ", d AS (SELECT DISTINCT place, lon, lat FROM obs) SELECT a.place, round(max(" + distance_sql("a", "b") + "), 3) AS diameter_m, count(DISTINCT (a.lon, a.lat)) AS spots FROM d a JOIN d b USING (place) GROUP BY a.place"))
 def place_diameter(t: Tables) -> DataFrame:
     """The greatest distance within every place, over its distinct coordinates."""
-    spots = t.obs().select("place", "lon", "lat").distinct().withColumn("id", F.xxhash64("place", "lon", "lat"))
-    pairs = self_pairs(spots, 1500.0).join(spots.select(F.col("id").alias("a"), "place"), "a").join(spots.select(F.col("id").alias("b"), F.col("place").alias("q")), "b").filter("place = q")
-    far = pairs.groupBy("place").agg(F.max("distance_m").alias("m"))
-    return spots.groupBy("place").agg(F.count("*").alias("spots")).join(far, "place", "left").select("place", F.round(F.coalesce("m", F.lit(0.0)), 3).alias("diameter_m"), "spots")
+    spots = t.obs().select("place", "lon", "lat").distinct()
+    far = hulls.hulls(spots, "place").select("place", F.round(hulls.diameter_m(F.col("hull")), 3).alias("diameter_m"))
+    return far.join(spots.groupBy("place").agg(F.count("*").alias("spots")), "place")
 
 
 @register()
 def place_hull(t: Tables) -> DataFrame:
     """The hull of every place's distinct coordinates and its centre; held against brute force."""
-    ship(t.spark)
-    hull = t.obs().groupBy("place").agg(F.collect_set(F.struct("lon", "lat")).alias("p")).withColumn("hull", geo.convex_hull(F.col("p")))
-    return hull.select("place", "hull", geo.hull_centroid(F.col("hull")).alias("centre"))
+    return hulls.hulls(t.obs(), "place").select("place", "hull", geo.hull_centroid(F.col("hull")).alias("centre"))
 
 
 @register()

@@ -204,7 +204,7 @@ def abstention_choice(t: Tables) -> DataFrame:
     return features.choose_abstention(features.abstention_curve(rows, THRESHOLDS))
 
 
-@register(sql("predictions", ", s AS (SELECT round(p, 4) AS p, count(*) AS n, sum(y) AS hits FROM predictions GROUP BY 1), c AS (SELECT hits, sum(n) OVER (ORDER BY p DESC) AS seen, sum(hits) OVER (ORDER BY p DESC) AS found FROM s) SELECT round(sum(hits * found / seen) / sum(hits), 6) AS pr_auc FROM c"))
+@register(sql("predictions", ", s AS (SELECT p, count(*) AS n, sum(y) AS hits FROM predictions GROUP BY p), c AS (SELECT hits, sum(n) OVER (ORDER BY p DESC) AS seen, sum(hits) OVER (ORDER BY p DESC) AS found FROM s) SELECT round(sum(hits * found / seen) / sum(hits), 6) AS pr_auc FROM c"))
 def average_precision(t: Tables) -> DataFrame:
     return features.average_precision(t.predictions())
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.functions.polygons import built
 from cindertrace.operators.rules import first_match
 from cindertrace.shipping import ship
 
@@ -112,7 +113,10 @@ def payload_problem(payload: Column, most: int = 20_000) -> Column:
 
 
 def elements(payloads: DataFrame) -> DataFrame:
-    """One row for each element of payload(json): type, id, tags, rings, lon, lat, reason; the first of an id stays."""
+    """One row for each element of payload(json): type, id, tags, rings, lon, lat, reason; the first of an id stays.
+
+    rings are a valid polygon's (polygons.built), however the element draws it.
+    """
     ship(payloads.sparkSession)
     parsed = payloads.select(F.from_json("json", f"struct<elements:{ELEMENT}>").alias("p"))
     rows = parsed.select(F.posexplode("p.elements").alias("at", "e")).select("at", "e.*")
@@ -124,6 +128,7 @@ def elements(payloads: DataFrame) -> DataFrame:
     rings = F.when((F.col("type") == "way") & closed, F.array("geometry")).when((F.col("type") == "relation") & kinds & (F.size(lines) > 0), lines).otherwise(none)
     rows = rows.withColumn("rings", rings)
     rows = rows.withColumn("rings", F.when(F.col("type") == "relation", stitched(F.col("rings"))).otherwise(F.col("rings")))
+    rows = rows.withColumn("area", built(F.when(~F.exists(F.flatten("rings"), lambda p: p["lon"].isNull() | p["lat"].isNull()), F.col("rings"))))
     points = F.flatten("rings")
     outside = F.exists(points, lambda p: p["lon"].isNull() | p["lat"].isNull() | (F.abs(p["lon"]) > 180) | (F.abs(p["lat"]) > 90))
     reason = (
@@ -134,6 +139,6 @@ def elements(payloads: DataFrame) -> DataFrame:
         .when((F.col("type") == "relation") & (~kinds | (F.size(lines) == 0) | lines.isNull()), "UNSUPPORTED_RELATION")
         .when((F.col("type") == "relation") & F.col("rings").isNull(), "OPEN_RING")
         .when((F.col("type") != "node") & outside, "COORDINATE_OUT_OF_RANGE")
-        .when((F.col("type") != "node") & ~F.exists("rings", lambda r: F.abs(ring_area(r)) > 0), "INVALID_GEOMETRY")
+        .when((F.col("type") != "node") & ~F.coalesce(F.exists("area", lambda r: F.abs(ring_area(r)) > 0), F.lit(False)), "INVALID_GEOMETRY")
     )
-    return rows.select("type", "id", "tags", "rings", "lon", "lat", reason.alias("reason"))
+    return rows.select("type", "id", "tags", F.col("area").alias("rings"), "lon", "lat", reason.alias("reason"))
