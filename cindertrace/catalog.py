@@ -505,19 +505,6 @@ def held_out_counts(t: Tables) -> DataFrame:
     return joined.groupBy("region_id").agg(*[F.count_if(F.col("split") == s).alias(s.lower()) for s in ("TRAIN", "VALIDATION", "TEST")])
 
 
-@register()
-def gbt_scores(t: Tables) -> DataFrame:
-    rows = episode_rows(t)
-    return features.boosted_scores(rows, ["n", "duration_h", "max_frp", "median_frp", "night_fraction"], "target", "id")
-
-
-def episode_rows(t: Tables) -> DataFrame:
-    f = features.episode_features(episodes.sessions(t.obs(), "place"), "place", "session_no")
-    k = F.pmod(F.xxhash64("place"), F.lit(10))
-    split = F.when(k < 6, "TRAIN").when(k < 8, "VALIDATION").otherwise("TEST")
-    return f.select(F.concat_ws("-", "place", "session_no").alias("id"), F.col("n").cast("double").alias("n"), "duration_h", "max_frp", "median_frp", "night_fraction", split.alias("split"), ((F.col("max_frp") > 60) | (F.col("place") % 5 == 0)).cast("int").alias("target")).fillna(0, ["target"])
-
-
 @register("WITH i AS (SELECT l_partkey AS id, l_linenumber % 2 AS payload, l_orderkey * 10 + l_linenumber AS row_number FROM lineitem), k AS (SELECT p_partkey AS id, 1 AS payload FROM part WHERE p_partkey % 3 = 0), r AS (SELECT i.*, k.payload AS known, row_number() OVER (PARTITION BY id ORDER BY row_number) AS n, first_value(i.payload) OVER (PARTITION BY id ORDER BY row_number) AS first FROM i LEFT JOIN k USING (id)) SELECT id, row_number, CASE WHEN payload <> coalesce(known, first) THEN 'SOURCE_REVISION_CONFLICT' WHEN n = 1 AND known IS NULL THEN 'INSERTED' ELSE 'DUPLICATE' END AS outcome FROM r")
 def ingest_dedupe(t: Tables) -> DataFrame:
     rows = t.read("lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_linenumber") % 2).alias("payload"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_number"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.operators.components import checkpointed
 from cindertrace.operators.ranks import running
 
 
@@ -105,29 +107,87 @@ def bootstrap_interval(predictions: DataFrame, group: str, replicates: int = 100
     return drawn.agg(F.count("*").alias("replicates"), F.round(F.expr("percentile(accuracy, 0.025)"), 9).alias("low"), F.round(F.expr("percentile(accuracy, 0.975)"), 9).alias("high"))
 
 
-def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, rounds: int = 300) -> DataFrame:
-    """key, y, p by gradient-boosted trees with class weights, calibrated on the split VALIDATION.
+#: Rows that one task of a fit holds.
+FIT_ROWS = 50_000
 
-    Missing inputs get a column that says so, and a value beyond all others.
-    """
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+class Trees:
+    """Gradient-boosted trees with class weights. Missing inputs get a column that says so, and a value beyond all others."""
+
+    def __init__(self, inputs: list[str], rounds: int = 300):
+        self.inputs, self.rounds = inputs, rounds
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        """rows with the column `features`."""
+        from pyspark.ml.feature import VectorAssembler
+
+        told = {f"{c}_missing": F.col(c).isNull().cast("double") for c in self.inputs}
+        numbers = {c: F.coalesce(F.col(c).cast("double"), F.lit(-999.0)) for c in self.inputs}
+        return VectorAssembler(inputCols=[*self.inputs, *told], outputCol="features").transform(rows.withColumns(told).withColumns(numbers)).drop(*told)
+
+    def fit(self, train: DataFrame, target: str) -> Trees:
+        """On prepared rows, whose number decides in how many parts they are held while trees are built."""
+        from pyspark.ml.classification import GBTClassifier
+
+        n, share = train.agg(F.count("*"), F.avg(F.col(target).cast("double"))).first()
+        share = min(max(share or 0.0, 1 / max(n, 1)), 1 - 1 / max(n, 2))
+        weight = F.when(F.col(target) == 1, (1 - share) / share).otherwise(1.0)
+        own = train.select("features", F.col(target).cast("double").alias("label"), weight.alias("weight")).coalesce(max(1, -(-n // FIT_ROWS))).persist()
+        trees = GBTClassifier(maxIter=self.rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=2, seed=7, weightCol="weight")
+        self.model = trees.fit(own)
+        own.unpersist()
+        return self
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Prepared rows with p."""
+        from pyspark.ml.functions import vector_to_array
+
+        return self.model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def calibrated(rows: DataFrame, validation: DataFrame, target: str) -> DataFrame:
+    """rows(p) with p calibrated by a logistic fit on validation(p, target); as it is where a class has fewer than 5 rows there."""
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    told = {f"{c}_missing": F.col(c).isNull().cast("double") for c in inputs}
-    filled = rows.withColumns(told).fillna(-999.0, inputs).withColumn("label", F.col(target).cast("double"))
-    data = VectorAssembler(inputCols=[*inputs, *told], outputCol="features").transform(filled)
-    train = data.filter("split = 'TRAIN'")
-    share = train.agg(F.avg("label")).first()[0] or 0.5
-    train = train.withColumn("weight", F.when(F.col("label") == 1, (1 - share) / max(share, 1e-6)).otherwise(1.0))
-    model = GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, seed=7, weightCol="weight").fit(train)
+    if min(validation.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()) < 5:
+        return rows
+    inside = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    logit = F.ln(inside / (1 - inside))
+    own = VectorAssembler(inputCols=["logit"], outputCol="x").transform(validation.select(logit.alias("logit"), F.col(target).cast("double").alias("label")))
+    fit = LogisticRegression(featuresCol="x", labelCol="label").fit(own)
+    return rows.withColumn("p", 1 / (1 + F.exp(-(float(fit.coefficients[0]) * logit + float(fit.intercept)))))
 
-    def logit(df: DataFrame) -> DataFrame:
-        raw = model.transform(df).withColumn("p0", F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-6)), F.lit(1 - 1e-6)))
-        return VectorAssembler(inputCols=["logit"], outputCol="x").transform(raw.withColumn("logit", F.ln(F.col("p0") / (1 - F.col("p0")))))
 
-    calibrated = LogisticRegression(featuresCol="x", labelCol="label", probabilityCol="cp", rawPredictionCol="cr", predictionCol="cy").fit(logit(data.filter("split = 'VALIDATION'")))
-    return calibrated.transform(logit(data)).select(key, F.col("label").cast("int").alias("y"), vector_to_array("cp")[1].alias("p"), "split")
+def boosted_scores(rows: DataFrame, inputs: list[str], target: str, key: str, rounds: int = 300) -> DataFrame:
+    """key, y, p, split of rows(key, split, target, inputs): trees fitted on the split TRAIN, calibrated on VALIDATION."""
+    trees = Trees(inputs, rounds)
+    data = checkpointed(trees.prepared(rows.filter(F.col(target).isNotNull())))
+    scored = trees.fit(data.filter("split = 'TRAIN'"), target).scored(data)
+    return calibrated(scored, scored.filter("split = 'VALIDATION'"), target).select(key, F.col(target).cast("int").alias("y"), "p", "split")
+
+
+def held_out_scores(rows: DataFrame, inputs: list[str], key: str = "id", rounds: int = 300) -> DataFrame:
+    """key, region_id, y, p of TEST rows, each scored by trees fitted on the TRAIN rows of all other regions (not calibrated).
+
+    rows: key, region_id, split, target, inputs; only regions that held_out_regions() tells to be SCORED
+    take part. The fits are independent, so some run at a time.
+    """
+    trees = Trees(inputs, rounds)
+    data = checkpointed(trees.prepared(rows))
+    regions = sorted(r["region_id"] for r in held_out_regions(data).filter("status = 'SCORED'").collect())  # a catalogue of some dozens
+
+    def one(region: str) -> DataFrame:
+        held = F.col("region_id") == region
+        own = Trees(inputs, rounds).fit(data.filter((F.col("split") == "TRAIN") & ~held), "target")
+        return own.scored(data.filter((F.col("split") == "TEST") & held)).select(key, "region_id", F.col("target").cast("int").alias("y"), "p")
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(one, regions))
+    out = data.filter("false").select(key, "region_id", F.col("target").cast("int").alias("y"), F.lit(0.0).alias("p"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 # The inputs of a model, by where they come from, and what is stored beside them.
@@ -248,8 +308,8 @@ def support(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split").agg(F.count_if(F.col("target") == 1).alias("positive"), F.count_if(F.col("target") == 0).alias("negative"))
 
 
-def gate(rows: DataFrame, weak: bool = False, gain_low: float | None = None) -> DataFrame:
-    """One row: least (cases of the rarer class by split) and status, for rows(split, target) that are usable.
+def gate(rows: DataFrame, weak: bool = False, gain_low: float | None = None, by: str | None = None) -> DataFrame:
+    """One row (or one of each `by`): cases of the rarer class by split, and status, for rows(split, target) that are usable.
 
     gain_low: the lower end of the interval of the gain over the best baseline, once it is known.
     """
@@ -258,7 +318,7 @@ def gate(rows: DataFrame, weak: bool = False, gain_low: float | None = None) ->
         own = F.col("split") == split
         return F.least(F.count_if(own & (F.col("target") == 1)), F.count_if(own & (F.col("target") == 0)))
 
-    counts = rows.agg(least("TRAIN").alias("train"), least("VALIDATION").alias("validation"), least("TEST").alias("test"))
+    counts = rows.groupBy(*[by] * bool(by)).agg(least("TRAIN").alias("train"), least("VALIDATION").alias("validation"), least("TEST").alias("test"))
     enough = (F.col("train") >= LEAST_TRAIN) & (F.col("validation") >= LEAST_VALIDATION) & (F.col("test") >= LEAST_TEST)
     promoted = (F.col("test") >= LEAST_PROMOTE) & F.lit(gain_low is not None and gain_low > 0)
     status = F.lit("DRY_RUN_NOT_EVIDENCE") if weak else F.when(~enough, "INSUFFICIENT_LABELS").when(promoted, "PROMOTED").otherwise("EVALUATED_NOT_PROMOTED")

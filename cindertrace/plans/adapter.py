@@ -108,6 +108,25 @@ class Tables:
     def places(self) -> DataFrame:
         return self.obs().groupBy("place").agg(F.min_by("lon", "obs_id").alias("lon"), F.min_by("lat", "obs_id").alias("lat"))
 
+    def sites(self) -> DataFrame:
+        """Places moved into threes with gaps between: the second lies within 2 km of the first, the third within 3 km of the second."""
+        u = F.col("user_id")
+        v = u % 50
+        own = self.read("events").select(u.alias("site")).distinct().withColumn("user_id", F.col("site"))
+        return own.select("site", F.concat(F.lit("r"), (F.floor(v / 3) % 4).cast("string")).alias("region_id"), (69.5 + 0.08 * F.floor(v / 3) + F.when(v % 3 == 0, 0.0).when(v % 3 == 1, 0.015).otherwise(0.0405)).alias("lon"), (22.0 + 0.08 * F.floor(u / 50)).alias("lat"))
+
+    def site_plants(self) -> DataFrame:
+        """Registered plants between the second and the third site of a three; those of two kinds only are known."""
+        k = F.col("c_custkey")
+        v = k % 50
+        return self.read("customer").filter(F.col("c_mktsegment").isin("AUTOMOBILE", "MACHINERY")).select(k.alias("fac_id"), (69.5 + 0.08 * F.floor(v / 3) + 0.02775).alias("lon"), (22.0 + 0.08 * F.floor(k / 50)).alias("lat"))
+
+    def site_areas(self) -> DataFrame:
+        """Mapped areas beside the first sites of threes."""
+        k = F.col("s_suppkey")
+        v = k % 50
+        return self.read("supplier").select(k.alias("fac_id"), (69.5 + 0.08 * F.floor(v / 3) + 0.004).alias("lon"), (22.0 + 0.08 * F.floor(k / 50)).alias("lat"))
+
     def cases(self) -> DataFrame:
         k = F.col("event_id")
         return self.read("events").select(k.alias("id"), F.concat(F.lit("r"), (F.col("user_id") % 6).cast("string")).alias("region_id"), F.concat(F.lit("g"), F.col("user_id").cast("string")).alias("split_group"), (k % 2 + 1).alias("review_slots"), F.when(k % 5 == 0, "INDUSTRIAL").alias("silver"), F.when(k % 7 == 0, "UNKNOWN").when(k % 7 < 4, "AGRICULTURAL_BURN").alias("weak"))
@@ -156,6 +175,9 @@ CTE = {
   (['LNG','REFINERY','PETROCHEMICAL','STEEL','POWER','MINE','OTHER','UNKNOWN'])[s_nationkey % 8 + 1] AS facility_type FROM supplier)""",
     "plants": """plants AS (SELECT c_custkey AS plant_id, 69.49::DOUBLE + 0.007::DOUBLE*(c_custkey % 150) AS lon, 21.99::DOUBLE + 0.007::DOUBLE*floor(c_custkey / 150) AS lat, c_mktsegment AS fuel FROM customer)""",
     "places": "places AS (SELECT place, arg_min(lon, obs_id) AS lon, arg_min(lat, obs_id) AS lat FROM obs GROUP BY place)",
+    "sites": """sites AS (SELECT user_id AS site, 'r' || CAST(floor(user_id % 50 / 3) % 4 AS BIGINT) AS region_id, 69.5::DOUBLE + 0.08::DOUBLE * floor(user_id % 50 / 3) + CASE user_id % 50 % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.015::DOUBLE ELSE 0.0405::DOUBLE END AS lon, 22.0::DOUBLE + 0.08::DOUBLE * floor(user_id / 50) AS lat FROM (SELECT DISTINCT user_id FROM events))""",
+    "site_plants": """site_plants AS (SELECT c_custkey AS fac_id, 69.5::DOUBLE + 0.08::DOUBLE * floor(c_custkey % 50 / 3) + 0.02775::DOUBLE AS lon, 22.0::DOUBLE + 0.08::DOUBLE * floor(c_custkey / 50) AS lat FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY'))""",
+    "site_areas": """site_areas AS (SELECT s_suppkey AS fac_id, 69.5::DOUBLE + 0.08::DOUBLE * floor(s_suppkey % 50 / 3) + 0.004::DOUBLE AS lon, 22.0::DOUBLE + 0.08::DOUBLE * floor(s_suppkey / 50) AS lat FROM supplier)""",
     "cases": """cases AS (SELECT event_id AS id, 'r' || (user_id % 6) AS region_id, 'g' || user_id AS split_group, event_id % 2 + 1 AS review_slots,
   CASE WHEN event_id % 5 = 0 THEN 'INDUSTRIAL' END AS silver, CASE WHEN event_id % 7 = 0 THEN 'UNKNOWN' WHEN event_id % 7 < 4 THEN 'AGRICULTURAL_BURN' END AS weak FROM events)""",
     "reviews": """reviews AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS seq, CASE WHEN l_returnflag = 'R' THEN 'ADJUDICATOR' ELSE 'REVIEWER' END AS role,

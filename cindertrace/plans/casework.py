@@ -109,35 +109,34 @@ def silver_labels(t: Tables) -> DataFrame:
     return near(a.subjects(t).select("sid", "lon", "lat"), plants.select("plant_id", "lon", "lat"), cases.REGISTRY_M).select("sid", F.lit("INDUSTRIAL").alias("silver")).distinct()
 
 
-GROUPS = f""", sl AS (SELECT 'area' AS kind, f.fac_id AS k, p.place FROM places p JOIN facilities f ON abs(p.lat - f.lat) < 0.05 AND abs(p.lon - f.lon) < 0.05 AND {distance_sql('p', 'f')} <= 500 UNION ALL SELECT 'plant', r.plant_id, p.place FROM places p JOIN plants r ON abs(p.lat - r.lat) < 0.05 AND abs(p.lon - r.lon) < 0.05 AND {distance_sql('p', 'r')} <= 1500),
- ed AS (SELECT a.place AS a, b.place AS b FROM places a JOIN places b ON a.place <> b.place AND abs(a.lat - b.lat) < 0.03 AND abs(a.lon - b.lon) < 0.03 AND {distance_sql('a', 'b')} <= 2000 UNION SELECT x.place, y.place FROM sl x JOIN sl y USING (kind, k) WHERE x.place <> y.place),
- w(node, root) AS (SELECT place, place FROM places UNION SELECT ed.b, w.root FROM w JOIN ed ON ed.a = w.node), grp AS (SELECT node AS place, min(root) AS split_group FROM w GROUP BY node)"""
+GROUPS = f""", sl AS (SELECT 'area' AS kind, f.fac_id AS k, p.site FROM sites p JOIN site_areas f ON abs(p.lat - f.lat) < 0.05 AND abs(p.lon - f.lon) < 0.05 AND {distance_sql('p', 'f')} <= 500 UNION ALL SELECT 'plant', r.fac_id, p.site FROM sites p JOIN site_plants r ON abs(p.lat - r.lat) < 0.05 AND abs(p.lon - r.lon) < 0.05 AND {distance_sql('p', 'r')} <= 1500),
+ ed AS (SELECT a.site AS a, b.site AS b FROM sites a JOIN sites b ON a.site <> b.site AND abs(a.lat - b.lat) < 0.03 AND abs(a.lon - b.lon) < 0.03 AND {distance_sql('a', 'b')} <= 2000 UNION SELECT x.site, y.site FROM sl x JOIN sl y USING (kind, k) WHERE x.site <> y.site),
+ w(node, root) AS (SELECT site, site FROM sites UNION SELECT ed.b, w.root FROM w JOIN ed ON ed.a = w.node), grp AS (SELECT node AS site, min(root) AS split_group FROM w GROUP BY node)"""
 
 
 def groups(t: Tables) -> DataFrame:
-    plants = t.plants().select(F.col("plant_id").alias("fac_id"), "lon", "lat")
-    return cases.site_groups(t.places().withColumnRenamed("place", "site"), t.facilities(), plants)
+    return cases.site_groups(t.sites(), t.site_areas(), t.site_plants())
 
 
-@register(sql("obs places facilities plants", GROUPS + " SELECT place AS site, split_group FROM grp").replace("WITH ", "WITH RECURSIVE ", 1))
+@register(sql("sites site_areas site_plants", GROUPS + " SELECT site, split_group FROM grp").replace("WITH ", "WITH RECURSIVE ", 1))
 def facility_aware_groups(t: Tables) -> DataFrame:
     return groups(t)
 
 
 CUTOFF = "2024-01-20"
-SPLIT_SQL = """, cs AS (SELECT sid AS id, 'r' || (place % 6) AS region_id, CAST(split_group AS VARCHAR) AS split_group, place, as_of FROM sub JOIN grp USING (place)), g1 AS (SELECT region_id, split_group, count(*) AS n, sha256('split-v1' || chr(31) || split_group) AS hh FROM cs GROUP BY ALL),
+SPLIT_SQL = """, cs AS (SELECT sid AS id, region_id, CAST(split_group AS VARCHAR) AS split_group, place, as_of FROM sub JOIN grp ON grp.site = place JOIN sites ON sites.site = place), g1 AS (SELECT region_id, split_group, count(*) AS n, sha256('split-v1' || chr(31) || split_group) AS hh FROM cs GROUP BY ALL),
  g2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY region_id ORDER BY hh ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY region_id) AS share, row_number() OVER (PARTITION BY region_id ORDER BY hh DESC) AS back, count(*) OVER (PARTITION BY region_id) AS k FROM g1), g3 AS (SELECT *, CASE WHEN share < 0.6 THEN 'TRAIN' WHEN share < 0.8 THEN 'VALIDATION' ELSE 'TEST' END AS s0 FROM g2),
  g4 AS (SELECT *, CASE WHEN k >= 3 AND back = 1 AND NOT bool_or(s0 = 'TEST') OVER (PARTITION BY region_id) THEN 'TEST' ELSE s0 END AS s1 FROM g3), g5 AS (SELECT region_id, split_group, CASE WHEN k >= 3 AND back = 2 AND NOT bool_or(s1 = 'VALIDATION') OVER (PARTITION BY region_id) THEN 'VALIDATION' ELSE s1 END AS split FROM g4),
  cset AS (SELECT id, region_id, split_group, split, CASE WHEN as_of < TIMESTAMP '""" + CUTOFF + """' THEN 'BEFORE' ELSE 'AFTER' END AS forward_period, CASE WHEN split = 'TEST' THEN 2 ELSE 1 END AS review_slots FROM cs JOIN g5 USING (region_id, split_group))"""
 
 
 def case_rows(t: Tables) -> DataFrame:
-    s = a.subjects(t).select(F.col("sid").alias("id"), F.col("place").alias("site"), F.concat(F.lit("r"), (F.col("place") % 6).cast("string")).alias("region_id"), "as_of")
+    s = a.subjects(t).select(F.col("sid").alias("id"), F.col("place").alias("site"), "as_of").join(t.sites().select("site", "region_id"), "site")
     own = groups(t).withColumn("split_group", F.col("split_group").cast("string"))
     return cases.build(s, own, CUTOFF).select("id", "region_id", "split_group", "split", "forward_period", "review_slots")
 
 
-CASE_TABLES = "obs archive places facilities plants"
+CASE_TABLES = "obs archive sites site_areas site_plants"
 
 
 @register(sql(CASE_TABLES, a.SUBJECTS + GROUPS + SPLIT_SQL + " SELECT * FROM cset").replace("WITH ", "WITH RECURSIVE ", 1))
@@ -174,11 +173,37 @@ def model_gate(t: Tables) -> DataFrame:
     return features.gate(cases.usable(training_rows(t)), gain_low=0.01)
 
 
+@register(recursive(CASE_TABLES, TRAINING + f", k AS (SELECT region_id, {', '.join(LEAST.format(s, s.lower()) for s in ('TRAIN', 'VALIDATION', 'TEST'))} FROM tr WHERE{USABLE} GROUP BY region_id) SELECT k.*, gain, CASE WHEN NOT (train >= 20 AND validation >= 5 AND test >= 10) THEN 'INSUFFICIENT_LABELS' WHEN test >= 30 AND gain > 0 THEN 'PROMOTED' ELSE 'EVALUATED_NOT_PROMOTED' END AS status FROM k, (VALUES (0.01::DOUBLE), (-0.02::DOUBLE)) v(gain)"))
+def model_gates(t: Tables) -> DataFrame:
+    """Of each region by itself, once with a gain whose interval lies above zero and once without."""
+    rows = cases.usable(training_rows(t))
+    return features.gate(rows, gain_low=0.01, by="region_id").withColumn("gain", F.lit(0.01)).unionByName(features.gate(rows, gain_low=-0.02, by="region_id").withColumn("gain", F.lit(-0.02)))
+
+
 @register(recursive(CASE_TABLES, TRAINING + f", u AS (SELECT * FROM tr WHERE{USABLE}), y AS (SELECT region_id, count(*) FILTER (split = 'TRAIN' AND target = 1) AS p, count(*) FILTER (split = 'TRAIN' AND target = 0) AS n, count(*) FILTER (split = 'TEST') AS test_cases FROM u GROUP BY region_id) SELECT region_id, test_cases, CASE WHEN least((SELECT sum(p) FROM y) - p, (SELECT sum(n) FROM y) - n) < 20 THEN 'INSUFFICIENT_TRAINING_LABELS' ELSE 'SCORED' END AS status FROM y WHERE test_cases > 0"))
 def held_out_regions(t: Tables) -> DataFrame:
     return features.held_out_regions(cases.usable(training_rows(t)))
 
 
+def model_rows(t: Tables) -> DataFrame:
+    """Usable cases with their target and all inputs."""
+    own = checkpointed(inputs(t).withColumnRenamed("sid", "id").select("id", *features.FEATURES))
+    return cases.usable(training_rows(t)).select("id", "region_id", "split", "split_group", "target").join(own, "id")
+
+
+@register()
+def gbt_scores(t: Tables) -> DataFrame:
+    """300 trees over all inputs; their seeds are Spark's, so SQL has no counterpart."""
+    return features.boosted_scores(model_rows(t), features.FEATURES, "target", "id")
+
+
+@register(recursive(CASE_TABLES, TRAINING + f", u AS (SELECT * FROM tr WHERE{USABLE}), y AS (SELECT region_id, count(*) FILTER (split = 'TRAIN' AND target = 1) AS p, count(*) FILTER (split = 'TRAIN' AND target = 0) AS n FROM u GROUP BY region_id), ok AS (SELECT region_id FROM y WHERE least((SELECT sum(p) FROM y) - p, (SELECT sum(n) FROM y) - n) >= 20) SELECT region_id, target AS y, count(*) AS cases, count(*) AS scored FROM u JOIN ok USING (region_id) WHERE split = 'TEST' GROUP BY ALL"))
+def held_out_pooled(t: Tables) -> DataFrame:
+    """What the fits of all held-out regions have scored, by region and class."""
+    scored = features.held_out_scores(model_rows(t), features.FEATURES)
+    return scored.groupBy("region_id", "y").agg(F.count("*").alias("cases"), F.count_if(F.col("p").between(0, 1)).alias("scored"))
+
+
 @register(recursive(CASE_TABLES, TRAINING + ", b AS (SELECT * FROM tr WHERE forward_period = 'BEFORE' AND target IS NOT NULL AND tier IN ('GOLD', 'SILVER')), f AS (SELECT * FROM tr WHERE forward_period = 'AFTER' AND target IS NOT NULL AND test_eligible AND split_group IN (SELECT split_group FROM b)) SELECT (SELECT count(*) FROM b) AS train_cases, (SELECT count(*) FROM f) AS test_cases, CASE WHEN (SELECT least(count(*) FILTER (target = 1), count(*) FILTER (target = 0)) FROM b) < 20 OR (SELECT least(count(*) FILTER (target = 1), count(*) FILTER (target = 0)) FROM f) < 10 THEN 'INSUFFICIENT_LABELS' ELSE 'EVALUATED' END AS status"))
 def known_site_future(t: Tables) -> DataFrame:
     rows = training_rows(t).withColumn("fit_for_test", F.col("test_eligible"))
