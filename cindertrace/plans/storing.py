@@ -1,7 +1,8 @@
-"""Queries over stored runs: what a second run, built from a first one, holds and how it relates to it."""
+"""Queries over stored runs (a second run, built from a first one) and over observations that arrive as a stream."""
 
 from __future__ import annotations
 
+from datetime import timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from cindertrace.operators import increments
 from cindertrace.operators.components import shared_folder
 from cindertrace.plans.adapter import Tables, sql
 from cindertrace.registry import register
+from cindertrace.streaming.assembly import episodes_stream
 
 
 def episodes_sql(name: str, where: str = "true") -> str:
@@ -74,3 +76,27 @@ def newest_run_entry(t: Tables) -> DataFrame:
     entry = increments.Ledger(t.spark, stored(t)).newest()
     row = t.spark.createDataFrame([(entry["inputs"], entry["events"], entry["sites"], entry["late"], entry["earliest_late"])], "inputs long, events long, sites long, late long, earliest string")
     return row.select("inputs", "events", "sites", "late", F.unix_timestamp(F.col("earliest").cast("timestamp")).cast("double").alias("earliest_late"))
+
+
+#: Which of three arrivals an observation comes with: in time, but for every third that comes up to three days late and a few that come last of all.
+ARRIVAL = "CASE WHEN obs_id % 97 = 0 THEN 2 WHEN acquired_at < CASE WHEN obs_id % 3 = 0 THEN TIMESTAMP '2024-01-08' ELSE TIMESTAMP '2024-01-11' END THEN 0 WHEN acquired_at < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+DELAY = timedelta(days=7)
+#: Later than the delay when they come; and what the stream has taken in by its end.
+LATE = f"({ARRIVAL} = 1 AND acquired_at < (SELECT max(acquired_at) FROM obs WHERE {ARRIVAL} = 0) - INTERVAL 7 DAY OR {ARRIVAL} = 2 AND acquired_at < (SELECT max(acquired_at) FROM obs WHERE {ARRIVAL} < 2) - INTERVAL 7 DAY)"
+BOUND = "(SELECT max(acquired_at) FROM obs) - INTERVAL 7 DAY"
+
+
+@register(recursive(episodes_sql("e", f"NOT {LATE} AND acquired_at < {BOUND}") + f""", ev AS (SELECT place, anchor, min(acquired_at) AS started_at, max(acquired_at) AS ended_at, count(*) AS n FROM e GROUP BY place, anchor)
+ SELECT 'EPISODE' AS kind, place, anchor, CAST(epoch(started_at) AS BIGINT) AS started_at, CAST(epoch(ended_at) AS BIGINT) AS ended_at, n FROM ev WHERE {BOUND} - ended_at > INTERVAL 24 HOUR OR {BOUND} - started_at > INTERVAL 168 HOUR
+ UNION ALL SELECT 'LATE', place, obs_id, CAST(epoch(acquired_at) AS BIGINT), CAST(epoch(acquired_at) AS BIGINT), 1 FROM obs WHERE {LATE}"""))
+def streamed_episodes(t: Tables) -> DataFrame:
+    """Episodes that have closed, and late observations, when all observations have come in three arrivals."""
+    folder = f"{shared_folder(t.spark)}/stream-{uuid4().hex}"
+    rows = t.obs().select(F.col("obs_id").alias("id"), "place", "acquired_at", "lon", "lat", F.expr(ARRIVAL).alias("arrival"))
+    for k in range(3):
+        rows.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        source = t.spark.readStream.schema(rows.drop("arrival").schema).parquet(f"{folder}/in")
+        out = episodes_stream(source, "place", delay=DELAY).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+        out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    found = t.spark.read.parquet(f"{folder}/out")
+    return found.select("kind", "place", "anchor", F.unix_timestamp("started_at").alias("started_at"), F.unix_timestamp("ended_at").alias("ended_at"), F.size("members").cast("long").alias("n"))
