@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindertrace.operators import context, history, rules
+from cindertrace.operators import coverage, history, rules
 from cindertrace.operators.spatial import near
 
 # The history's radius and look-back, and the products that are one sensor's record.
@@ -27,31 +27,34 @@ def product_family(product: Column) -> Column:
 
 
 def covered_days(subjects: DataFrame, passes: DataFrame, mode: str, operational: bool = False) -> DataFrame:
-    """sid, product, day: days that a complete retrieval covers around each subject, known by then if operational.
+    """sid, product, block, bits: days that a complete retrieval covers around each subject (coverage.covered)."""
+    return coverage.covered(subjects, passes, mode, SITE_M, LOOK_BACK_DAYS, operational)
 
-    Retrievals come in few boxes: days are told apart by box first, and subjects meet boxes, not runs.
+
+def as_of_history(subjects: DataFrame, detections: DataFrame, days: DataFrame, operational: bool = False) -> DataFrame:
+    """Detections around each subject up to its as_of, with `kept`: false where the archive supersedes them.
+
+    The join is on a cell and a slab of LOOK_BACK_DAYS, of which a subject's look-back touches two, so a
+    place's earlier years meet nobody. days: as covered_days() gives them.
     """
-    corners = ["west", "south", "east", "north"]
-    good = passes.filter((F.col("mode") == mode) & (F.col("status") == "SUCCEEDED") & (F.col("rejected_rows") == 0)).withColumn("box", F.xxhash64(*corners))
-    days = good.select("box", "product", F.explode(F.sequence("start_date", "end_date")).alias("day"), "received_at").groupBy("box", "product", "day").agg(F.min("received_at").alias("received_at"))
-    boxes = context.covering(subjects.select("sid", "lon", "lat", "as_of"), good.select("box", *corners).distinct(), F.lit(SITE_M)).select("sid", "as_of", "box")
-    found = boxes.join(days, "box")
-    first = F.date_sub(F.to_date("as_of"), LOOK_BACK_DAYS)
-    found = found.filter((F.col("day") >= first) & (F.col("day") <= F.to_date("as_of")))
-    return (found.filter(F.col("received_at") <= F.col("as_of")) if operational else found).select("sid", "product", "day").distinct()
 
+    def slab(at: Column) -> Column:
+        return F.floor(F.unix_seconds(at) / (86400 * LOOK_BACK_DAYS))
 
-def as_of_history(subjects: DataFrame, detections: DataFrame, days: DataFrame, operational: bool = False) -> DataFrame:
-    """Detections around each subject up to its as_of, with `kept`: false where the archive supersedes them."""
-    own = detections.withColumnsRenamed({"lon": "h_lon", "lat": "h_lat"}).withColumnsRenamed({"h_lon": "lon", "h_lat": "lat"})
-    rows = near(subjects.select("sid", "lon", "lat", "as_of"), own.select("obs_id", "lon", "lat", "acquired_at", "frp_mw", "satellite", "daynight", "product", "available_at"), SITE_M)
+    as_of = F.col("as_of")
+    slabs = F.array(slab(as_of) - 1, slab(as_of))
+    asked = subjects.select("sid", "lon", "lat", "as_of", F.explode(slabs).alias("slab"))
+    own = detections.select("obs_id", "lon", "lat", "acquired_at", "frp_mw", "satellite", "daynight", "product", "available_at", slab(F.col("acquired_at")).alias("slab"))
+    rows = near(own, asked, SITE_M, on=["slab"])
     rows = rows.filter((F.col("acquired_at") <= F.col("as_of")) & (F.col("acquired_at") > F.col("as_of") - F.make_dt_interval(F.lit(LOOK_BACK_DAYS))))
     if operational:
         rows = rows.filter(F.col("available_at") <= F.col("as_of"))
     rows = rows.select("sid", "as_of", "obs_id", "acquired_at", "frp_mw", "satellite", "daynight", "product", F.to_date("acquired_at").alias("day"))
     archive = F.max((F.col("product") == "SP").cast("int")).over(Window.partitionBy("sid", "acquired_at")) == 1
-    rows = rows.withColumn("archive", archive).join(days.filter("product = 'SP'").select("sid", "day", F.lit(True).alias("sp_day")), ["sid", "day"], "left")
-    return rows.withColumn("kept", (F.col("product") == "SP") | ~(F.coalesce("sp_day", F.lit(False)) | F.col("archive"))).drop("archive", "sp_day")
+    day = F.col("day")
+    rows = rows.withColumns({"archive": archive, "block": coverage.block_of(day)}).join(days.filter("product = 'SP'").select("sid", "block", "bits"), ["sid", "block"], "left")
+    sp_day = F.coalesce(F.getbit("bits", coverage.bit_of(day)) == 1, F.lit(False))
+    return rows.withColumn("kept", (F.col("product") == "SP") | ~(sp_day | F.col("archive"))).drop("archive", "block", "bits")
 
 
 def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tuple[int, ...] = history.WINDOWS) -> DataFrame:
@@ -73,7 +76,8 @@ def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tup
     seen = live.groupBy("sid").agg(*measures)
     dropped = rows.groupBy("sid").agg(F.count_if(~F.col("kept")).alias("superseded"))
     began = F.to_date(start)
-    covered = subjects.select("sid", "as_of").join(days.select("sid", "day").distinct(), "sid").groupBy("sid").agg(*[F.count_if((F.col("day") < began) & (F.col("day") >= F.date_sub(began, d))).alias(f"covered_{d}") for d in windows])
+    block, bits = F.col("block"), F.col("bits")
+    covered = subjects.select("sid", "as_of").join(coverage.any_product(days), "sid").groupBy("sid").agg(*[F.sum(coverage.days_in(bits, block, F.date_sub(began, d), began)).alias(f"covered_{d}") for d in windows])
     passes = live.filter("frp_mw IS NOT NULL").groupBy("sid", "start", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
     by = ["sid", "satellite", "daynight"]
     current = passes.filter(now).groupBy(*by).agg(F.round(F.max("frp"), 3).alias("current_frp"))

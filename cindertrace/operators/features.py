@@ -8,6 +8,7 @@ from math import exp, factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.operators import coverage
 from cindertrace.operators.components import checkpointed
 from cindertrace.operators.ranks import running
 
@@ -223,7 +224,7 @@ def episode_inputs(members: DataFrame, *keys: str) -> DataFrame:
 def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataFrame:
     """sid, the HISTORY inputs and what is stored beside them: strictly before each subject's started_at.
 
-    rows: sid, acquired_at, satellite, daynight, frp_mw. days: sid, day.
+    rows: sid, acquired_at, satellite, daynight, frp_mw. days: as assessment.covered_days() gives them.
     """
     own = subjects.select("sid", "started_at")
     before = rows.join(own, "sid").filter(F.col("acquired_at") < F.col("started_at"))
@@ -239,7 +240,7 @@ def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataF
     passes = before.filter(within(90) & F.col("frp_mw").isNotNull()).groupBy("sid", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
     strength = passes.groupBy("sid").agg(F.round(F.median("frp"), 6).alias("history_frp_median_90"))
     start = F.to_date("started_at")
-    covered = own.join(days.select("sid", "day").distinct(), "sid").groupBy("sid").agg(*[F.round(F.count_if((F.col("day") < start) & (F.col("day") >= F.date_sub(start, d))) / d, 4).alias(f"coverage_{d}") for d in (90, 180)])
+    covered = own.join(coverage.any_product(days), "sid").groupBy("sid").agg(*[F.round(F.sum(coverage.days_in(F.col("bits"), F.col("block"), F.date_sub(start, d), start)) / d, 4).alias(f"coverage_{d}") for d in (90, 180)])
     out = subjects.select("sid").join(seen, "sid", "left").join(strength, "sid", "left").join(covered, "sid", "left")
     zero = ["active_days_30", "active_days_90", "active_days_180", "overpasses_90"]
     return out.fillna(0, zero).fillna(0.0, ["coverage_90", "coverage_180"]).fillna(DAYS_CAP, ["days_since_last"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindertrace.functions import geo
 from cindertrace.operators import assessment, cases, context, episodes, hulls, landcover
-from cindertrace.operators.components import checkpointed
+from cindertrace.operators.components import checkpointed, shared_folder
 from cindertrace.plans.adapter import Tables, covers_sql, distance_sql, scale_sql, sql
 from cindertrace.registry import register
 
@@ -162,10 +164,20 @@ def assess_sql(operational: bool) -> str:
  assessed AS (SELECT *, CASE WHEN source = 'INDUSTRIAL' AND direction = 'HIGHER' THEN 'P1_HIGH' WHEN source = 'INDUSTRIAL' AND behaviour = 'NEW_OR_TRANSIENT' THEN 'P2_HIGH' WHEN source = 'UNKNOWN' AND (behaviour = 'NEW_OR_TRANSIENT' OR direction = 'HIGHER') THEN 'P3_REVIEW' WHEN behaviour = 'INSUFFICIENT_HISTORY' AND source IN ('INDUSTRIAL', 'UNKNOWN') THEN 'P4_MEDIUM' WHEN source = 'UNKNOWN' THEN 'P5_MEDIUM' WHEN source = 'INDUSTRIAL' THEN 'P6_LOW' ELSE 'P7_LOW' END AS priority, concat_ws(',', CASE WHEN snapshot_id IS NULL THEN 'FACILITY_CONTEXT' END, CASE WHEN crop IS NULL THEN 'LAND_COVER' END) AS missing FROM a3)"""
 
 
+#: Where the assessments of a session's data sets are: what several queries start from is computed once.
+WRITTEN: dict[tuple, str] = {}
+
+
 def assessed(t: Tables, operational: bool = False) -> DataFrame:
-    s = checkpointed(subjects(t))
-    found = history_of(t, s, operational).join(context_of(t, s, operational), "sid").join(land_of(t), "place", "left")
-    return assessment.assess(found)
+    """All subjects' assessments. They are written once for each data set and session, and read again."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, operational)
+    if key not in WRITTEN:
+        s = checkpointed(subjects(t))
+        found = history_of(t, s, operational).join(context_of(t, s, operational), "sid").join(land_of(t), "place", "left")
+        path = f"{shared_folder(t.spark)}/assessed-{uuid4().hex}"
+        assessment.assess(found).write.parquet(path)
+        WRITTEN[key] = path
+    return t.spark.read.parquet(WRITTEN[key])
 
 
 OUT = ["behaviour_rule", "behaviour", "direction", "source_rule", "source", "subtype", "priority", "status", "missing"]
