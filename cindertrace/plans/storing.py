@@ -12,7 +12,9 @@ from cindertrace.functions import geo
 from cindertrace.operators import increments
 from cindertrace.operators.components import shared_folder
 from cindertrace.plans.adapter import Tables, sql
+from cindertrace.plans.raw import RAW, raw_rows
 from cindertrace.registry import register
+from cindertrace.sources import stores
 from cindertrace.streaming.assembly import episodes_stream
 
 
@@ -100,3 +102,25 @@ def streamed_episodes(t: Tables) -> DataFrame:
         out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     found = t.spark.read.parquet(f"{folder}/out")
     return found.select("kind", "place", "anchor", F.unix_timestamp("started_at").alias("started_at"), F.unix_timestamp("ended_at").alias("ended_at"), F.size("members").cast("long").alias("n"))
+
+
+#: Two batches that share a third of their rows; the first comes a second time.
+BATCHES = ("id % 3 <> 0", "id % 3 <> 1")
+#: An observation by what makes it the same, the values of a revision, and the batch that a row comes with first.
+PUT = RAW + f""", w AS (SELECT v.*, strftime(ts, '%Y-%m-%d') || '|' || lpad(tm, 4, '0') || '|' || CAST(la AS DOUBLE) || '|' || CAST(lo AS DOUBLE) AS key, concat_ws('|', frp, conf, dn) AS payload FROM v WHERE reason IS NULL),
+ b AS (SELECT 1 AS n, * FROM w WHERE {BATCHES[0]} UNION ALL SELECT 2, * FROM w WHERE {BATCHES[1]}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n, id) AS k, first_value(payload) OVER (PARTITION BY key ORDER BY n, id) AS first FROM b),
+ bad AS (SELECT 1 AS n, reason FROM v WHERE reason IS NOT NULL AND {BATCHES[0]} UNION ALL SELECT 2, reason FROM v WHERE reason IS NOT NULL AND {BATCHES[1]})"""
+
+
+@register(PUT + " SELECT n AS batch, count(*) AS receipts, count(*) FILTER (k = 1) AS inserted, count(*) FILTER (k > 1 AND payload = first) AS duplicates, count(*) FILTER (payload <> first) AS conflicts, (SELECT count(*) FROM bad WHERE bad.n = o.n) AS quarantined FROM o GROUP BY n")
+def receipt_store(t: Tables) -> DataFrame:
+    """What a store holds of two batches, the first of which was delivered twice."""
+    folder = f"{shared_folder(t.spark)}/store-{uuid4().hex}"
+    rows = raw_rows(t).withColumn("row_number", F.col("id")).drop("id")
+    for where in (*BATCHES, BATCHES[0]):
+        entry = stores.receive(rows.filter(where.replace("id", "row_number")), folder, "N20", "2024-01-10", 5, (69.5, 22.0, 70.5, 23.0), "nasa", "VIIRS_NOAA20_NRT")
+    assert entry["status"] == "REPEATED"
+    names = t.spark.createDataFrame([(e["batch"], e["number"] + 1) for e in stores.committed(t.spark, folder)], "batch string, n int")
+    counts = stores.receipts(t.spark, folder).groupBy("batch").agg(F.count("*").alias("receipts"), *[F.count_if(F.col("outcome") == o).alias(c) for o, c in (("INSERTED", "inserted"), ("DUPLICATE", "duplicates"), ("SOURCE_REVISION_CONFLICT", "conflicts"))])
+    gone = stores.quarantine(t.spark, folder).groupBy("batch").agg(F.count("*").alias("quarantined"))
+    return counts.join(gone, "batch").join(names, "batch").select(F.col("n").alias("batch"), "receipts", "inserted", "duplicates", "conflicts", "quarantined")

@@ -63,6 +63,7 @@ def registry_plants(rows: DataFrame, country: str = "IND") -> DataFrame:
     return out.filter(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90))
 
 
+RINGS = "array<array<struct<lon:double,lat:double>>>"
 ELEMENT = "array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<type:string,role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
 
 
