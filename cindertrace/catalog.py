@@ -527,7 +527,7 @@ def identity_hash(t: Tables) -> DataFrame:
     return validated(t).filter("reason IS NULL").select("id", detections.identity("nasa", "VIIRS_NOAA20_NRT").alias("identity"))
 
 
-@register("SELECT event_id AS id, CASE WHEN k = 3 THEN '' WHEN k IN (0, 1) THEN '''' || cell ELSE cell END AS cell FROM (SELECT event_id, event_id % 4 AS k, CASE event_id % 4 WHEN 0 THEN '=' || event_type WHEN 1 THEN '  +' || event_type WHEN 2 THEN event_type || '=1' END AS cell FROM events)")
+@register(r"SELECT event_id AS id, CASE WHEN cell IS NULL THEN '' WHEN regexp_matches(cell, '^[ \x{3000}]*[=+\-@\t\r\n\x{FF1D}\x{FF0B}\x{FF0D}\x{FF20}]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '=' || event_type WHEN 1 THEN '  +' || event_type WHEN 2 THEN event_type || '=1' END AS cell FROM events)")
 def export_csv_cells(t: Tables) -> DataFrame:
     k, kind = F.col("event_id") % 4, F.col("event_type")
     cell = F.when(k == 0, F.concat(F.lit("="), kind)).when(k == 1, F.concat(F.lit("  +"), kind)).when(k == 2, F.concat(kind, F.lit("=1")))
@@ -551,12 +551,13 @@ def evidence_independence(t: Tables) -> DataFrame:
     return t.read("orders").select(k.alias("id"), kind.alias("kind"), labels.independent(kind, day, F.lit("2023-06-01"), F.lit("2023-06-10")).alias("independent"))
 
 
-HOSTS = (["https://Firms.example.org/a", "http://overpass.test/api", "https://maps.example.com/maps/x", "https://maps.example.com/about", "https://tiles.basemap.test/1", "https://news.test/overpass/9", "not a url"], ["PROJECT_INPUT", "PROJECT_INPUT", "UNDATED_BASEMAP", None, "UNDATED_BASEMAP", "PROJECT_INPUT", None])
+HOSTS = ["https://Firms.example.org/a", "http://overpass.test/api", "https://maps.example.com/maps/x", "https://maps.example.com/about", "https://tiles.basemap.test/1", "https://news.test/overpass/9", "not a url"]
 
 
-@register("SELECT event_id AS id, ([" + ", ".join("NULL" if x is None else f"'{x}'" for x in HOSTS[1]) + "])[event_id % 7 + 1] AS forced FROM events")
+@register("WITH u AS (SELECT event_id AS id, ([" + ", ".join(f"'{x}'" for x in HOSTS) + """])[event_id % 7 + 1] AS url FROM events), p AS (SELECT id, lower(regexp_extract(url, '^[a-z]+://([^/]+)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://[^/]+(/[^?]*)', 1)) AS path FROM u)
+ SELECT id, CASE WHEN host = 'firms.example.org' OR host LIKE '%.firms.example.org' OR contains(host, 'overpass') OR contains(path, '/overpass') THEN 'PROJECT_INPUT' WHEN contains(host, 'basemap') OR contains(host, 'maps.example.com') AND starts_with(path, '/maps') THEN 'UNDATED_BASEMAP' END AS forced FROM p""")
 def forced_kind(t: Tables) -> DataFrame:
-    url = F.element_at(F.array(*map(F.lit, HOSTS[0])), (F.col("event_id") % 7 + 1).cast("int"))
+    url = F.element_at(F.array(*map(F.lit, HOSTS)), (F.col("event_id") % 7 + 1).cast("int"))
     return t.read("events").select(F.col("event_id").alias("id"), labels.forced_kind(url, ["firms.example.org"], ["basemap"], ["maps.example.com"]).alias("forced"))
 
 

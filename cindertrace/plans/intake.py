@@ -81,13 +81,20 @@ def clock_checks(t: Tables) -> DataFrame:
 PAYLOADS = ['{"elements":[{"type":"node"}],"osm3s":{"timestamp_osm_base":"2024-01-01T00:00:00Z"}}', '{"osm3s":{"timestamp_osm_base":"2024-01-01T00:00:00Z"}}', '{"elements":[],"remark":"runtime error: out of memory","osm3s":{"timestamp_osm_base":"2024-01-01T00:00:00Z"}}', '{"elements":[],"osm3s":{"timestamp_osm_base":"once"}}', '{"elements":[{"type":"way"},{"type":"way"},{"type":"way"}],"osm3s":{"timestamp_osm_base":"2024-01-01T00:00:00Z"}}', "no json"]
 
 
-@register("SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 1 THEN 'NO_ELEMENTS' WHEN 2 THEN 'INCOMPLETE' WHEN 3 THEN 'NO_BASE_TIME' WHEN 4 THEN 'TOO_MANY_ELEMENTS' WHEN 5 THEN 'NO_ELEMENTS' END AS problem FROM part")
+@register("WITH p AS (SELECT p_partkey AS id, TRY_CAST(" + pick_sql("p_partkey", *PAYLOADS) + """ AS JSON) AS t FROM part) SELECT id, CASE WHEN coalesce(json_type(t, '$.elements'), '') <> 'ARRAY' THEN 'NO_ELEMENTS' WHEN coalesce(json_extract_string(t, '$.remark'), '') LIKE '%runtime error%' THEN 'INCOMPLETE'
+ WHEN TRY_CAST(json_extract_string(t, '$.osm3s.timestamp_osm_base') AS TIMESTAMPTZ) IS NULL THEN 'NO_BASE_TIME' WHEN json_array_length(t, '$.elements') > 2 THEN 'TOO_MANY_ELEMENTS' END AS problem FROM p""")
 def map_payloads(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     return t.read("part").select(k.alias("id"), mapped.payload_problem(pick(k, *PAYLOADS), 2).alias("problem"))
 
 
-@register("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE 1 END AS rings, CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE round(2 * pow(2 * 0.0005::DOUBLE * (1 + s_suppkey % 4) * 1000, 2), 6) END AS twice_area FROM supplier")
+#: A ring closes if lines meet in twos at every corner; around its middle a square's sides add up to its area.
+SIDES = """WITH sq AS (SELECT s_suppkey AS id, s_suppkey % 5 AS kind, 0.5::DOUBLE * (1 + s_suppkey % 4) AS h FROM supplier), sides AS (SELECT id, h, a * h AS ax, b * h AS ay, c * h AS bx, d * h AS "by" FROM sq, (VALUES (1, -1, -1, 1, -1), (2, 1, 1, 1, -1), (3, 1, 1, -1, 1), (4, -1, -1, -1, 1)) v(n, a, b, c, d) WHERE kind < 4 OR n < 4),
+ ends AS (SELECT id, ax AS x, ay AS y FROM sides UNION ALL SELECT id, bx, "by" FROM sides), corners AS (SELECT id, x, y, count(*) AS n FROM ends GROUP BY ALL), closed AS (SELECT id, bool_and(n = 2) AS ok FROM corners GROUP BY id), areas AS (SELECT id, round(sum(abs(ax * "by" - bx * ay)), 6) AS twice_area FROM sides GROUP BY id)
+ SELECT id, CASE WHEN ok THEN 1 END AS rings, CASE WHEN ok THEN twice_area END AS twice_area FROM closed JOIN areas USING (id)"""
+
+
+@register(SIDES)
 def stitched_rings(t: Tables) -> DataFrame:
     """Squares whose sides come as lines in any order and direction; every fifth lacks one."""
     ship(t.spark)
@@ -187,7 +194,7 @@ def package_runs(t: Tables) -> DataFrame:
     return exports.package_runs(rows).withColumns({"start_date": F.col("start_date").cast("string"), "end_date": F.col("end_date").cast("string"), "received_at": F.unix_timestamp("received_at")})
 
 
-@register("SELECT 'f' || p_partkey AS path, CASE WHEN p_partkey % 5 = 0 THEN 'NO_SIDECAR' WHEN p_partkey % 3 = 0 THEN 'UNREADABLE_TIME' ELSE 'USABLE' END AS use FROM part")
+@register("WITH n AS (SELECT sha256(CAST(p_partkey AS VARCHAR)) AS sha, CASE WHEN p_partkey % 3 = 0 THEN 'yesterday' ELSE '2024-01-02T03:04:05Z' END AS said FROM part WHERE p_partkey % 5 <> 0), f AS (SELECT 'f' || p_partkey AS path, sha256(CAST(p_partkey AS VARCHAR)) AS sha FROM part) SELECT path, CASE WHEN said IS NULL THEN 'NO_SIDECAR' WHEN TRY_CAST(said AS TIMESTAMPTZ) IS NULL THEN 'UNREADABLE_TIME' ELSE 'USABLE' END AS use FROM f LEFT JOIN n USING (sha)")
 def sidecar_use(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
     sha = F.sha2(k.cast("string"), 256).alias("sha256")
@@ -228,7 +235,7 @@ def landcover_status(t: Tables) -> DataFrame:
     return landcover.pixel_summary(t.pixels(), "id").select("id", "pixels", "unrecognised", "valid_fraction", "status")
 
 
-@register("SELECT DISTINCT l_suppkey AS id FROM lineitem WHERE l_suppkey % 4 = 1")
+@register(sql("pixels", ", s AS (SELECT id, round(sum(n) FILTER (code <> 7) / sum(n), 6) AS valid FROM (SELECT id, code, count(*) AS n FROM pixels GROUP BY ALL) GROUP BY id), stored AS (SELECT id, CASE WHEN id % 4 = 1 THEN valid + 0.1 ELSE valid END AS valid FROM s) SELECT s.id FROM s JOIN stored USING (id) WHERE s.valid IS DISTINCT FROM stored.valid"))
 def landcover_restore(t: Tables) -> DataFrame:
     """Saved summaries that a second reading does not give: every fourth was changed."""
     again = landcover.pixel_summary(t.pixels(), "id").select("id", F.col("valid_fraction").alias("valid"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fractions")))).alias("fractions"))
