@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindertrace.functions import geo
+from cindertrace.functions import geo, polygons
 from cindertrace.operators import assessment, cases, context, episodes, hulls, landcover
 from cindertrace.operators.components import checkpointed, shared_folder
 from cindertrace.plans.adapter import Tables, covers_sql, distance_sql, scale_sql, sql
@@ -240,3 +240,36 @@ def place_hull(t: Tables) -> DataFrame:
 def evidence_documents(t: Tables) -> DataFrame:
     """The evidence of every subject as JSON, from the columns that assessment_all has SQL for."""
     return documents(t)
+
+
+def ring(*corners: tuple[float, float]) -> list[tuple[float, float]]:
+    return [*corners, corners[0]]
+
+
+def square(x: float, y: float, r: float) -> list[tuple[float, float]]:
+    return ring((x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r))
+
+
+#: Areas as they may be drawn (offsets in degrees): two outers, a hole with an island, a bow tie, outers that cross.
+DRAWN = [
+    [square(-0.004, 0.0, 0.002), square(0.004, 0.0, 0.002)], [square(0.0, 0.0, 0.006), square(0.0, 0.0, 0.004), square(0.0, 0.0, 0.002)],
+    [ring((-0.005, -0.005), (0.005, 0.005), (0.005, -0.005), (-0.005, 0.005))], [square(0.0, 0.0, 0.004), square(0.003, 0.003, 0.004)],
+]
+DRAWN_EDGES = ", ".join(f"({k}, {a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)" for k, rings in enumerate(DRAWN) for r in rings for a, b in zip(r, r[1:], strict=False))
+GRID = 0.00093
+
+
+@register(sql("facilities", f""", g AS (SELECT fac_id, fac_id % 4 AS kind, {GRID} * i + 0.00011 AS px, {GRID} * j + 0.00017 AS py FROM facilities, range(-7, 8) a(i), range(-7, 8) b(j)), e AS (SELECT * FROM (VALUES {DRAWN_EDGES}) v(kind, ax, ay, bx, "by")),
+ c AS (SELECT fac_id, px, py, count(*) FILTER ((ay > py) <> ("by" > py) AND px < (bx - ax) * (py - ay) / nullif("by" - ay, 0) + ax) % 2 AS odd FROM g JOIN e USING (kind) GROUP BY ALL) SELECT fac_id, CAST(sum(odd) AS BIGINT) AS inside FROM c GROUP BY fac_id"""))
+def built_areas(t: Tables) -> DataFrame:
+    """How many points of a grid lie in the valid polygons that the drawn rings make."""
+    k = F.col("fac_id") % 4
+    shape = F.lit(None)
+    for n, rings in enumerate(DRAWN):
+        own = F.array(*[F.array(*[F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in r]) for r in rings])
+        shape = F.when(k == n, own).otherwise(shape)
+    areas = t.facilities().select("fac_id", "lon", "lat", polygons.built(shape).alias("rings"))
+    steps = F.sequence(F.lit(-7), F.lit(7))
+    grid = areas.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    inside = geo.in_rings(F.col("lon") + GRID * F.col("i") + 0.00011, F.col("lat") + GRID * F.col("j") + 0.00017, F.col("rings"))
+    return grid.groupBy("fac_id").agg(F.count_if(inside).alias("inside"))
