@@ -134,8 +134,8 @@ def tags(html: str) -> Iterator[tuple[str, str, str]]:
             at = i + 1
             continue
         stop = tag_end(html, m.end())
-        if stop < 0:  # a tag that the page's end cuts off
-            at = end
+        if stop < 0:  # what the page's end cuts off is a tag if it has an attribute, else text
+            at = end if "=" in html[i:] else i
             break
         at = stop + 1
         name = m[0].lower()
