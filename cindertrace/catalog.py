@@ -595,4 +595,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-from cindertrace.plans import assessing, casework, intake, storing  # noqa: E402, F401  (they register their queries)
+from cindertrace.plans import assessing, casework, intake, reviewing, storing  # noqa: E402, F401  (they register their queries)

@@ -168,14 +168,18 @@ def assess_sql(operational: bool) -> str:
 WRITTEN: dict[tuple, str] = {}
 
 
+def judged(t: Tables, s: DataFrame, operational: bool = False) -> DataFrame:
+    """The assessments of subjects, each as of its time."""
+    found = history_of(t, s, operational).join(context_of(t, s, operational), "sid").join(land_of(t), "place", "left")
+    return assessment.assess(found)
+
+
 def assessed(t: Tables, operational: bool = False) -> DataFrame:
     """All subjects' assessments. They are written once for each data set and session, and read again."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir, operational)
     if key not in WRITTEN:
-        s = checkpointed(subjects(t))
-        found = history_of(t, s, operational).join(context_of(t, s, operational), "sid").join(land_of(t), "place", "left")
         path = f"{shared_folder(t.spark)}/assessed-{uuid4().hex}"
-        assessment.assess(found).write.parquet(path)
+        judged(t, checkpointed(subjects(t)), operational).write.parquet(path)
         WRITTEN[key] = path
     return t.spark.read.parquet(WRITTEN[key])
 

@@ -114,3 +114,30 @@ def put_once(spark, folder: str, payload: bytes, suffix: str = "") -> str:
     finally:
         out.close()
     return path
+
+
+def windows(requests: DataFrame, observations: DataFrame, most: int) -> DataFrame:
+    """request_id, matches, refused: how many observations each request's window holds, and whether that is more than `most`.
+
+    requests: request_id, west, south, east, north, start_date, end_date (of which the last day is not in it); observations: obs_id,
+    lon, lat, acquired_at. Both meet on whole degrees and days, of which a request of the greatest size has 36 times 31.
+    """
+    return _matched(requests, observations).groupBy("request_id").agg(F.count("*").alias("n")).join(requests.select("request_id"), "request_id", "right").select(
+        "request_id", F.coalesce("n", F.lit(0)).alias("matches"), (F.coalesce("n", F.lit(0)) > most).alias("refused")
+    )
+
+
+def window_rows(requests: DataFrame, judged: DataFrame, observations: DataFrame) -> DataFrame:
+    """request_id and the columns of the observations of the requests that windows() has not refused."""
+    return _matched(requests.join(judged.filter("NOT refused").select("request_id"), "request_id", "left_semi"), observations)
+
+
+def _matched(requests: DataFrame, observations: DataFrame) -> DataFrame:
+    def steps(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(low), F.floor(high)))
+
+    days = F.explode(F.sequence("start_date", F.date_sub("end_date", 1)))
+    asked = requests.select("request_id", "west", "south", "east", "north", steps("west", "east").alias("_x"), "start_date", "end_date").withColumn("_y", steps("south", "north")).withColumn("_day", days)
+    own = observations.withColumns({"_x": F.floor("lon"), "_y": F.floor("lat"), "_day": F.to_date("acquired_at")})
+    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    return own.join(asked.drop("start_date", "end_date"), ["_x", "_y", "_day"]).filter(inside).drop("_x", "_y", "_day", "west", "south", "east", "north")
