@@ -34,8 +34,28 @@ def covered_days(subjects: DataFrame, passes: DataFrame, mode: str, operational:
 def as_of_history(subjects: DataFrame, detections: DataFrame, days: DataFrame, operational: bool = False) -> DataFrame:
     """Detections around each subject up to its as_of, with `kept`: false where the archive supersedes them.
 
+    days: as covered_days() gives them. Operationally only detections that were available by as_of count.
+    """
+    rows = _looked_back(subjects, detections)
+    return _reconciled(rows.filter("available_at <= as_of") if operational else rows, days).drop("available_at")
+
+
+def withheld(subjects: DataFrame, detections: DataFrame, days: DataFrame) -> DataFrame:
+    """sid, excluded_unknown_availability: detections up to as_of, not superseded, that an operational assessment leaves out.
+
+    They were available only later, or nobody knows when. days: operational covered_days(). What is left out supersedes nothing.
+    """
+    known = F.coalesce(F.col("available_at") <= F.col("as_of"), F.lit(False))
+    rows = _reconciled(_looked_back(subjects, detections), days, known)
+    counts = rows.filter(F.col("kept") & ~known).groupBy("sid").agg(F.count("*").alias("excluded_unknown_availability"))
+    return subjects.select("sid").join(counts, "sid", "left").fillna(0, ["excluded_unknown_availability"])
+
+
+def _looked_back(subjects: DataFrame, detections: DataFrame) -> DataFrame:
+    """Detections around each subject in the LOOK_BACK_DAYS up to its as_of.
+
     The join is on a cell and a slab of LOOK_BACK_DAYS, of which a subject's look-back touches two, so a
-    place's earlier years meet nobody. days: as covered_days() gives them.
+    place's earlier years meet nobody.
     """
 
     def slab(at: Column) -> Column:
@@ -47,14 +67,17 @@ def as_of_history(subjects: DataFrame, detections: DataFrame, days: DataFrame, o
     own = detections.select("obs_id", "lon", "lat", "acquired_at", "frp_mw", "satellite", "daynight", "product", "available_at", slab(F.col("acquired_at")).alias("slab"))
     rows = near(own, asked, SITE_M, on=["slab"])
     rows = rows.filter((F.col("acquired_at") <= F.col("as_of")) & (F.col("acquired_at") > F.col("as_of") - F.make_dt_interval(F.lit(LOOK_BACK_DAYS))))
-    if operational:
-        rows = rows.filter(F.col("available_at") <= F.col("as_of"))
-    rows = rows.select("sid", "as_of", "obs_id", "acquired_at", "frp_mw", "satellite", "daynight", "product", F.to_date("acquired_at").alias("day"))
-    archive = F.max((F.col("product") == "SP").cast("int")).over(Window.partitionBy("sid", "acquired_at")) == 1
+    return rows.select("sid", "as_of", "obs_id", "acquired_at", "frp_mw", "satellite", "daynight", "product", "available_at", F.to_date("acquired_at").alias("day"))
+
+
+def _reconciled(rows: DataFrame, days: DataFrame, known: Column | None = None) -> DataFrame:
+    """Adds `kept`: archived rows, and others on days and at times that the archive (as far as it is known) does not have."""
+    archived = F.col("product") == "SP"
+    archive = F.max((archived if known is None else archived & known).cast("int")).over(Window.partitionBy("sid", "acquired_at")) == 1
     day = F.col("day")
     rows = rows.withColumns({"archive": archive, "block": coverage.block_of(day)}).join(days.filter("product = 'SP'").select("sid", "block", "bits"), ["sid", "block"], "left")
     sp_day = F.coalesce(F.getbit("bits", coverage.bit_of(day)) == 1, F.lit(False))
-    return rows.withColumn("kept", (F.col("product") == "SP") | ~(sp_day | F.col("archive"))).drop("archive", "block", "bits")
+    return rows.withColumn("kept", archived | ~(sp_day | F.col("archive"))).drop("archive", "block", "bits")
 
 
 def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tuple[int, ...] = history.WINDOWS) -> DataFrame:

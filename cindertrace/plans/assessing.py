@@ -52,6 +52,17 @@ def subject_history(t: Tables) -> DataFrame:
     return assessment.as_of_history(s, t.archive(), assessment.covered_days(s, t.passes(), "HISTORICAL_REPLAY")).select("sid", "obs_id", "kept")
 
 
+LEFT_OUT = f""", w0 AS (SELECT s.sid, h.acquired_at, h.product FROM sub s JOIN archive h ON abs(s.lat - h.lat) < 0.01 AND abs(s.lon - h.lon) < 0.01 AND {distance_sql('s', 'h')} <= 750 AND h.acquired_at <= s.as_of AND h.acquired_at > s.as_of - INTERVAL 182 DAY AND coalesce(h.available_at > s.as_of, true)),
+ w1 AS (SELECT w0.sid FROM w0 LEFT JOIN sp ON sp.sid = w0.sid AND sp.day = CAST(w0.acquired_at AS DATE) LEFT JOIN spt ON spt.sid = w0.sid AND spt.acquired_at = w0.acquired_at WHERE w0.product = 'SP' OR (sp.day IS NULL AND spt.acquired_at IS NULL))"""
+
+
+@register(sql("obs archive passes", SUBJECTS + history_sql(True) + LEFT_OUT + " SELECT sub.sid, count(w1.sid) AS excluded_unknown_availability FROM sub LEFT JOIN w1 ON w1.sid = sub.sid GROUP BY sub.sid"))
+def unavailable_history(t: Tables) -> DataFrame:
+    """How many detections an operational assessment leaves out since they were not known to be available by then."""
+    s = checkpointed(subjects(t))
+    return assessment.withheld(s, t.archive(), assessment.covered_days(s, t.passes(), "HISTORICAL_REPLAY", True))
+
+
 WINDOWS = (7, 30, 90, 180)
 
 
