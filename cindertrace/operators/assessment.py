@@ -3,6 +3,9 @@
 Subjects: sid, lon, lat, as_of, radius_m. Detections: obs_id, lon, lat, acquired_at, frp_mw, satellite,
 daynight, product, available_at. Retrievals: start_date, end_date, received_at, product, rejected_rows,
 status, mode, and their box. Everything joins on cells or keys; nothing is looked up by subject.
+
+Joins by sid have merge hints: stored subjects, days and snapshots are small as files, but not as a hash table
+in the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ def withheld(subjects: DataFrame, detections: DataFrame, days: DataFrame) -> Dat
     known = F.coalesce(F.col("available_at") <= F.col("as_of"), F.lit(False))
     rows = _reconciled(_looked_back(subjects, detections), days, known)
     counts = rows.filter(F.col("kept") & ~known).groupBy("sid").agg(F.count("*").alias("excluded_unknown_availability"))
-    return subjects.select("sid").join(counts, "sid", "left").fillna(0, ["excluded_unknown_availability"])
+    return subjects.select("sid").join(counts.hint("merge"), "sid", "left").fillna(0, ["excluded_unknown_availability"])
 
 
 def _looked_back(subjects: DataFrame, detections: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def _reconciled(rows: DataFrame, days: DataFrame, known: Column | None = None) -
     archived = F.col("product") == "SP"
     archive = F.max((archived if known is None else archived & known).cast("int")).over(Window.partitionBy("sid", "acquired_at")) == 1
     day = F.col("day")
-    rows = rows.withColumns({"archive": archive, "block": coverage.block_of(day)}).join(days.filter("product = 'SP'").select("sid", "block", "bits"), ["sid", "block"], "left")
+    rows = rows.withColumns({"archive": archive, "block": coverage.block_of(day)}).join(days.filter("product = 'SP'").select("sid", "block", "bits").hint("merge"), ["sid", "block"], "left")
     sp_day = F.coalesce(F.getbit("bits", coverage.bit_of(day)) == 1, F.lit(False))
     return rows.withColumn("kept", archived | ~(sp_day | F.col("archive"))).drop("archive", "block", "bits")
 
@@ -100,7 +103,7 @@ def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tup
     dropped = rows.groupBy("sid").agg(F.count_if(~F.col("kept")).alias("superseded"))
     began = F.to_date(start)
     block, bits = F.col("block"), F.col("bits")
-    covered = subjects.select("sid", "as_of").join(coverage.any_product(days), "sid").groupBy("sid").agg(*[F.sum(coverage.days_in(bits, block, F.date_sub(began, d), began)).alias(f"covered_{d}") for d in windows])
+    covered = subjects.select("sid", "as_of").join(coverage.any_product(days).hint("merge"), "sid").groupBy("sid").agg(*[F.sum(coverage.days_in(bits, block, F.date_sub(began, d), began)).alias(f"covered_{d}") for d in windows])
     passes = live.filter("frp_mw IS NOT NULL").groupBy("sid", "start", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
     by = ["sid", "satellite", "daynight"]
     current = passes.filter(now).groupBy(*by).agg(F.round(F.max("frp"), 3).alias("current_frp"))
@@ -114,7 +117,7 @@ def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tup
     best = groups.groupBy("sid").agg(F.count("*").alias("current"), F.max("n").alias("matched"), strongest.alias("best"))
     out = subjects
     for part in (seen, dropped, covered, best):
-        out = out.join(part, "sid", "left")
+        out = out.join(part.hint("merge"), "sid", "left")
     zero = [f"{c}_{d}" for c in ("detections", "overpasses", "active_days", "covered") for d in windows]
     out = out.fillna(0, [*zero, "superseded", "current_detections"])
     return out.withColumns({f"coverage_{d}": F.round(F.col(f"covered_{d}") / d, 3) for d in windows}).select("*", "best.z", "best.mad_zero", "best.floored", "best.capped", "best.group").drop("best")

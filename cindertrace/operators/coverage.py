@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cindertrace.operators import context
+from cindertrace.operators.components import checkpointed
 
 #: Days in a block.
 BLOCK = 64
@@ -51,7 +52,8 @@ def covered(subjects: DataFrame, passes: DataFrame, mode: str, radius_m: float,
     days = good.select("box", "product", F.explode(F.sequence("start_date", "end_date")).alias("day"), *["received_at"] * operational)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(F.col("day")))
     held = days.groupBy("box", "product", block_of(F.col("day")).alias("block"), *["received_at"] * operational).agg(F.bit_or(bit).alias("bits"))
-    boxes = context.covering(subjects.select("sid", "lon", "lat", "as_of"), good.select("box", *corners).distinct(), F.lit(radius_m)).select("sid", "as_of", "box")
+    few = checkpointed(good.select("box", *corners).distinct())  # so their size is known, and subjects are not broadcast in their place
+    boxes = context.covering(subjects.select("sid", "lon", "lat", "as_of"), few, F.lit(radius_m)).select("sid", "as_of", "box")
     last = F.to_date("as_of")
     first = F.date_sub(last, look_back)
     asked = boxes.withColumn("block", F.explode(F.sequence(block_of(first), block_of(last))))

@@ -227,7 +227,7 @@ def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataF
     rows: sid, acquired_at, satellite, daynight, frp_mw. days: as assessment.covered_days() gives them.
     """
     own = subjects.select("sid", "started_at")
-    before = rows.join(own, "sid").filter(F.col("acquired_at") < F.col("started_at"))
+    before = rows.join(own.hint("merge"), "sid").filter(F.col("acquired_at") < F.col("started_at"))
 
     def within(d: int) -> Column:
         return F.col("acquired_at") >= F.col("started_at") - F.make_dt_interval(F.lit(d))
@@ -240,8 +240,10 @@ def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataF
     passes = before.filter(within(90) & F.col("frp_mw").isNotNull()).groupBy("sid", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
     strength = passes.groupBy("sid").agg(F.round(F.median("frp"), 6).alias("history_frp_median_90"))
     start = F.to_date("started_at")
-    covered = own.join(coverage.any_product(days), "sid").groupBy("sid").agg(*[F.round(F.sum(coverage.days_in(F.col("bits"), F.col("block"), F.date_sub(start, d), start)) / d, 4).alias(f"coverage_{d}") for d in (90, 180)])
-    out = subjects.select("sid").join(seen, "sid", "left").join(strength, "sid", "left").join(covered, "sid", "left")
+    covered = own.join(coverage.any_product(days).hint("merge"), "sid").groupBy("sid").agg(*[F.round(F.sum(coverage.days_in(F.col("bits"), F.col("block"), F.date_sub(start, d), start)) / d, 4).alias(f"coverage_{d}") for d in (90, 180)])
+    out = subjects.select("sid")
+    for part in (seen, strength, covered):
+        out = out.join(part.hint("merge"), "sid", "left")
     zero = ["active_days_30", "active_days_90", "active_days_180", "overpasses_90"]
     return out.fillna(0, zero).fillna(0.0, ["coverage_90", "coverage_180"]).fillna(DAYS_CAP, ["days_since_last"])
 
@@ -263,7 +265,7 @@ def osm_inputs(subjects: DataFrame, candidates: DataFrame, covered: DataFrame) -
         has(kind == "REFINERY").alias("has_refinery"), has(kind == "MINE").alias("has_mine"), has(kind.isin("PETROCHEMICAL", "STEEL", "LNG")).alias("has_petrochem_steel_lng"), has(tag == "man_made=flare").alias("has_flare_tag"),
         has(tag == "man_made=chimney").alias("has_chimney_tag"), has(tag == "man_made=kiln").alias("has_kiln_tag"), F.max((~hot & inside).cast("int")).alias("has_nonthermal_power"),
     )
-    out = subjects.select("sid").join(covered.select("sid", F.lit(1).alias("osm_covered")).distinct(), "sid", "left").join(found, "sid", "left")
+    out = subjects.select("sid").join(covered.select("sid", F.lit(1).alias("osm_covered")).distinct().hint("merge"), "sid", "left").join(found.hint("merge"), "sid", "left")
     known = F.col("osm_covered") == 1
     filled = {c: F.when(known, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in OSM[1:] if c != "nearest_industrial_m"}
     filled["nearest_industrial_m"] = F.when(known, F.least(F.coalesce("nearest_industrial_m", F.lit(DISTANCE_CAP_M)), F.lit(DISTANCE_CAP_M)))

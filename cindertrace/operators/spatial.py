@@ -2,8 +2,8 @@
 
 One side is filed under its cell, the other under its cell and the eight around it; cells are at
 least as wide as the radius, so an equi-join on the cell sees every pair within it, and the exact
-distance decides. Catalyst gets an ordinary equi-join: it may broadcast a small side by its size,
-and AQE splits a crowded cell.
+distance decides. Catalyst gets an ordinary equi-join. Filing makes several rows of one, which the planner's
+estimates leave out, so these joins are never broadcast; AQE splits a crowded cell.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def near(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     rs = rs.withColumn("cell_x", F.explode(F.transform(around, lambda d: F.floor(F.col("lon_r") / wide) + d)))
     rs = rs.withColumn("cell_y", F.explode(F.transform(around, lambda d: F.floor(F.col("lat_r") / high) + d)))
-    pairs = ls.join(rs, ["cell_x", "cell_y", *(on or [])])
+    pairs = ls.join(rs.hint("merge"), ["cell_x", "cell_y", *(on or [])])
     pairs = pairs.withColumn("distance_m", distance_m(F.col("lon"), F.col("lat"), F.col("lon_r"), F.col("lat_r")))
     return pairs.filter(F.col("distance_m") <= radius_m).drop("cell_x", "cell_y")
 
@@ -62,7 +62,7 @@ def areas_near(points: DataFrame, areas: DataFrame, radius_m: float, measure: Co
     ys = F.sequence(F.floor((F.col("south") - high) / high), F.floor((F.col("north") + high) / high))
     filed = areas.withColumn("cell_x", F.explode(xs)).withColumn("cell_y", F.explode(ys))
     own = points.withColumns({"cell_x": F.floor(F.col("lon") / wide), "cell_y": F.floor(F.col("lat") / high)})
-    found = own.join(filed, ["cell_x", "cell_y", *(on or [])]).drop("cell_x", "cell_y")
+    found = own.join(filed.hint("merge"), ["cell_x", "cell_y", *(on or [])]).drop("cell_x", "cell_y")
     return found.withColumns({"distance_m": measure, "inside": inside}).filter(F.col("distance_m") <= radius_m)
 
 

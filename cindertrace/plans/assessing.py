@@ -124,7 +124,7 @@ def snapshot_of(t: Tables, s: DataFrame, operational: bool = False) -> DataFrame
 
 def candidates_of(t: Tables, s: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Of the snapshot that holds for a subject; a snapshot lacks every third facility."""
-    own = s.select("sid", "lon", "lat", "radius_m").join(snapshot.select("sid", "snapshot_id"), "sid")
+    own = s.select("sid", "lon", "lat", "radius_m").join(snapshot.select("sid", "snapshot_id").hint("merge"), "sid")
     ids = t.snapshots().select("snapshot_id")
     stock = t.areas().crossJoin(F.broadcast(ids)).filter((F.col("fac_id") + F.col("snapshot_id")) % 3 != 0)  # the snapshots are some dozens
     return context.candidates(own, stock, "sid")
@@ -144,7 +144,7 @@ STATUS = "CASE WHEN snapshot_id IS NULL THEN 'CONTEXT_NOT_COVERED' WHEN mapped >
 def context_of(t: Tables, s: DataFrame, operational: bool = False) -> DataFrame:
     """snapshot, timing, status and summary of every subject."""
     snapshot = checkpointed(snapshot_of(t, s, operational))
-    out = s.select("sid", "as_of").join(snapshot, "sid", "left").join(context.summary(candidates_of(t, s, snapshot), "sid"), "sid", "left")
+    out = s.select("sid", "as_of").join(snapshot.hint("merge"), "sid", "left").join(context.summary(candidates_of(t, s, snapshot), "sid").hint("merge"), "sid", "left")
     return out.withColumns({"timing": context.timing(F.col("base_at"), F.col("as_of")), "status": context.association(F.col("mapped"), F.col("found"), F.col("snapshot_id").isNotNull())}).drop("as_of")
 
 
@@ -181,7 +181,7 @@ WRITTEN: dict[tuple, str] = {}
 
 def judged(t: Tables, s: DataFrame, operational: bool = False) -> DataFrame:
     """The assessments of subjects, each as of its time."""
-    found = history_of(t, s, operational).join(context_of(t, s, operational), "sid").join(land_of(t), "place", "left")
+    found = history_of(t, s, operational).join(context_of(t, s, operational).hint("merge"), "sid").join(land_of(t), "place", "left")
     return assessment.assess(found)
 
 

@@ -83,7 +83,7 @@ def inputs(t: Tables) -> DataFrame:
     """All inputs of every case, and what is stored beside them."""
     s = checkpointed(a.subjects(t))
     own = features.episode_inputs(a.members(t), "place", "session_no")
-    out = s.select("sid", "place", "session_no").join(own, ["place", "session_no"]).join(prior(t, s), "sid").join(osm(t, s), "sid").join(land(t), "place", "left")
+    out = s.select("sid", "place", "session_no").join(own.hint("merge"), ["place", "session_no"]).join(prior(t, s).hint("merge"), "sid").join(osm(t, s).hint("merge"), "sid").join(land(t), "place", "left")
     return out.withColumn("history_complete", F.col("coverage_90") >= 0.8)
 
 
