@@ -34,7 +34,6 @@ from cindertrace.operators.components import checkpointed, components
 from cindertrace.operators.episodes import Limits
 from cindertrace.operators.labels import fingerprint
 from cindertrace.operators.runs import overlap_days
-from cindertrace.operators.spatial import near
 
 #: Writers that may win before this one gives up.
 TRIES = 5
@@ -91,9 +90,9 @@ def grown_components(spots: DataFrame, before: DataFrame | None, reach: float) -
     old = before.select("spot", "root")
     broken = old.join(spots, "spot", "left_anti").select("root").distinct()
     known = checkpointed(spots.join(old, "spot").join(broken, "root", "left_anti").select("spot", "lon", "lat", "root"))
-    fresh = checkpointed(spots.join(known.select("spot"), "spot", "left_anti").select("spot", "lon", "lat", F.col("spot").alias("root")))
+    fresh = checkpointed(episodes.by_small_cells(spots.join(known.select("spot"), "spot", "left_anti").select("spot", "lon", "lat"), reach))
     every = checkpointed(known.unionByName(fresh))
-    pairs = near(every.select(F.col("root").alias("a"), "lon", "lat"), fresh.select(F.col("root").alias("b"), "lon", "lat"), reach).filter("a != b").select("a", "b").distinct()
+    pairs = episodes.linked_roots(every, fresh, reach)
     roots = components(every.select(F.col("root").alias("node")).distinct(), pairs).select(F.col("node").alias("root"), F.col("root").alias("new"))
     joined = every.join(roots, "root")
     # a component goes by its least spot, as if built from nothing

@@ -2,10 +2,11 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cindertrace.operators import assessment, spatial
+from cindertrace.operators import assessment, components, episodes, spatial
 from cindertrace.plans.adapter import Tables
 
 
@@ -36,3 +37,24 @@ def test_history_does_not_broadcast_subjects_or_days(spark, tmp_path):
 
 def test_archive_does_not_broadcast_itself(spark, small):
     assert "Broadcast" not in plan_of(Tables(spark, small).archive())
+
+
+@pytest.mark.parametrize("lat", [0.0, 22.0, 59.0, -84.0])
+def test_spots_are_linked_by_small_cells(spark, lat):
+    """Two crowds of 150 spots in 300 m, a bridge to one of them, and loners: few pairs, and the components of brute force."""
+    rng = np.random.default_rng(3)
+    north, east = 1 / 111_000, 1 / 111_000 / np.cos(np.radians(lat))
+    at = np.concatenate([rng.uniform(0, 300, (150, 2)), rng.uniform(0, 300, (150, 2)) + [1100, 0], [[1700.0, 700.0], [2200.0, 1100.0]], rng.uniform(0, 20_000, (60, 2)) + [5000, 0]])
+    spots = spark.createDataFrame([(k, float(70 + x * east), float(lat + y * north)) for k, (x, y) in enumerate(at)], "spot long, lon double, lat double")
+    filed = episodes.by_small_cells(spots, 750.0).localCheckpoint()
+    links = episodes.linked_roots(filed, filed, 750.0)
+    assert links.count() < 300  # a crowd alone has 11,175 pairs of spots
+    roots = {r["node"]: r["root"] for r in components.components(filed.select(F.col("root").alias("node")).distinct(), links).collect()}
+    root = list(range(len(at)))
+    close = spatial.self_pairs(spots, 750.0, "spot").collect()
+    for _ in root:
+        for p in close:
+            root[p["a"]] = root[p["b"]] = min(root[p["a"]], root[p["b"]])
+        if all(root[p["a"]] == root[p["b"]] for p in close):
+            break
+    assert {r["spot"]: roots[r["root"]] for r in filed.collect()} == dict(enumerate(root))
