@@ -244,7 +244,7 @@ def all_pair_distances(t: Tables) -> DataFrame:
 
 @register(sql("obs places", f"SELECT p.place, count(*) AS n, round(max(frp_mw), 6) AS max_frp FROM places p JOIN obs o ON abs(p.lat - o.lat) < 0.02 AND abs(p.lon - o.lon) < 0.02 WHERE {distance_sql('p', 'o')} <= 750 GROUP BY p.place"))
 def radius_history(t: Tables) -> DataFrame:
-    found = spatial.near(t.places(), t.obs().select("obs_id", "lon", "lat", "frp_mw"), 750.0)
+    found = spatial.near(t.obs().select("obs_id", "lon", "lat", "frp_mw"), t.places(), 750.0)  # places are filed under nine cells, not observations
     return found.groupBy("place").agg(F.count("*").alias("n"), F.round(F.max("frp_mw"), 6).alias("max_frp"))
 
 

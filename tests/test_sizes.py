@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cindertrace import catalog
 from cindertrace.operators import assessment, components, episodes, spatial
 from cindertrace.plans.adapter import Tables
 
@@ -58,3 +59,10 @@ def test_spots_are_linked_by_small_cells(spark, lat):
         if all(root[p["a"]] == root[p["b"]] for p in close):
             break
     assert {r["spot"]: roots[r["root"]] for r in filed.collect()} == dict(enumerate(root))
+
+
+def test_radius_history_files_places_not_observations(spark, small, monkeypatch):
+    filed, whole = [], spatial.near
+    monkeypatch.setattr(spatial, "near", lambda left, right, *a, **k: filed.append(right) or whole(left, right, *a, **k))
+    catalog.QUERIES["radius_history"](spark, small)
+    assert filed[0].count() == Tables(spark, small).places().count() < Tables(spark, small).obs().count()
