@@ -283,7 +283,8 @@ def built_areas(t: Tables) -> DataFrame:
     for n, rings in enumerate(DRAWN):
         own = F.array(*[F.array(*[F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat")) for x, y in r]) for r in rings])
         shape = F.when(k == n, own).otherwise(shape)
-    areas = t.facilities().select("fac_id", "lon", "lat", polygons.built(shape).alias("rings"))
+    dealt = t.facilities().repartition(4 * t.spark.sparkContext.defaultParallelism, "fac_id")  # a small file is one task's, but each row of it is 225 points
+    areas = dealt.select("fac_id", "lon", "lat", polygons.built(shape).alias("rings"))
     steps = F.sequence(F.lit(-7), F.lit(7))
     grid = areas.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
     inside = geo.in_rings(F.col("lon") + GRID * F.col("i") + 0.00011, F.col("lat") + GRID * F.col("j") + 0.00017, F.col("rings"))

@@ -66,3 +66,7 @@ def test_radius_history_files_places_not_observations(spark, small, monkeypatch)
     monkeypatch.setattr(spatial, "near", lambda left, right, *a, **k: filed.append(right) or whole(left, right, *a, **k))
     catalog.QUERIES["radius_history"](spark, small)
     assert filed[0].count() == Tables(spark, small).places().count() < Tables(spark, small).obs().count()
+
+
+def test_built_areas_are_dealt_over_tasks(spark, small):
+    assert "REPARTITION_BY_NUM" in plan_of(catalog.QUERIES["built_areas"](spark, small))
