@@ -208,13 +208,14 @@ def links(distinct: DataFrame, within: int = 2) -> DataFrame:
     small, large = crowds.filter(F.col("count") <= CROWD), crowds.filter(F.col("count") > CROWD)
     left = probes.join(small.select("part", "v"), ["part", "v"]).withColumnRenamed("fp", "a")
     near = left.join(stored.withColumnRenamed("fp", "b"), ["part", "v"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= within))
-    found = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # each part is a plan of its own: as one, with what its callers add, it is planned again after every stage and fills the driver
+    found = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # crowded values: meet at the points halfway between
     half = within // 2
-    meet = probes.join(large.select("part", "v"), ["part", "v"]).select("fp").distinct()
+    meet = cut(probes.join(large.select("part", "v"), ["part", "v"]).select("fp").distinct())
     meet = meet.select("fp", xor_each(F.col("fp"), flips(list(range(BITS)), half)).alias("m"))
     least = meet.groupBy("m").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("m", "a")
-    met = meet.join(least, "m").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    met = cut(meet.join(least, "m").filter("fp != a").select("a", F.col("fp").alias("b")).distinct())
     return found.unionByName(met)
 
 
@@ -319,7 +320,7 @@ def candidates(one: DataFrame) -> DataFrame:
     starred = wide.join(centre, ["band", "v"]).select("doc_id", F.explode(F.array(-F.col("c.x"), F.col("m"))).alias("c")).filter("doc_id != c").select(F.col("doc_id").alias("a"), F.col("c").alias("b"))
     few = live.filter(F.col("n") <= BAND_CROWD).select("band", "v", "doc_id")
     pairs = few.withColumnRenamed("doc_id", "a").join(few.withColumnRenamed("doc_id", "b"), ["band", "v"]).filter("a < b").select("a", "b")
-    both = same.unionByName(near).unionByName(starred).unionByName(pairs)
+    both = same.unionByName(near).unionByName(cut(starred)).unionByName(cut(pairs))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -71,6 +71,15 @@ def test_links_with_and_without_crowds(spark, monkeypatch, crowd):
     assert {k: found.get(k, k) for k in signed} == want
 
 
+def test_candidates_are_planned_in_parts(spark):
+    """One plan of all ways to a candidate had dozens of exchanges and was planned again after each of its stages."""
+    one = spark.createDataFrame([(k, k * 7919, [k // 2, k // 3], 9) for k in range(40)], "doc_id long, fp long, bands array<long>, size long")
+    pairs = simhash.candidates(one)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") < 15
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert {(a, b) for a in range(40) for b in range(a + 1, 40) if a // 2 == b // 2 or a // 3 == b // 3} <= got
+
+
 def test_thresholds():
     assert simhash.deal_thresholds([[0, 5, 9, 20], [0, 1, 2, 3]], 3) == [-1, 2]
     chosen = simhash.deal_thresholds([[0, 1, 50], [0, 1, 50], [0, 1, 50]], 3)
