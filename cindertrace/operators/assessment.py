@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrace.operators import coverage, history, rules
+from cindertrace.operators.groups import dealt
 from cindertrace.operators.spatial import near
 
 # The history's radius and look-back, and the products that are one sensor's record.
@@ -92,14 +93,11 @@ def features(subjects: DataFrame, rows: DataFrame, days: DataFrame, windows: tup
     start = F.col("as_of") - F.make_dt_interval(F.lit(0), F.lit(history.EPISODE_HOURS))
     live = rows.filter("kept").withColumn("start", start)
     now = F.col("acquired_at") > F.col("start")
-    measures = [F.count_if(now).alias("current_detections"), F.max("acquired_at").alias("latest")]
-    for d in windows:
-        inside = (F.col("acquired_at") < F.col("start")) & (F.col("acquired_at") >= F.col("start") - F.make_dt_interval(F.lit(d)))
-        measures += [
-            F.count_if(inside).alias(f"detections_{d}"), F.count_distinct(F.when(inside, F.struct("acquired_at", "satellite"))).alias(f"overpasses_{d}"), F.count_distinct(F.when(inside, F.col("day"))).alias(f"active_days_{d}"),
-            F.round((F.max("start").cast("double") - F.max(F.when(inside, F.col("acquired_at"))).cast("double")) / 86400, 2).alias(f"days_since_{d}"),
-        ]
-    seen = live.groupBy("sid").agg(*measures)
+    inside = {d: (F.col("acquired_at") < F.col("start")) & (F.col("acquired_at") >= F.col("start") - F.make_dt_interval(F.lit(d))) for d in windows}
+    latest = [F.max(F.when(w, F.col("acquired_at"))).alias(f"latest_{d}") for d, w in inside.items()]
+    daily = history.trailing_counts(dealt(live, "sid"), ["sid", "start"], inside, F.sum(F.when(now, F.col("n")).otherwise(0)).alias("current_detections"), F.max("acquired_at").alias("latest"), *latest)
+    since = [F.round((F.max("start").cast("double") - F.max(f"latest_{d}").cast("double")) / 86400, 2).alias(f"days_since_{d}") for d in windows]
+    seen = daily.groupBy("sid").agg(F.sum("current_detections").alias("current_detections"), F.max("latest").alias("latest"), *history.summed(windows), *since)
     dropped = rows.groupBy("sid").agg(F.count_if(~F.col("kept")).alias("superseded"))
     began = F.to_date(start)
     block, bits = F.col("block"), F.col("bits")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cindertrace.operators import coverage
 from cindertrace.operators.components import checkpointed
+from cindertrace.operators.groups import dealt
 from cindertrace.operators.ranks import running
 
 
@@ -224,18 +225,24 @@ def episode_inputs(members: DataFrame, *keys: str) -> DataFrame:
 def prior_inputs(subjects: DataFrame, rows: DataFrame, days: DataFrame) -> DataFrame:
     """sid, the HISTORY inputs and what is stored beside them: strictly before each subject's started_at.
 
-    rows: sid, acquired_at, satellite, daynight, frp_mw. days: as assessment.covered_days() gives them.
+    rows: sid, acquired_at, satellite, daynight, frp_mw, in files. days: as assessment.covered_days() gives them.
     """
     own = subjects.select("sid", "started_at")
-    before = rows.join(own.hint("merge"), "sid").filter(F.col("acquired_at") < F.col("started_at"))
+    before = dealt(rows, "sid").join(own.hint("merge"), "sid").filter(F.col("acquired_at") < F.col("started_at"))
 
     def within(d: int) -> Column:
         return F.col("acquired_at") >= F.col("started_at") - F.make_dt_interval(F.lit(d))
 
-    seen = before.groupBy("sid").agg(
-        *[F.count_distinct(F.when(within(d), F.to_date("acquired_at"))).alias(f"active_days_{d}") for d in (30, 90, 180)], F.count_distinct(F.when(within(90), F.struct("acquired_at", "satellite"))).alias("overpasses_90"),
-        F.round(F.avg(F.when(within(90), (F.col("daynight") == "N").cast("double"))), 6).alias("history_night_fraction_90"),
-        F.round(F.least((F.max("started_at").cast("double") - F.max("acquired_at").cast("double")) / 86400, F.lit(DAYS_CAP)), 6).alias("days_since_last"),
+    night = (F.col("daynight") == "N").cast("long")
+    # equal overpasses fall together, then days: no row is multiplied for each distinct count
+    overpasses = before.groupBy("sid", "started_at", "acquired_at", "satellite").agg(F.count("daynight").alias("n"), F.sum(night).alias("night"))
+    daily = overpasses.groupBy("sid", "started_at", F.to_date("acquired_at").alias("day")).agg(
+        *[F.max(F.when(within(d), 1).otherwise(0)).cast("long").alias(f"active_days_{d}") for d in (30, 90, 180)], F.count_if(within(90)).alias("overpasses_90"),
+        F.sum(F.when(within(90), F.col("n"))).alias("n"), F.sum(F.when(within(90), F.col("night"))).alias("night"), F.max("acquired_at").alias("latest"),
+    )
+    seen = daily.groupBy("sid").agg(
+        *[F.sum(c).alias(c) for c in ("active_days_30", "active_days_90", "active_days_180", "overpasses_90")], F.round(F.try_divide(F.sum("night").cast("double"), F.sum("n")), 6).alias("history_night_fraction_90"),
+        F.round(F.least((F.max("started_at").cast("double") - F.max("latest").cast("double")) / 86400, F.lit(DAYS_CAP)), 6).alias("days_since_last"),
     )
     passes = before.filter(within(90) & F.col("frp_mw").isNotNull()).groupBy("sid", "acquired_at", "satellite", "daynight").agg(F.greatest(F.max("frp_mw"), F.lit(0.0)).alias("frp"))
     strength = passes.groupBy("sid").agg(F.round(F.median("frp"), 6).alias("history_frp_median_90"))

@@ -9,6 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Rows of a task that groups them by hash. AQE joins tasks by their compressed bytes, of which such rows have few.
+TASK_ROWS = 200_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by keys over so many tasks that one has some TASK_ROWS. They are counted for that, so they should lie in files."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with fewer a join would deal them out again
+    return rows.repartition(max(least, -(-rows.count() // TASK_ROWS)), *keys)
+
+
 def each_group(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], dict], schema: pa.Schema, kinds: str) -> DataFrame:
     """work(table) of every group of rows by keys, each sorted by order; work gives the columns of schema.
 

@@ -6,9 +6,13 @@ Runs: place, start_date, end_date, received_at. All subjects are worked on at on
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cindertrace.operators.groups import dealt
+
 # The assessment's thresholds.
 EPISODE_HOURS, WINDOWS, BASELINE_DAYS = 24, (7, 30, 90, 180), 90
 MIN_COVERAGE, MIN_MATCHED, Z_LIMIT, MIN_LOG_SCALE, Z_CAP, RECURRENT_DAYS = 0.8, 5, 3.5, 0.1, 50.0, 5
@@ -56,21 +60,33 @@ def reconcile_streams(detections: DataFrame, archive_days: DataFrame) -> DataFra
     return late.unionByName(left.select(*late.columns))
 
 
+def trailing_counts(rows: DataFrame, keys: list[str], windows: dict[int, Column], *day_measures: Column) -> DataFrame:
+    """keys, day, detections_d, overpasses_d, active_days_d of each window d: adds up to counts by keys.
+
+    rows: keys, day, acquired_at, satellite, on tasks by (some of) their keys. windows: which rows are inside, told from
+    keys and acquired_at. Equal overpasses fall together first and days after them, so no row is multiplied for each distinct
+    count. day_measures: aggregates over overpasses.
+    """
+    passes = rows.groupBy(*keys, "day", "acquired_at", "satellite").agg(F.count("*").alias("n"))
+    measures = []
+    for d, inside in windows.items():
+        measures += [F.sum(F.when(inside, F.col("n")).otherwise(0)).alias(f"detections_{d}"), F.count_if(inside).alias(f"overpasses_{d}"), F.max(F.when(inside, 1).otherwise(0)).cast("long").alias(f"active_days_{d}")]
+    return passes.groupBy(*keys, "day").agg(*measures, *day_measures)
+
+
+def summed(windows: Iterable[int]) -> list[Column]:
+    """Aggregates of trailing_counts() over days."""
+    return [F.sum(f"{c}_{d}").alias(f"{c}_{d}") for d in windows for c in ("detections", "overpasses", "active_days")]
+
+
 def window_features(detections: DataFrame, subjects: DataFrame, covered: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """Trailing windows [start - d days, start) of each subject(place, start): one pass, no join for each window."""
     longest = max(windows)
     first, last = F.col("start") - F.make_dt_interval(F.lit(longest)), F.col("start")
-    rows = detections.select("place", "acquired_at", "satellite").join(subjects.select("place", "start"), "place").filter((F.col("acquired_at") >= first) & (F.col("acquired_at") < last))
-    aggregates, cover = [], []
-    for d in windows:
-        inside = F.col("acquired_at") >= F.col("start") - F.make_dt_interval(F.lit(d))
-        aggregates += [
-            F.count_if(inside).alias(f"detections_{d}"),
-            F.count_distinct(F.when(inside, F.struct("acquired_at", "satellite"))).alias(f"overpasses_{d}"),
-            F.count_distinct(F.when(inside, F.to_date("acquired_at"))).alias(f"active_days_{d}"),
-        ]
-        cover.append(F.count_if(F.col("day") >= F.date_sub(F.to_date("start"), d)).alias(f"covered_{d}"))
-    seen = rows.groupBy("place", "start").agg(*aggregates, F.max("acquired_at").alias("last_at"))
+    rows = dealt(detections.select("place", "acquired_at", "satellite", F.to_date("acquired_at").alias("day")), "place").join(subjects.select("place", "start").hint("merge"), "place").filter((F.col("acquired_at") >= first) & (F.col("acquired_at") < last))
+    inside = {d: F.col("acquired_at") >= F.col("start") - F.make_dt_interval(F.lit(d)) for d in windows}
+    cover = [F.count_if(F.col("day") >= F.date_sub(F.to_date("start"), d)).alias(f"covered_{d}") for d in windows]
+    seen = trailing_counts(rows, ["place", "start"], inside, F.max("acquired_at").alias("last_at")).groupBy("place", "start").agg(*summed(windows), F.max("last_at").alias("last_at"))
     days = covered.join(subjects.select("place", "start"), "place").filter((F.col("day") < F.to_date("start")) & (F.col("day") >= F.date_sub(F.to_date("start"), longest)))
     days = days.groupBy("place", "start").agg(*cover)
     out = subjects.join(seen, ["place", "start"], "left").join(days, ["place", "start"], "left")

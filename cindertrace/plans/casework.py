@@ -33,7 +33,8 @@ PRIOR_SQL = """, p0 AS (SELECT h.*, sub.started_at AS st FROM h JOIN sub USING (
 
 def prior(t: Tables, s: DataFrame) -> DataFrame:
     days = checkpointed(assessment.covered_days(s, t.passes(), "HISTORICAL_REPLAY"))
-    return features.prior_inputs(s, assessment.as_of_history(s, t.archive(), days).filter("kept").drop("as_of"), days)
+    rows = assessment.as_of_history(s, t.archive(), days).filter("kept").select("sid", "acquired_at", "satellite", "daynight", "frp_mw")
+    return features.prior_inputs(s, checkpointed(rows), days)
 
 
 @register(sql("obs archive passes", a.SUBJECTS + a.history_sql(False) + PRIOR_SQL + f" SELECT sid, {', '.join(features.HISTORY + features.HISTORY_STORED)} FROM prior"))

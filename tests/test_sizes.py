@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindertrace import catalog
-from cindertrace.operators import assessment, components, episodes, spatial
+from cindertrace.operators import assessment, components, episodes, features, groups, spatial
 from cindertrace.plans.adapter import Tables
 
 
@@ -70,3 +70,28 @@ def test_radius_history_files_places_not_observations(spark, small, monkeypatch)
 
 def test_built_areas_are_dealt_over_tasks(spark, small):
     assert "REPARTITION_BY_NUM" in plan_of(catalog.QUERIES["built_areas"](spark, small))
+
+
+def test_distinct_counts_do_not_multiply_rows(spark, small, tmp_path):
+    """A row for each distinct count would make a task hold many times its rows."""
+    at = datetime(2024, 1, 10)
+    spark.createDataFrame([(1, 70.0, 22.0, at, at)], "sid long, lon double, lat double, as_of timestamp, started_at timestamp").write.parquet(f"{tmp_path}/s")
+    spark.createDataFrame([(1, "SP", 308, 1)], "sid long, product string, block int, bits long").write.parquet(f"{tmp_path}/d")
+    noon, none = datetime(2024, 1, 8, 12), None
+    rows = [(1, at, True, k, t, 1.0, s, n) for k, (t, s, n) in enumerate([(noon, "N20", "N"), (noon, "N20", none), (noon, none, "D"), (noon, none, "D"), (datetime(2024, 1, 1), "N20", none), (at, "N20", "N")])]
+    seen = spark.createDataFrame(rows, "sid long, as_of timestamp, kept boolean, obs_id long, acquired_at timestamp, frp_mw double, satellite string, daynight string").withColumn("day", F.to_date("acquired_at"))
+    s, days = spark.read.parquet(f"{tmp_path}/s"), spark.read.parquet(f"{tmp_path}/d")
+    told, prior = assessment.features(s, seen, days), features.prior_inputs(s, seen.drop("as_of"), days)
+    for df in (told, prior, catalog.QUERIES["window_features"](spark, small)):
+        assert "Expand" not in plan_of(df)
+    r, p = told.first(), prior.first()
+    assert [(r[f"detections_{d}"], r[f"overpasses_{d}"], r[f"active_days_{d}"], r[f"days_since_{d}"]) for d in (7, 30)] == [(4, 2, 1, 0.5), (5, 3, 2, 0.5)]
+    assert (r["current_detections"], r["latest"]) == (1, at)
+    assert (p["active_days_30"], p["overpasses_90"], p["history_night_fraction_90"], p["days_since_last"]) == (2, 3, 0.333333, 1.5)
+
+
+def test_grouping_tasks_hold_bounded_rows(spark, tmp_path, monkeypatch):
+    """More rows, more tasks, though their bytes are few."""
+    spark.range(1000).select("id", F.lit(1).alias("x")).write.parquet(f"{tmp_path}/r")
+    monkeypatch.setattr(groups, "TASK_ROWS", 50)
+    assert groups.dealt(spark.read.parquet(f"{tmp_path}/r"), "id").rdd.getNumPartitions() == 20
