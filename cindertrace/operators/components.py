@@ -33,18 +33,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for nodes(node) and edges(a, b).
 
     Each round links every node to the least root among its neighbours' and then follows roots to
-    their roots, so long chains shrink by doubling.
+    their roots, so long chains shrink by doubling. Joins have merge hints: nodes are small as files, but not
+    as a hash table in the driver, once for each round.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     known = checkpointed(nodes.select("node", F.col("node").alias("root")))
     while True:
-        seen = both.join(known.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("least"))
-        hooked = known.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("new"))
+        seen = both.join(known.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("least"))
+        hooked = known.join(seen.withColumnRenamed("a", "node").hint("merge"), "node", "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("new"))
         # a root takes over the least that any of its members has seen
         taken = hooked.groupBy("root").agg(F.min("new").alias("via"))
-        step = hooked.join(taken, "root").select("node", F.col("root").alias("old"), F.least("new", "via").alias("root"))
+        step = hooked.join(taken.hint("merge"), "root").select("node", F.col("root").alias("old"), F.least("new", "via").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = checkpointed(step.join(jump, "root").select("node", "old", F.least("root", "above").alias("root")))
+        new = checkpointed(step.join(jump.hint("merge"), "root").select("node", "old", F.least("root", "above").alias("root")))
         if new.filter("root != old").isEmpty():
             return new.select("node", "root")
         known = new.select("node", "root")

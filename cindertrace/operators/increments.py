@@ -6,8 +6,8 @@ site) and its lineage, and an entry in the ledger. The next run starts from the
 * components: pairs are taken only between spots that are new, or whose component has lost a spot, and
   all others; components of the run before are nodes of the graph, not their spots;
 * episodes: each run between silences has a digest of its observations. Digests that the run before had
-  carry its episodes over; only other runs are numbered. What a run of observations gives depends on
-  nothing else, so the result is that of a build from nothing;
+  carry its episodes over, with their observations as they were stored; only other runs are numbered. What
+  a run of observations gives depends on nothing else, so the result is that of a build from nothing;
 * sites: likewise by the digest of a component's episodes;
 * lineage: carried episodes are the SAME; rebuilt ones are compared with those that their observations had.
 
@@ -88,16 +88,16 @@ def grown_components(spots: DataFrame, before: DataFrame | None, reach: float) -
     if before is None:
         before = spots.select("*", F.col("spot").alias("root")).limit(0)
     old = before.select("spot", "root")
-    broken = old.join(spots, "spot", "left_anti").select("root").distinct()
-    known = checkpointed(spots.join(old, "spot").join(broken, "root", "left_anti").select("spot", "lon", "lat", "root"))
-    fresh = checkpointed(episodes.by_small_cells(spots.join(known.select("spot"), "spot", "left_anti").select("spot", "lon", "lat"), reach))
+    broken = old.join(spots.hint("merge"), "spot", "left_anti").select("root").distinct()
+    known = checkpointed(spots.join(old.hint("merge"), "spot").join(broken.hint("merge"), "root", "left_anti").select("spot", "lon", "lat", "root"))
+    fresh = checkpointed(episodes.by_small_cells(spots.join(known.select("spot").hint("merge"), "spot", "left_anti").select("spot", "lon", "lat"), reach))
     every = checkpointed(known.unionByName(fresh))
     pairs = episodes.linked_roots(every, fresh, reach)
     roots = components(every.select(F.col("root").alias("node")).distinct(), pairs).select(F.col("node").alias("root"), F.col("root").alias("new"))
-    joined = every.join(roots, "root")
+    joined = every.join(roots.hint("merge"), "root")
     # a component goes by its least spot, as if built from nothing
     least = joined.groupBy("new").agg(F.min("spot").alias("least"))
-    return joined.join(least, "new").select("spot", "lon", "lat", F.col("least").alias("root"))
+    return joined.join(least.hint("merge"), "new").select("spot", "lon", "lat", F.col("least").alias("root"))
 
 
 def attempt(points: DataFrame, folder: str, base: dict | None, limits: Limits, entry: dict) -> dict:
@@ -111,18 +111,19 @@ def attempt(points: DataFrame, folder: str, base: dict | None, limits: Limits, e
 
     spots = checkpointed(grown_components(checkpointed(episodes.spots_of(points)), earlier("spots"), episodes.reach_of(limits)))
     spots.write.parquet(f"{own}/spots")
-    runs = checkpointed(episodes.silence_runs(points.join(spots.select("spot", "root"), "spot"), limits.gap_hours))
+    runs = checkpointed(episodes.silence_runs(points.join(spots.select("spot", "root").hint("merge"), "spot"), limits.gap_hours))
     sums = runs.groupBy("root", "run").agg(*digest("id", "acquired_at", "lon", "lat"))
     before = earlier("members")
-    assigned = ["id", "event_id", "started_at", "anchor", "event_ambiguous", "merges", "event_diameter_m"]
     if before is None:
-        new = episodes.episodes_of_runs(runs, limits).join(sums, ["root", "run"])
+        new = episodes.episodes_of_runs(runs, limits).join(sums.hint("merge"), ["root", "run"])
         members = checkpointed(new.withColumn("carried", F.lit(False)))
     else:
-        held = before.select(*DIGEST).distinct().withColumn("known", F.lit(True))
-        told = checkpointed(runs.join(sums.join(held, DIGEST, "left").withColumn("known", F.coalesce("known", F.lit(False))), ["root", "run"]))
-        new = episodes.episodes_of_runs(told.filter("NOT known").select(*runs.columns), limits).join(sums, ["root", "run"]).withColumn("carried", F.lit(False))
-        kept = told.filter("known").select("id", "root", "run", "spot", "lon", "lat", *DIGEST).join(before.select(*assigned), "id").withColumn("carried", F.lit(True))
+        sums = checkpointed(sums)
+        held = before.select(*DIGEST).distinct()
+        fresh = sums.join(held.hint("merge"), DIGEST, "left_anti")
+        new = episodes.episodes_of_runs(runs.join(fresh.select("root", "run").hint("merge"), ["root", "run"], "left_semi"), limits).join(fresh.hint("merge"), ["root", "run"]).withColumn("carried", F.lit(False))
+        # equal digests, equal observations: all that a stored row lacks is what its run is called now
+        kept = before.drop("root", "run", "carried").join(sums.hint("merge"), DIGEST).withColumn("carried", F.lit(True))
         members = checkpointed(new.unionByName(kept.select(*new.columns)))
     events = checkpointed(episodes.events_of(members))
     event_sums = events.groupBy("root").agg(*digest("event_id")).withColumnsRenamed({c: f"site_{c}" for c in DIGEST})
@@ -132,12 +133,11 @@ def attempt(points: DataFrame, folder: str, base: dict | None, limits: Limits, e
         sites = episodes.sites_of_components(events, limits)
     else:
         held = before.select(*site_digest).distinct().withColumn("known", F.lit(True))
-        told = checkpointed(events.join(event_sums.join(held, site_digest, "left").select("root", F.coalesce("known", F.lit(False)).alias("known")), "root"))
-        kept = told.filter("known").select("event_id").join(before.select(*site_columns).distinct(), "event_id")
+        told = checkpointed(events.join(event_sums.join(held.hint("merge"), site_digest, "left").select("root", F.coalesce("known", F.lit(False)).alias("known")).hint("merge"), "root"))
+        kept = told.filter("known").select("event_id").join(before.select(*site_columns).distinct().hint("merge"), "event_id")
         sites = episodes.sites_of_components(told.filter("NOT known").drop("known"), limits).unionByName(kept)
-    times = points.select("id", "acquired_at")
-    whole = members.join(sites, "event_id").join(event_sums, "root").join(times, "id")
-    whole.write.parquet(f"{own}/members")
+    told = events.select("event_id", "root").join(event_sums.hint("merge"), "root").drop("root").join(sites.hint("merge"), "event_id")
+    members.join(told.hint("merge"), "event_id").write.parquet(f"{own}/members")
     written = spark.read.parquet(f"{own}/members")
     counts = written.agg(F.count_if("carried").alias("carried"), F.count_distinct("event_id").alias("events"), F.count_distinct("site_id").alias("sites"), F.max("acquired_at").alias("latest")).first()
     if before is None:
@@ -149,7 +149,7 @@ def attempt(points: DataFrame, folder: str, base: dict | None, limits: Limits, e
         replaced = before.select("event_id", F.col("id").alias("obs_id")).join(same.select(F.col("old_id").alias("event_id")), "event_id", "left_anti")
         lineage = same.unionByName(episodes.lineage(rebuilt, replaced))
         cutoff = F.lit(base["latest"]).cast("timestamp")
-        missed = times.filter(F.col("acquired_at") < cutoff).join(before.select("id"), "id", "left_anti")
+        missed = points.select("id", "acquired_at").filter(F.col("acquired_at") < cutoff).join(before.select("id").hint("merge"), "id", "left_anti")
         late = missed.agg(F.count("*"), F.min("acquired_at").cast("string")).first()
     lineage.write.parquet(f"{own}/lineage")
     return entry | {
