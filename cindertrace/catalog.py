@@ -315,9 +315,13 @@ def sessions(t: Tables) -> DataFrame:
     return out.withColumns({"started_at": F.unix_timestamp("started_at"), "ended_at": F.unix_timestamp("ended_at"), "max_frp_mw": F.round("max_frp_mw", 6)})
 
 
+def grouped(t: Tables) -> DataFrame:
+    return episodes.assemble(t.obs().select(F.col("obs_id").alias("id"), "acquired_at", "lon", "lat"))
+
+
 def assembled(t: Tables) -> DataFrame:
     o = t.obs().withColumnRenamed("obs_id", "id")
-    return o.join(episodes.assemble(o.select("id", "acquired_at", "lon", "lat")), "id")
+    return o.join(grouped(t).hint("merge"), "id")  # a file of few bytes a row, but not as a hash table
 
 
 # a place's points all link, so an episode is a greedy cut of its sorted points at gaps of a day or spans of a week
@@ -339,7 +343,7 @@ def site_rollup(t: Tables) -> DataFrame:
 
 @register()
 def event_builder_full(t: Tables) -> DataFrame:
-    return assembled(t).select("id", "event_id", "site_id", "event_ambiguous", "merges", "site_ambiguous")
+    return grouped(t).select("id", "event_id", "site_id", "event_ambiguous", "merges", "site_ambiguous")
 
 
 @register(sql("obs", "SELECT obs_id FROM obs WHERE obs_id % 4 = 0 AND acquired_at < (SELECT max(acquired_at) FROM obs WHERE obs_id % 4 <> 0)"))
