@@ -40,8 +40,8 @@ def site_groups(sites: DataFrame, facilities: DataFrame, registry: DataFrame) ->
 
 def build(episodes: DataFrame, groups: DataFrame, cutoff: str = FORWARD_CUTOFF) -> DataFrame:
     """One case for each of episodes(id, site, region_id, started_at, as_of, ...): its split_group, split, forward_period, review_slots."""
-    c = episodes.join(groups, "site")
-    c = c.join(assign_splits(c.select("region_id", "split_group")), ["region_id", "split_group"])
+    c = episodes.join(groups.hint("merge"), "site")
+    c = c.join(assign_splits(c.select("region_id", "split_group")).hint("merge"), ["region_id", "split_group"])
     period = F.when(F.col("as_of") < F.lit(cutoff).cast("timestamp"), "BEFORE").otherwise("AFTER")
     return c.withColumns({"forward_period": period, "review_slots": F.when(F.col("split") == "TEST", 2).otherwise(1)})
 

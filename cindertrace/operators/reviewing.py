@@ -7,7 +7,7 @@ case blind. Names are compared in any case. All cases are judged in one plan for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindertrace.operators import labels
@@ -75,10 +75,12 @@ def roles(cases: DataFrame, reviews: DataFrame, seen: DataFrame, reviewer: str,
 def desk(judged: DataFrame, most: int = SHOWN) -> DataFrame:
     """The first cases of each role: those with a complete history first, then by place, at most `most` of a role.
 
-    judged: roles() of cases with place (without ties) and history_complete.
+    judged: roles() of cases with place (without ties) and history_complete. Both lists come from one pass: a
+    task passes on `most` rows of each role.
     """
-    lists = [judged.filter(F.col("role") == role).orderBy(F.desc("history_complete"), "place", "id").limit(most) for role in ("ADJUDICATOR", "REVIEWER")]
-    return lists[0].unionByName(lists[1]).select("id", "role", "place", "history_complete", "reviews", F.col("review_slots").alias("needs"))
+    order = Window.partitionBy("role").orderBy(F.desc("history_complete"), "place", "id")
+    first = judged.filter(F.col("role").isin("ADJUDICATOR", "REVIEWER")).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most)
+    return first.select("id", "role", "place", "history_complete", "reviews", F.col("review_slots").alias("needs"))
 
 
 def desk_counts(judged: DataFrame, may_adjudicate: bool) -> DataFrame:
@@ -118,7 +120,7 @@ def blind_cases(judged: DataFrame, pages: DataFrame, candidates: DataFrame, regi
     earlier = reviews.join(settled, "id").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "source_label", "certainty"))).alias("earlier"))
     out = judged.select("id", "role", "review_slots", "as_of", "started_at", "lon", "lat", F.round("radius_m", 1).alias("support_radius_m"))
     for part in (sizes, mapped, plants, land, earlier):
-        out = out.join(part, "id", "left")
+        out = out.join(part.hint("merge"), "id", "left")
     return out.fillna(0, ["members", "pages", "plants"])
 
 

@@ -131,8 +131,10 @@ SPLIT_SQL = """, cs AS (SELECT sid AS id, region_id, CAST(split_group AS VARCHAR
  cset AS (SELECT id, region_id, split_group, split, CASE WHEN as_of < TIMESTAMP '""" + CUTOFF + """' THEN 'BEFORE' ELSE 'AFTER' END AS forward_period, CASE WHEN split = 'TEST' THEN 2 ELSE 1 END AS review_slots FROM cs JOIN g5 USING (region_id, split_group))"""
 
 
-def case_rows(t: Tables) -> DataFrame:
-    s = a.subjects(t).select(F.col("sid").alias("id"), F.col("place").alias("site"), "as_of").join(t.sites().select("site", "region_id"), "site")
+def case_rows(t: Tables, subjects: DataFrame | None = None) -> DataFrame:
+    """Cases of subjects. They are read twice (for the splits too), so they are written first."""
+    s = subjects if subjects is not None else checkpointed(a.subjects(t).select("sid", "place", "as_of"))
+    s = s.select(F.col("sid").alias("id"), F.col("place").alias("site"), "as_of").join(t.sites().select("site", "region_id").hint("merge"), "site")
     own = groups(t).withColumn("split_group", F.col("split_group").cast("string"))
     return cases.build(s, own, CUTOFF).select("id", "region_id", "split_group", "split", "forward_period", "review_slots")
 

@@ -52,10 +52,10 @@ CASES = a.SUBJECTS + k.GROUPS + k.SPLIT_SQL + ", cases AS (SELECT id, split, rev
 REVIEW_TABLES = k.CASE_TABLES + " reviews"
 
 
-def case_table(t: Tables) -> DataFrame:
+def case_table(t: Tables, subjects: DataFrame | None = None) -> DataFrame:
     i = F.col("id")
     more = {"silver": F.when(i % 5 == 0, "INDUSTRIAL"), "weak": F.when(i % 7 == 0, "UNKNOWN").when(i % 7 < 4, "AGRICULTURAL_BURN"), "place": i * 37 % 100003, "history_complete": i % 7 != 0}
-    return k.case_rows(t).select("id", "split", "review_slots").withColumns(more)
+    return k.case_rows(t, subjects).select("id", "split", "review_slots").withColumns(more)
 
 
 @register(k.recursive(REVIEW_TABLES, CASES + RESOLVED + ", rn AS (SELECT id, count(*) AS reviews FROM reviews GROUP BY id) SELECT r.*, split, coalesce(tier = 'GOLD' AND basis IN ('TWO_REVIEWERS_AGREE', 'ADJUDICATED'), false) AS test_eligible, coalesce(reviews, 0) AS reviews FROM resolved r JOIN cases USING (id) LEFT JOIN rn USING (id)"))
@@ -71,10 +71,12 @@ JUDGED = RESOLVED + """, rv AS (SELECT id, count(*) FILTER (role = 'REVIEWER') A
  rl AS (SELECT *, CASE WHEN pending AND NOT mine THEN 'ADJUDICATOR' WHEN NOT (mine OR seen OR pending) AND reviews < review_slots THEN 'REVIEWER' END AS role FROM jd)"""
 
 
-def judged(t: Tables, cases: DataFrame | None = None) -> DataFrame:
-    own = t.reviews().withColumn("reviewer", F.concat(F.lit("REV"), (F.col("seq") % 3).cast("string")))
+def judged(t: Tables, cases: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """roles() of cases. Cases and numbered reviews are read several times, so they are written first."""
+    cases = checkpointed(case_table(t)) if cases is None else cases
+    own = (checkpointed(t.reviews()) if reviews is None else reviews).withColumn("reviewer", F.concat(F.lit("REV"), (F.col("seq") % 3).cast("string")))
     seen = t.read("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 6 == 1, "rev0").otherwise("rev2").alias("reviewer"))
-    return reviewing.roles(cases if cases is not None else case_table(t), own, seen, REVIEWER, True)
+    return reviewing.roles(cases, own, seen, REVIEWER, True)
 
 
 @register(k.recursive(REVIEW_TABLES, CASES + JUDGED + " SELECT id, coalesce(role, '') AS role, reviews, mine, seen, pending FROM rl"))
@@ -95,7 +97,7 @@ def reviewer_desk_counts(t: Tables) -> DataFrame:
 
 
 def case_members(t: Tables, s: DataFrame) -> DataFrame:
-    return a.members(t).join(s.select(F.col("sid").alias("id"), "place", "session_no"), ["place", "session_no"]).select("id", "obs_id", "acquired_at", "lon", "lat", "frp_mw", "daynight", "confidence", "product")
+    return a.members(t).join(s.select(F.col("sid").alias("id"), "place", "session_no").hint("merge"), ["place", "session_no"]).select("id", "obs_id", "acquired_at", "lon", "lat", "frp_mw", "daynight", "confidence", "product")
 
 
 SHOWN = ["obs_id", "acquired_at", "lon", "lat", "frp_mw", "daynight", "confidence", "product"]
@@ -118,11 +120,12 @@ def blind_cases(t: Tables) -> DataFrame:
     """What a reviewer is shown of every case; earlier reviews only where they settle a disagreement."""
     s = checkpointed(a.subjects(t))
     own = s.select(F.col("sid").alias("id"), "lon", "lat", "radius_m", "started_at", "as_of")
-    mine = judged(t, case_table(t).join(own, "id"))
+    reviews = checkpointed(t.reviews())
+    mine = checkpointed(judged(t, checkpointed(case_table(t, s).join(own.hint("merge"), "id")), reviews))
     found = a.candidates_of(t, s, a.snapshot_of(t, s)).select(F.col("sid").alias("id"), "fac_id", "rank", F.round("distance_m", 1).alias("distance_m"))
     plants = t.plants().select(F.col("plant_id").alias("fac_id"), "lon", "lat")
     land = s.select(F.col("sid").alias("id"), "place").join(a.land_of(t), "place").drop("place")
-    shown = reviewing.blind_cases(mine, reviewing.member_pages(case_members(t, s), SHOWN), found, plants, land, t.reviews())
+    shown = reviewing.blind_cases(mine, reviewing.member_pages(case_members(t, s), SHOWN), found, plants, land, reviews)
     texts = F.transform("earlier", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["role"], x["source_label"]))
     facilities = F.coalesce(F.array_join(F.transform("candidates", lambda x: x["fac_id"].cast("string")), ","), F.lit(""))
     return shown.select("id", F.coalesce("role", F.lit("")).alias("role"), "members", "plants", F.col("nearest_plant.fac_id").cast("double").alias("nearest_plant"), facilities.alias("candidates"), "support_radius_m", F.array_join(texts, ",").alias("earlier"))
